@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, digest, idfile, packing, quality, toxicity
+from . import bpe, common, digest, idfile, packing, quality, substring, suffix, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -15,6 +15,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_words(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op2_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/idfile-{uuid.uuid4().hex[:12]}"
     idfile.write_ids(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -25,6 +29,10 @@ def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("word_bpe_49k.json"))
 
@@ -43,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_idfile, op4_digest, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op4_digest, op5_suffix, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}
