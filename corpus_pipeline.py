@@ -1,8 +1,70 @@
-"""Corpus pipeline."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again for the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillrank.llm import common, jaccard, packing, quality, suffix, toxicity
+from quillrank.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs.select(COLUMNS), model).where("predicted = 0").select(COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select(COLUMNS), model).where("predicted = 1").select(COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near copies stays, and so does one without words."""
+    groups = jaccard.near_groups(docs.select("doc_id", "text"), n=5, percent=80)
+    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that occur elsewhere too go, and with them what a cut leaves of a character. A text
+    of which nothing is left is empty."""
+    kept = suffix.dedup_bytes(docs.select(COLUMNS), carry=("lang", "source", "n_chars"))
+    whole = common.with_columns(kept.select("doc_id", "kept", "lang", "source", "n_chars", "n_removed"), ["kept"], suffix.readable, "text string")
+    return whole.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("quality", good_quality),
+    ("near duplicates", one_of_each_group),
+    ("repeated passages", without_repeats),
+    ("packing", packed),
+]
+
+#: Trained models and tokenizers are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{common.shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex[:12]}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -62,3 +62,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def with_columns(df: DataFrame, on: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
+    """df with more columns, from Arrow batches: make() gives the function that gets a list for each column in ``on``
+    and returns one for each column of schema. Rows stay in their tasks and the other columns aren't touched."""
+    more = to_arrow_schema(StructType.fromDDL(schema))
+    kind = StructType([*df.schema.fields, *StructType.fromDDL(schema).fields])
+    arrow, at = to_arrow_schema(kind), [df.columns.index(c) for c in on]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for b in batches:
+            out = step(*[b.column(i).to_pylist() for i in at])
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, arrow)), *(pa.array(x, type=f.type) for x, f in zip(out, more, strict=True))], schema=arrow)
+
+    return df.mapInArrow(run, kind)

@@ -108,9 +108,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: i
 
 
 def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
-    """docs (doc_id, text; a null text is empty) -> doc_id, held_out, score, predicted. Whole texts are read."""
-    common.small_batches(docs.sparkSession)
+    """docs (doc_id, text; a null text is empty) -> doc_id, held_out, score, predicted. Whole texts are read; repeated
+    rows are scored once each; a null doc_id isn't held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(rows, weights, cut).drop("text")
+
+
+def scored(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
+    """docs, which has no columns of these names, with held_out, score and predicted."""
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # as many numbers as buckets
 
     def make():
@@ -119,11 +125,11 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
         def step(ids, texts):
             held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 0 for d in ids]
             scores = [score_of(t or "") for t in texts]
-            return ids, held, scores, [int(s >= cut) for s in scores]
+            return held, scores, [int(s >= cut) for s in scores]
 
         return step
 
-    return common.map_batches(rows, make, "doc_id long, held_out boolean, score double, predicted int")
+    return common.with_columns(docs, ["doc_id", "text"], make, "held_out boolean, score double, predicted int")
 
 
 def scorer(weights: np.ndarray, remembered: int = 400_000):

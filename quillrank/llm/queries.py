@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, digest, idfile, packing, quality, substring, suffix, toxicity
+from . import bpe, common, digest, idfile, jaccard, mtree, packing, quality, substring, suffix, toxicity
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -21,10 +21,14 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/idfile-{uuid.uuid4().hex[:12]}"
-    idfile.write_ids(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, _vocabulary("word_bpe_49k.json"), end_id=2)
+    idfile.write_ids(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("word_bpe_49k.json"), end_id=2)
     return idfile.read_documents(spark, path)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,8 +37,12 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("word_bpe_49k.json"))
+    return bpe.encode_decode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +56,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op4_digest, op5_suffix, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op3_jaccard, op4_digest, op5_suffix, op6_mtree, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

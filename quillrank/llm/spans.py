@@ -21,6 +21,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -183,7 +184,7 @@ def _as_columns(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [x.view(np.int64) if x.dtype == np.uint64 else x for x in rows]
 
 
-class _Collector:
+class Collector:
     """Gathers arrays and gives them to ``flush`` as a whole when there are many."""
 
     def __init__(self, flush: Callable, most: int = 1_500_000):
@@ -204,7 +205,7 @@ class _Collector:
 
 def _first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: int):
     def make():
-        got = _Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, hot)))
+        got = Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, hot)))
 
         def step(docs, texts):
             for doc, text in zip(docs, texts, strict=True):
@@ -220,7 +221,7 @@ def _first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: in
 
 def _second_map(unit: Callable, window: int, gram: int, keep_first: bool):
     def make():
-        got = _Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, 0)))
+        got = Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, 0)))
 
         def step(docs, texts, firsts, counts):
             for doc, text, first, count in zip(docs, texts, firsts, counts, strict=True):
@@ -262,7 +263,7 @@ def _meet(keep_first: bool):
         return doc[pick], pos[pick], m[pick], label
 
     def make():
-        got = _Collector(flush, 1 << 62)
+        got = Collector(flush, 1 << 62)
 
         def step(a, b, doc, pos, m, many, kind):
             got.add(np.array(a, np.int64), np.array(b, np.int64), np.array(doc, np.int64), np.array(pos, np.int64), np.array(m, np.int32), np.array(many, bool), np.array(kind, np.int8))
@@ -274,15 +275,16 @@ def _meet(keep_first: bool):
     return make
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): row is doc_id where doc_ids are unique and not null, else a number in the order of
+def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text, carried columns): row is doc_id where doc_ids are unique and not null, else a number in the order of
     (doc_id, text), nulls first, so that repeated rows are documents of their own."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     odd = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not odd:
-        return rows.select(F.col("doc_id").alias("row"), "doc_id", "text")
-    pairs = rows.sort("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["doc_id"], x[0]["text"]))
-    return common.saved(docs.sparkSession.createDataFrame(pairs, "row long, doc_id long, text string"), "numbered")
+        return rows.select(F.col("doc_id").alias("row"), *rows.columns)
+    pairs = rows.sort("doc_id", "text").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    kind = StructType([StructField("row", LongType()), *rows.schema.fields])
+    return common.saved(docs.sparkSession.createDataFrame(pairs, kind), "numbered")
 
 
 def repeated(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first: bool, hot: int = 256) -> DataFrame:
@@ -304,8 +306,8 @@ def repeated(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first
 
 
 def with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text, first, count) of every row."""
-    return rows.join(found.withColumnRenamed("doc", "row"), "row", "left").select("doc_id", "text", "first", "count")
+    """Every row without its number, with first and count."""
+    return rows.join(found.withColumnRenamed("doc", "row"), "row", "left").drop("row")
 
 
 def runs_of(first, count) -> tuple[np.ndarray, np.ndarray]:

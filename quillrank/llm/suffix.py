@@ -19,7 +19,7 @@ from . import common, spans
 
 def _kept(length: int):
     def make():
-        def step(docs, texts, firsts, counts):
+        def step(texts, firsts, counts):
             n, removed, pieces, kept_texts, digest = [], [], [], [], []
             for text, first, count in zip(texts, firsts, counts, strict=True):
                 seq = spans.in_bytes(text)
@@ -30,21 +30,27 @@ def _kept(length: int):
                 pieces.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_texts.append(kept)
-            return docs, n, removed, pieces, kept_texts, digest
+            return n, removed, pieces, kept_texts, digest
 
         return step
 
     return make
 
 
-def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50) -> DataFrame:
+def readable():
+    """For common.with_columns: bytes -> text, without what cuts have left of characters."""
+    return lambda bodies: ([b.decode("utf-8", "ignore") for b in bodies],)
+
+
+def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte that a string of ``length`` bytes covers which also starts anywhere else, in the same document
     or another; matches never cross documents. docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept
-    (bytes; a cut may fall within a character), kept_sha256.
+    (bytes; a cut may fall within a character), kept_sha256 and the columns named in ``carry``.
 
     A null text is empty; a text of fewer than ``length`` bytes stays. Repeated rows are documents of their own
     and so repeat each other.
     """
-    rows = spans.numbered(docs)
+    rows = spans.numbered(docs, carry)
     found = spans.repeated(rows, spans.in_bytes, length, gram, keep_first=False)
-    return common.map_batches(spans.with_runs(rows, found), _kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = common.with_columns(spans.with_runs(rows, found), ["text", "first", "count"], _kept(length), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return out.drop("text", "first", "count")

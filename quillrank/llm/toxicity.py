@@ -106,8 +106,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple:
 def score(docs: DataFrame, model: tuple, cut: float = 0.5) -> DataFrame:
     """docs (doc_id, text; a null text is empty and gets the bias alone) -> doc_id, p_insult, p_contempt, score,
     predicted. Whole texts are read; repeated rows are scored once each."""
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored(rows, model, cut).drop("text")
+
+
+def scored(docs: DataFrame, model: tuple, cut: float = 0.5) -> DataFrame:
+    """docs, which has no columns of these names, with p_insult, p_contempt, score and predicted."""
+    common.small_batches(docs.sparkSession)
     weights, bias, chain = model
     used = np.flatnonzero(np.abs(weights).max(axis=1) > 0)
     shared = docs.sparkSession.sparkContext.broadcast((used, weights[used], bias, chain))  # at most BUCKETS rows
@@ -115,13 +120,13 @@ def score(docs: DataFrame, model: tuple, cut: float = 0.5) -> DataFrame:
     def make():
         probabilities = scorer(*shared.value)
 
-        def step(ids, texts):
+        def step(texts):
             p = probabilities([t or "" for t in texts])
-            return ids, p[:, 0], p[:, 1], p[:, 2], (p[:, 2] >= cut).astype(np.int32)
+            return p[:, 0], p[:, 1], p[:, 2], (p[:, 2] >= cut).astype(np.int32)
 
         return step
 
-    return common.map_batches(rows, make, "doc_id long, p_insult double, p_contempt double, score double, predicted int")
+    return common.with_columns(docs, ["text"], make, "p_insult double, p_contempt double, score double, predicted int")
 
 
 def scorer(used: np.ndarray, values: np.ndarray, bias: np.ndarray, chain: np.ndarray, remembered: int = 400_000):
