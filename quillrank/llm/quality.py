@@ -104,7 +104,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: i
     parts = []
     for c in classes:
         parts += got.where(c).orderBy(key, "doc_id").limit(rows // len(classes)).select("text", "label").collect()
-    return [r["text"] for r in parts], [int(r["label"] == 1) for r in parts]
+    unlike: dict[str, int] = {}  # copies count once, with the label of the first
+    for r in parts:
+        unlike.setdefault(r["text"], int(r["label"] == 1))
+    return [*unlike], [*unlike.values()]
 
 
 def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:

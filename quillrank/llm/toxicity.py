@@ -35,38 +35,35 @@ def features(unit: str) -> list[int]:
     return out
 
 
-def _fit(x: tuple, extra: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 60, l2: float = 1e-4):
-    """Logistic regression by AdaGrad on some rows. x: flat buckets and the bounds of each row; -> weights."""
-    flat, bounds = x
-    sizes = np.diff(bounds)[rows]
-    idx = np.concatenate([flat[bounds[r] : bounds[r + 1]] for r in rows]) if len(rows) else flat[:0]
-    used, idx = np.unique(idx, return_inverse=True)
+def _fit(x: tuple, extra: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 150, l1: float = 1e-3) -> tuple:
+    """Logistic regression on some rows, by AdaGrad with a proximal step. Words only add evidence: their weights are not
+    negative, so that clean words can't outweigh a toxic one in a long text. x: row and feature of each entry."""
+    owner, feature, n_features = x
+    member = np.full(len(y), -1)
+    member[rows] = np.arange(len(rows))
+    some = member[owner] >= 0
+    owner, feature, n = member[owner[some]], feature[some], max(len(rows), 1)
     e, t = extra[rows], y[rows].astype(float)
-    w, b, a = np.zeros(len(used)), 0.0, np.zeros(e.shape[1])
-    gw, gb, ga = np.full(len(used), 1e-8), 1e-8, np.full(e.shape[1], 1e-8)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    w, b, a = np.zeros(n_features), 0.0, np.zeros(e.shape[1])
+    gw, gb, ga = np.full(n_features, 1e-8), 1e-8, np.full(e.shape[1], 1e-8)
     for _ in range(steps):
-        z = np.bincount(owner, w[idx], len(rows)) + b + e @ a
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t) / max(len(rows), 1)
-        d = np.bincount(idx, g[owner], len(used)) + l2 * w
+        g = (_sigmoid(np.bincount(owner, w[feature], len(rows)) + b + e @ a) - t) / n
+        d = np.bincount(feature, g[owner], n_features)
         gw += d * d
-        w -= 0.5 * d / np.sqrt(gw) * np.minimum(1, np.abs(d) * len(rows) / 3)  # rare words move less
+        w = np.maximum(w - 0.5 / np.sqrt(gw) * (d + l1), 0)
         gb += g.sum() ** 2
         b -= 0.5 * g.sum() / np.sqrt(gb)
         if len(a):
             da = e.T @ g
             ga += da * da
             a -= 0.5 * da / np.sqrt(ga)
-    whole = np.zeros(BUCKETS)
-    whole[used] = w
-    return whole, b, a
+    return w, b, a
 
 
 def _logits(x: tuple, extra: np.ndarray, model: tuple) -> np.ndarray:
-    flat, bounds = x
+    owner, feature, _ = x
     w, b, a = model
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return np.bincount(owner, w[flat], len(bounds) - 1) + b + extra @ a
+    return np.bincount(owner, w[feature], len(extra)) + b + extra @ a
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -77,7 +74,11 @@ def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarr
     """-> word weights (bucket, category), biases, chain weights (category, earlier category)."""
     units = [set(t.split()) for t in texts]
     rows = [np.array([f for u in us for f in features(u)], np.int64) for us in units]
-    x = (np.concatenate([*rows, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, rows)]))
+    owner, flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
+    pairs = np.unique(owner * BUCKETS + flat)
+    often = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= min(5, len(texts))
+    used, feature = np.unique(pairs[often[pairs % BUCKETS]] % BUCKETS, return_inverse=True)
+    x = (pairs[often[pairs % BUCKETS]] // BUCKETS, feature, len(used))
     letters = [{w for u in us for w in _LETTERS.findall(u.lower())} for us in units]
     targets = [np.array([bool(ws & INSULTS) for ws in letters]), np.array([bool(ws & CONTEMPT) for ws in letters]), np.array(labels, bool)]
     n, k = len(texts), len(CATEGORIES)
@@ -87,7 +88,7 @@ def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarr
     extra, everyone = np.zeros((n, 0)), np.arange(n)
     for c, y in enumerate(targets):
         w, b, a = _fit(x, extra, y, everyone)
-        weights[:, c], bias[c], chain[c, : len(a)] = w, b, a
+        weights[used, c], bias[c], chain[c, : len(a)] = w, b, a
         if c + 1 < k:
             out = np.zeros(n)
             for f in range(folds):
@@ -103,14 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple:
     return train(*sample(docs, labels, "toxic", rows, per_class=True))
 
 
-def score(docs: DataFrame, model: tuple, cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
     """docs (doc_id, text; a null text is empty and gets the bias alone) -> doc_id, p_insult, p_contempt, score,
     predicted. Whole texts are read; repeated rows are scored once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return scored(rows, model, cut).drop("text")
 
 
-def scored(docs: DataFrame, model: tuple, cut: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
     """docs, which has no columns of these names, with p_insult, p_contempt, score and predicted."""
     common.small_batches(docs.sparkSession)
     weights, bias, chain = model
