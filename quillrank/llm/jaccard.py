@@ -90,8 +90,7 @@ def frequent(rows: DataFrame, n: int, most: int = 1 << 17, least: int = 64) -> n
     shingle that a task sees in fewer than three documents adds nothing. The list only orders shingles; results
     don't depend on it."""
     counted = common.map_batches(rows.select("text"), _counts(n, 3), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "token").limit(most).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64)[::-1]
+    return np.array([r["token"] for r in common.most_frequent(counted, most)], np.int64).view(np.uint64)[::-1]
 
 
 def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
