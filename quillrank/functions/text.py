@@ -10,6 +10,11 @@ LETTERS3 = r"\p{L}{3,}"
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column, pattern: str = WORD2) -> Column:
     """Lower-case runs that match pattern."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
@@ -45,8 +50,12 @@ def protected_sentences(text: Column, citations: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     ordered = F.array_sort(citations, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     numbered = F.transform(ordered, lambda c, i: F.struct(c.alias("c"), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02")).alias("mark")))
-    hidden = F.aggregate(numbered, text, lambda t, x: F.replace(t, x["c"], x["mark"]))
-    return F.transform(sentences(hidden), lambda s: F.aggregate(numbered, s, lambda t, x: F.replace(t, x["mark"], x["c"])))
+
+    def split(marks: Column) -> Column:
+        hidden = F.aggregate(marks, text, lambda t, x: F.replace(t, x["c"], x["mark"]))
+        return F.transform(sentences(hidden), lambda s: F.aggregate(marks, s, lambda t, x: F.replace(t, x["mark"], x["c"])))
+
+    return let(numbered, split)
 
 
 #: Abbreviations after which a full stop ends no sentence.
@@ -69,7 +78,11 @@ def chunks(toks: Column, size: int, overlap: int, compat: bool = False) -> Colum
     extends the last one; with compat it replaces it from the tail's own start, and so loses tokens."""
     if size <= 0 or overlap >= size or overlap < 0:
         raise ValueError("size must be positive and overlap in 0..size-1")
-    step, n = size - overlap, F.size(toks)
+    return let(toks, lambda t: _chunks(t, size, size - overlap, compat))
+
+
+def _chunks(toks: Column, size: int, step: int, compat: bool) -> Column:
+    n = F.size(toks)
     count = F.greatest(F.lit(1), F.ceil((n - size) / step).cast("int") + 1)
     tail = (n > size) & (F.pmod(n - size, F.lit(step)) != 0)
     starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
@@ -87,6 +100,10 @@ def chunks(toks: Column, size: int, overlap: int, compat: bool = False) -> Colum
 def sentence_windows(items: Column, width: int, step: int) -> Column:
     """Windows of ``width`` items every ``step``, joined by blanks; a last partial window is merged into the one before
     it, with the items alone that it lacks."""
+    return let(items, lambda x: _sentence_windows(x, width, step))
+
+
+def _sentence_windows(items: Column, width: int, step: int) -> Column:
     n = F.size(items)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (i + width <= n) | (i == 0))
     windows = F.transform(starts, lambda i: F.slice(items, i + 1, F.lit(width)))
@@ -112,7 +129,7 @@ def before_and_after(items: Column, index: Column, n: int) -> tuple[Column, Colu
 
 def first_with(items: Column, needle: Column) -> Column:
     """0-based index of the first item that contains needle, or null."""
-    hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0))), lambda i: F.contains(F.get(items, i), needle))
+    hits = F.filter(F.transform(items, lambda x, i: F.when(F.contains(x, needle), i)), lambda i: i.isNotNull())
     return F.get(hits, F.lit(0))
 
 
@@ -128,6 +145,10 @@ def nearest(candidates: Column, wanted: Column) -> Column:
 
 def token_window(toks: Column, needle: Column, size: int) -> Column:
     """size // 2 tokens on either side of the first place where the tokens ``needle`` stand; null without one."""
+    return let(F.struct(toks.alias("t"), needle.alias("n")), lambda x: _token_window(x["t"], x["n"], size))
+
+
+def _token_window(toks: Column, needle: Column, size: int) -> Column:
     k = F.size(needle)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(toks) - k, F.lit(0))), lambda i: F.slice(toks, i + 1, k) == needle)
     at = F.get(starts, F.lit(0))
@@ -143,8 +164,20 @@ def leading_facts(items: Column, has_citation: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
+    def pairs(t: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
+
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
+    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(let(t, pairs))
+
+
+def ngrams(toks: Column, n: int) -> Column:
+    """Each n successive tokens, joined by blanks; none of fewer."""
+
+    def grams(t: Column) -> Column:
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")))
+
+    return let(toks, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,0 +1,108 @@
+"""Sections of court documents and the considerations span.
+
+The splitter is a small state machine over a text's blocks, so it is one vectorised function per batch of texts.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Section types, their weights, header words and keywords, in order of precedence.
+TYPES = ("facts", "reasoning", "operative", "appeal", "signature")
+WEIGHTS = {"facts": 0.2, "reasoning": 1.5, "operative": 0.5, "appeal": 0.15, "signature": 0.05, "other": 0.2}
+HEADERS = {
+    "facts": r"^\s*(?:[A-Z]\.\s*-?\s*)?(?:Sachverhalt|Tatbestand|Faits|Fatti)\b",
+    "reasoning": r"^\s*(?:Aus den\s+)?(?:Erwägungen?|In Erwägung|Considérant|Das Bundesgericht zieht in Erwägung|Diritto)\b",
+    "operative": r"^\s*(?:Demnach|Dispositiv|Demgemäss|Urteil(?:sspruch)?|Par ces motifs)\b",
+    "appeal": r"^\s*(?:Rechtsmittel(?:belehrung)?|Voies de droit)\b",
+    "signature": r"^\s*(?:Im Namen|Lausanne|Luzern|Der Präsident|Die Präsidentin|Le président|Der Gerichtsschreiber)\b",
+}
+KEYWORDS = {
+    "facts": ("ereignete", "klage", "kläger", "beschwerdeführer", "reichte", "am tag"),
+    "reasoning": ("gemäss art", "rechtsprechung", "erwägung", "zu prüfen", "vorinstanz", "bge"),
+    "operative": ("wird abgewiesen", "wird gutgeheissen", "gerichtskosten", "erkennt"),
+    "appeal": ("beschwerde geführt werden", "innert 30 tagen", "frist"),
+    "signature": ("präsident", "gerichtsschreiber", "im namen des"),
+}
+
+
+def split_court_document(text: str | None) -> list[dict]:
+    """[{type, label, weight, start, end, text}]: blocks between blank lines get a type by a header, else by at least one
+    keyword of a type without competition, else they wait and join the section before them, or the first after them
+    if none is before. Neighbours of one type merge. Blocks of a text without any type go by place: first, last if
+    short, and the middle."""
+    blocks = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S(?:.|\n(?!\s*\n))*", text or "")]
+    typed: list[list] = []
+    for start, end, block in blocks:
+        kind = next((t for t in TYPES if re.search(HEADERS[t], block)), None)
+        if kind is None:
+            low = block.lower()
+            score = {t: sum(k in low for k in KEYWORDS[t]) for t in TYPES}
+            best = max(TYPES, key=lambda t: score[t])
+            if score[best] >= 1 and sum(v == score[best] for v in score.values()) == 1:
+                kind = best
+        typed.append([kind, start, end])
+    known = next((t for t, _, _ in typed if t), None)
+    if known is None:
+        n = len(typed)
+        for i, b in enumerate(typed):
+            short_last = i == n - 1 and n > 1 and b[2] - b[1] < 400
+            b[0] = "signature" if short_last else "facts" if i == 0 and n > 1 else "reasoning"
+    else:
+        last = known
+        for b in typed:
+            last = b[0] = b[0] or last
+    merged: list[list] = []
+    for kind, start, end in typed:
+        if merged and merged[-1][0] == kind:
+            merged[-1][2] = end
+        else:
+            merged.append([kind, start, end])
+    return [{"type": k, "label": k.capitalize(), "weight": WEIGHTS[k], "start": a, "end": b, "text": text[a:b]} for k, a, b in merged]
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, no, type, label, weight, start, end, text) from docs (doc_id, text)."""
+    kind = "array<struct<type:string,label:string,weight:double,start:int,end:int,text:string>>"
+
+    @F.pandas_udf(kind)
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(split_court_document)
+
+    return docs.select("doc_id", F.posexplode(split("text")).alias("no", "s")).select("doc_id", "no", "s.*")
+
+
+#: Where considerations start, in order of precedence, and where they end.
+STARTS = (r"Das Bundesgericht zieht in Erwägung", r"Aus den Erwägungen", r"Erwägungen?:", r"in Erwägung:", r"Considérant en droit")
+ENDS = (r"Demnach erkennt", r"Dispositiv", r"Par ces motifs", r"Rechtsmittelbelehrung")
+
+
+def _first(text: Column, patterns: tuple[str, ...], default: Column) -> tuple[Column, Column]:
+    at = [F.regexp_instr(text, F.lit(p)) for p in patterns]
+    number = F.coalesce(*[F.when(x > 0, i) for i, x in enumerate(at)], F.lit(-1))
+    return F.coalesce(*[F.when(x > 0, x) for x in at], default), number
+
+
+def considerations(text: Column, least: int = 80) -> Column:
+    """struct(text, start_pattern, end_pattern): from the first start pattern that matches to the first end pattern after it;
+    a null text if there is no start or fewer than ``least`` characters."""
+    start, i = _first(text, STARTS, F.lit(None).cast("int"))
+    rest = F.substr(text, start)
+    end, j = _first(rest, ENDS, F.length(rest) + 1)
+    span = F.trim(F.substr(rest, F.lit(1), end - 1))
+    return F.struct(F.when(F.length(span) >= least, span).alias("text"), i.alias("start_pattern"), F.coalesce(j, F.lit(-1)).alias("end_pattern"))
+
+
+def section_type(text: Column) -> Column:
+    """A weak classifier: the weight of the first type whose header or keyword occurs, else 1.0."""
+    out = F.lit(1.0)
+    for t in reversed(TYPES):
+        hit = text.rlike("(?m)" + HEADERS[t])
+        for k in KEYWORDS[t]:
+            hit = hit | F.contains(F.lower(text), F.lit(k))
+        out = F.when(hit, WEIGHTS[t]).otherwise(out)
+    return out
