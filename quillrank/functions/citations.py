@@ -41,7 +41,11 @@ def extract(text: Column, dialect: str = "loose") -> Column:
 
 def extract_typed(text: Column, dialect: str = "strict") -> Column:
     """Distinct (text, type), sorted."""
-    typed = [F.transform(found(text, f, dialect), lambda x, f=f: F.struct(x.alias("text"), F.lit(f).alias("type"))) for f in FAMILIES]
+
+    def typed_as(family: str) -> Column:
+        return F.transform(found(text, family, dialect), lambda x: F.struct(x.alias("text"), F.lit(family).alias("type")))
+
+    typed = [typed_as(f) for f in FAMILIES]
     return F.array_sort(F.array_distinct(F.concat(*typed)))
 
 
@@ -55,7 +59,7 @@ def extract_spans(text: Column, dialect: str = "strict") -> Column:
         state = F.struct(none.alias("got"), F.lit(1).alias("at"))
 
         def put(s: Column, x: Column) -> Column:
-            at = F.locate_from(x, text, s["at"]) if hasattr(F, "locate_from") else F.call_function("locate", x, text, s["at"])
+            at = F.call_function("locate", x, text, s["at"])
             one = F.struct(x.alias("text"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(x)).cast("int").alias("end"))
             return F.struct(F.concat(s["got"], F.array(one)).alias("got"), (at + F.length(x)).cast("int").alias("at"))
 
