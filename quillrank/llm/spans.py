@@ -118,6 +118,26 @@ class Sequence:
         return np.cumsum(edge[:-1]) > 0
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with body, the compressed text, in place of text: what has to be shuffled is less than half as long."""
+
+    def make():
+        import zstandard
+
+        zip_one = zstandard.ZstdCompressor(level=1).compress
+        return lambda texts: ([None if t is None else zip_one(t.encode("utf-8", "surrogatepass")) for t in texts],)
+
+    return common.with_columns(rows, ["text"], make, "body binary").drop("text")
+
+
+def unpacker():
+    """Within a task: body -> text."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor().decompress
+    return lambda body: None if body is None else unzip(body).decode("utf-8", "surrogatepass")
+
+
 def in_bytes(text: str | None) -> Sequence:
     data = (text or "").encode("utf-8", "surrogatepass")
     at = np.arange(len(data) + 1)
@@ -133,8 +153,9 @@ def in_words(text: str | None) -> Sequence:
 
 
 #: What becomes of a row. In stage 1: KEY meets others by route; FOUND repeats for sure; MARK says that an anchor is
-#: hot; HOT has a hot anchor and meets equal runs only. After it: FOUND, or CANDIDATE.
-KEY, FOUND, MARK, HOT, CANDIDATE = range(5)
+#: hot; HOT has a hot anchor and meets equal runs only. After it: FOUND, or CANDIDATE, or HOT if its anchor is. In stage
+#: 2, CONTENT is a run with what it covers.
+KEY, FOUND, MARK, HOT, CANDIDATE, CONTENT = range(6)
 
 
 def _grouped(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray):
@@ -145,6 +166,16 @@ def _grouped(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _joined(doc: np.ndarray, pos: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that follow each other in one document become one."""
+    if not len(doc):
+        return doc, pos, m
+    order = np.lexsort((pos, doc))
+    doc, pos, m = doc[order], pos[order], m[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + m[:-1])]))
+    return doc[new], pos[new], np.add.reduceat(m, new)
+
+
 def _set_aside(a, b, doc, pos, m, keep_first: bool, hot: int):
     """Within a task: rows (route, a, b, doc, pos, m, many, kind). One row of each (a, b) goes on as KEY, with many =
     whether there were more; the others are FOUND, and without keep_first that one is FOUND too."""
@@ -167,11 +198,12 @@ def _set_aside(a, b, doc, pos, m, keep_first: bool, hot: int):
         kind[is_hot] = HOT
         route[is_hot] = b[starts][is_hot]
         marks = a[starts][anchor_new][kinds > hot]
-    f = np.flatnonzero(found)
+    f_doc, f_pos, f_m = _joined(doc[found], pos[found], m[found])
+    f_route = mix(f_doc.astype(np.uint64))
     zero = np.zeros(len(marks), np.int64)
     parts = [
         (route, a[starts], b[starts], doc[starts], pos[starts], m[starts], many, kind),
-        (mix(doc[f].astype(np.uint64)), a[f], b[f], doc[f], pos[f], m[f], np.ones(len(f), bool), np.full(len(f), FOUND, np.int8)),
+        (f_route, np.zeros_like(f_route), np.zeros_like(f_route), f_doc, f_pos, f_m, np.ones(len(f_doc), bool), np.full(len(f_doc), FOUND, np.int8)),
         (marks, marks, marks, zero, zero, zero, np.zeros(len(marks), bool), np.full(len(marks), MARK, np.int8)),
     ]
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
@@ -219,31 +251,91 @@ def _first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: in
     return make
 
 
-def _second_map(unit: Callable, window: int, gram: int, keep_first: bool):
-    def make():
-        got = Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, 0)))
-
-        def step(docs, texts, firsts, counts):
-            for doc, text, first, count in zip(docs, texts, firsts, counts, strict=True):
-                for h, pos in unit(text).windows(np.array(first, np.int64), np.array(count, np.int64), window, gram):
-                    got.add(h, mix(h ^ np.uint64(window)), np.full(len(pos), doc, np.int64), pos, np.ones(len(pos), np.int32))
-            return got.out()
+def _second_map(unit: Callable, window: int, gram: int, keep_first: bool, ship: bool):
+    """Windows of candidates, or with ship the bytes that the runs cover: one row for a run and not for each window. The
+    runs of hot anchors always go by windows."""
 
-        step.rest = lambda: got.out(True)
+    def make():
+        text_of = unpacker()
+        held: list[tuple] = []
+
+        def windows(*columns):
+            return [*_as_columns(_set_aside(*columns, keep_first, 0))]
+
+        got = Collector(windows)
+
+        def out(force: bool):
+            rows = got.out(force)
+            n = len(rows[0]) if rows else 0
+            columns = [x.tolist() for x in rows] if rows else [[] for _ in range(8)]
+            columns.append([None] * n)
+            for r in held:
+                for c, x in zip(columns, r, strict=True):
+                    c.append(x)
+            held.clear()
+            return columns if columns[0] else None
+
+        def step(docs, bodies, firsts, counts, anchors, kinds):
+            for doc, body, first, count, anchor, kind in zip(docs, bodies, firsts, counts, anchors, kinds, strict=True):
+                seq = unit(text_of(body))
+                by_window = [i for i in range(len(first)) if not ship or kind[i] == HOT]
+                if by_window:
+                    for h, pos in seq.windows(np.array([first[i] for i in by_window], np.int64), np.array([count[i] for i in by_window], np.int64), window, gram):
+                        got.add(h, mix(h ^ np.uint64(window)), np.full(len(pos), doc, np.int64), pos, np.ones(len(pos), np.int32))
+                for i in range(len(first)) if ship else ():
+                    if kind[i] != HOT:
+                        held.append((anchor[i], anchor[i], 0, doc, first[i], count[i], False, CONTENT, seq.data[first[i] : first[i] + count[i] + window - 1]))
+            return out(False)
+
+        step.rest = lambda: out(True)
         return step
 
     return make
 
 
-_FLAG = "doc long, pos long, m int, kind byte"
+_FLAG = "doc long, pos long, m int, kind byte, a long"
+
+
+def _same_windows(a, doc, pos, m, content, window: int, gram: int, keep_first: bool, most: int = 1 << 20):
+    """Which windows of runs with equal anchors are equal: (doc, pos, m) of those found. Anchors are taken in parts of
+    about ``most`` bytes."""
+    order = np.argsort(a, kind="stable")
+    size = m[order].astype(np.int64) + window - 1
+    ends = np.cumsum(size)
+    anchors = a[order]
+    at = 0
+    while at < len(order):
+        end = int(np.searchsorted(ends, ends[at] - size[at] + most))
+        end = max(end, at + 1)
+        end = int(np.searchsorted(anchors, anchors[end - 1], side="right"))  # whole anchors
+        rows = order[at:end]
+        lengths = size[at:end]
+        data = b"".join([content[i] for i in rows])
+        h = Hashes(data)
+        place = np.arange(len(data) - gram + 1)
+        depth, bucket = gram, h.of(place, place + gram)
+        while depth < window:
+            later = min(depth, window - depth)
+            bucket = mix(bucket[: len(bucket) - later] * _R + bucket[later:])
+            depth += later
+        counts = m[rows].astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids = bucket[np.repeat(begin, counts) + step]
+        d, p = np.repeat(doc[rows], counts), np.repeat(pos[rows], counts) + step
+        o, starts, group = _grouped(np.repeat(a[rows], counts), ids, d, p)
+        many = (np.diff(np.append(starts, len(o))) > 1)[group]
+        if keep_first:
+            many[starts] = False
+        yield _joined(d[o][many], p[o][many], np.ones(int(many.sum()), np.int32))
+        at = end
 
 
-def _meet(keep_first: bool):
+def _meet(keep_first: bool, window: int = 0, gram: int = 0):
     """Per partition of a route: what repeats, and which runs are candidates."""
 
-    def flush(a, b, doc, pos, m, many, kind):
+    def flush(a, b, doc, pos, m, many, kind, content):
         a, b = a.view(np.uint64), b.view(np.uint64)
-        sure = kind == FOUND
         marked = np.unique(a[kind == MARK])
         k = np.flatnonzero((kind == KEY) | (kind == HOT))
         order, starts, group = _grouped(a[k], b[k], doc[k], pos[k])
@@ -257,16 +349,25 @@ def _meet(keep_first: bool):
         lead = k[starts]
         new = np.concatenate([[True], a[lead][1:] != a[lead][:-1]]) if len(lead) else np.zeros(0, bool)
         kinds = np.diff(np.append(np.flatnonzero(new), len(lead)))
-        shared = (kinds > 1)[np.cumsum(new) - 1] | (kind[lead] == HOT) | np.isin(a[lead], marked) if len(lead) else new
-        pick = np.concatenate([np.flatnonzero(sure), k[found], lead[shared]])
-        label = np.repeat(np.array([FOUND, FOUND, CANDIDATE], np.int8), [int(sure.sum()), int(found.sum()), int(shared.sum())])
-        return doc[pick], pos[pick], m[pick], label
+        is_hot = (kind[lead] == HOT) | np.isin(a[lead], marked)
+        shared = (kinds > 1)[np.cumsum(new) - 1] | is_hot if len(lead) else new
+        parts = [_joined(*(np.concatenate([x[kind == FOUND], x[k[found]]]) for x in (doc, pos, m)))]
+        whole = np.flatnonzero(kind == CONTENT)
+        if len(whole):
+            parts += _same_windows(a[whole], doc[whole], pos[whole], m[whole], [content[i] for i in whole], window, gram, keep_first)
+        f_doc, f_pos, f_m = (np.concatenate(c) for c in zip(*parts, strict=True))
+        pick = lead[shared]
+        label = np.where(is_hot[shared], HOT, CANDIDATE).astype(np.int8)
+        return np.concatenate([f_doc, doc[pick]]), np.concatenate([f_pos, pos[pick]]), np.concatenate([f_m, m[pick]]), np.concatenate([np.full(len(f_doc), FOUND, np.int8), label]), np.concatenate([np.zeros(len(f_doc), np.int64), a[pick].view(np.int64)])
 
     def make():
         got = Collector(flush, 1 << 62)
 
-        def step(a, b, doc, pos, m, many, kind):
-            got.add(np.array(a, np.int64), np.array(b, np.int64), np.array(doc, np.int64), np.array(pos, np.int64), np.array(m, np.int32), np.array(many, bool), np.array(kind, np.int8))
+        def step(a, b, doc, pos, m, many, kind, content=None):
+            bodies = np.empty(len(a), object)
+            if content is not None:
+                bodies[:] = content
+            got.add(np.array(a, np.int64), np.array(b, np.int64), np.array(doc, np.int64), np.array(pos, np.int64), np.array(m, np.int32), np.array(many, bool), np.array(kind, np.int8), bodies)
             return None
 
         step.rest = lambda: got.out(True)
@@ -287,27 +388,28 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return common.saved(docs.sparkSession.createDataFrame(pairs, kind), "numbered")
 
 
-def repeated(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first: bool, hot: int = 256) -> DataFrame:
+def repeated(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first: bool, hot: int = 256, ship: bool = False) -> DataFrame:
     """Windows that repeat: rows (row, doc_id, text) -> (doc, first, count), arrays of runs of windows per row. With
     keep_first a window counts if an equal one starts earlier, by (row, position); without, if one starts anywhere
-    else. A null text has no windows."""
+    else. A null text has no windows. ship: see _second_map, for bytes only."""
     spark = rows.sparkSession
     common.small_batches(spark, 2000)
     parts = common.shuffle_parts(spark)
     runs = common.map_batches(rows.select("row", "text"), _first_map(unit, window, gram, keep_first, hot), _ROW)
     columns = ["a", "b", "doc", "pos", "m", "many", "kind"]
     flags = common.saved(common.map_batches(runs.repartition(parts, "route").select(columns), _meet(keep_first), _FLAG), "runs")
-    wanted = flags.where(F.col("kind") == CANDIDATE).groupBy("doc").agg(F.collect_list("pos").alias("first"), F.collect_list("m").alias("count"))
-    with_text = rows.select(F.col("row").alias("doc"), "text").join(wanted, "doc").select("doc", "text", "first", "count")
-    windows = common.map_batches(with_text, _second_map(unit, window, gram, keep_first), _ROW)
-    more = common.map_batches(windows.repartition(parts, "route").select(columns), _meet(keep_first), _FLAG)
+    each = {"pos": "first", "m": "count", "a": "anchor", "kind": "hot"}
+    wanted = flags.where(F.col("kind") != FOUND).groupBy("doc").agg(*[F.collect_list(c).alias(n) for c, n in each.items()])
+    with_text = packed(rows.select(F.col("row").alias("doc"), "text")).join(wanted, "doc").select("doc", "body", *each.values())
+    windows = common.map_batches(with_text, _second_map(unit, window, gram, keep_first, ship), f"{_ROW}, content binary")
+    more = common.map_batches(windows.repartition(parts, "route").select(*columns, "content"), _meet(keep_first, window, gram), _FLAG)
     found = flags.unionByName(more).where(F.col("kind") == FOUND)
     return found.groupBy("doc").agg(F.collect_list("pos").alias("first"), F.collect_list("m").alias("count"))
 
 
 def with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row without its number, with first and count."""
-    return rows.join(found.withColumnRenamed("doc", "row"), "row", "left").drop("row")
+    """Every row without its number, with first and count, and body for text."""
+    return packed(rows).join(found.withColumnRenamed("doc", "row"), "row", "left").drop("row")
 
 
 def runs_of(first, count) -> tuple[np.ndarray, np.ndarray]:

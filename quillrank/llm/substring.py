@@ -19,10 +19,12 @@ from . import common, spans
 
 def _kept(window: int):
     def make():
-        def step(docs, texts, firsts, counts):
+        text_of = spans.unpacker()
+
+        def step(docs, bodies, firsts, counts):
             n, removed, digest, kept_texts = [], [], [], []
-            for text, first, count in zip(texts, firsts, counts, strict=True):
-                seq = spans.in_words(text)
+            for body, first, count in zip(bodies, firsts, counts, strict=True):
+                seq = spans.in_words(text_of(body))
                 gone = seq.covered(*spans.runs_of(first, count), window)
                 if gone.any():
                     words = seq.data.split(b" ")
@@ -50,4 +52,4 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 4) -> DataFrame:
     """
     rows = spans.numbered(docs)
     found = spans.repeated(rows, spans.in_words, window, gram, keep_first=True)
-    return common.map_batches(spans.with_runs(rows, found), _kept(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return common.map_batches(spans.with_runs(rows, found).select("doc_id", "body", "first", "count"), _kept(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

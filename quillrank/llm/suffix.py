@@ -19,10 +19,12 @@ from . import common, spans
 
 def _kept(length: int):
     def make():
-        def step(texts, firsts, counts):
+        text_of = spans.unpacker()
+
+        def step(bodies, firsts, counts):
             n, removed, pieces, kept_texts, digest = [], [], [], [], []
-            for text, first, count in zip(texts, firsts, counts, strict=True):
-                seq = spans.in_bytes(text)
+            for body, first, count in zip(bodies, firsts, counts, strict=True):
+                seq = spans.in_bytes(text_of(body))
                 gone = seq.covered(*spans.runs_of(first, count), length)
                 kept = np.frombuffer(seq.data, np.uint8)[~gone].tobytes() if gone.any() else seq.data
                 n.append(seq.n)
@@ -51,6 +53,6 @@ def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50, carry: tuple
     and so repeat each other.
     """
     rows = spans.numbered(docs, carry)
-    found = spans.repeated(rows, spans.in_bytes, length, gram, keep_first=False)
-    out = common.with_columns(spans.with_runs(rows, found), ["text", "first", "count"], _kept(length), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.drop("text", "first", "count")
+    found = spans.repeated(rows, spans.in_bytes, length, gram, keep_first=False, ship=True)
+    out = common.with_columns(spans.with_runs(rows, found), ["body", "first", "count"], _kept(length), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return out.drop("body", "first", "count")
