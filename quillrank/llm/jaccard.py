@@ -7,8 +7,12 @@ size - o + 2 of each, the extended prefix; so they share a rare shingle there, w
 frequent ones, which are indexed as a pair. A set with many frequent shingles in its prefix, as in a large group
 of near copies, would have too many pairs; it indexes them singly, and the others probe those entries.
 
-Only components are asked for, so candidates are verified in two rounds. First each node against the one hub (the
-least node) that it shares most keys with. Then nodes that share a key but not yet a component, unless both were
+A pair that shares c keys has at most c + max(|x| - p, |y| - q) common shingles, where p and q are the lengths of the
+prefixes: what the set whose prefix ends first has in its prefix and the other lacks there, the other lacks
+altogether. Pairs that can't reach the threshold by that are not verified.
+
+Only components are asked for, so candidates are verified in two rounds. First each node against the one hub that it
+shares most keys with; a key's hub is its most typical node. Then nodes that share a key but not yet a component, unless both were
 compared with the same hub and the triangle inequality of Jaccard distances rules a link out.
 """
 
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common, spans
 
-#: Keys of an index entry: a rare shingle or a pair; a frequent shingle of a set with few; of one with many.
-RARE, FEW, MANY = range(3)
+#: Keys of an index entry: a rare shingle; a frequent shingle of a set with few; of one with many; a pair.
+RARE, FEW, MANY, PAIR = range(4)
 #: A set with more frequent shingles than this in its prefix has no pairs.
 FEW_MOST = 6
 
@@ -97,7 +101,7 @@ def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) ->
     """(key, kind) of a set's index entries. heavy: frequent shingles, sorted; rank: their order."""
     size = len(s)
     need = -(-percent * size // 100)
-    if need >= size or need < 2:  # it links with no other set
+    if 100 * size < percent * (size + 1):  # not even a set with one more shingle is near enough
         return np.zeros(0, np.uint64), np.zeros(0, np.int8)
     prefix = min(size, size - need + 2)
     if len(heavy):
@@ -108,14 +112,15 @@ def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) ->
     else:
         light, often = s[:prefix], s[:0]
     keys, kinds = [light], [np.full(len(light), RARE, np.int8)]
+    single = len(often) > FEW_MOST or need < 2  # of one common shingle no pair can be made
     if len(often):
         keys.append(spans.mix(often ^ np.uint64(0xA5A5A5A5)))
-        kinds.append(np.full(len(often), MANY if len(often) > FEW_MOST else FEW, np.int8))
-        if 2 <= len(often) <= FEW_MOST:
+        kinds.append(np.full(len(often), MANY if single else FEW, np.int8))
+        if len(often) >= 2 and not single:
             i, j = np.triu_indices(len(often), 1)
             a, b = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
             keys.append(spans.mix(a * np.uint64(0x9E3779B97F4A7C15) + b))
-            kinds.append(np.full(len(i), RARE, np.int8))
+            kinds.append(np.full(len(i), PAIR, np.int8))
     return np.concatenate(keys), np.concatenate(kinds)
 
 
@@ -156,7 +161,7 @@ def _index(n: int, percent: int, shared, hot: int = 512):
 
 
 def _groups():
-    """Entries of keys that several nodes have, with the hub of the part of the key that came to this task."""
+    """Entries of keys that several nodes have."""
 
     def flush(route, key, node, size, kind):
         marked = np.unique(key[node < 0])
@@ -167,12 +172,11 @@ def _groups():
             return None
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (route[1:] != route[:-1])]))
         counts = np.diff(np.append(new, len(key)))
-        hub = np.repeat(node[new], counts)
-        differs = np.add.reduceat(node != hub, new) > 0
-        able = kind[new] != FEW  # else no node of this part has many frequent shingles
+        differs = np.add.reduceat(node != np.repeat(node[new], counts), new) > 0
+        able = kind[new] != FEW  # the first of a part; else no node of it has many frequent shingles
         spread = route != key
         keep = np.repeat(differs & able, counts) | spread | np.isin(key, marked)
-        return key[keep], node[keep], size[keep], kind[keep], hub[keep], np.repeat(size[new], counts)[keep]
+        return key[keep], node[keep], size[keep], kind[keep]
 
     def make():
         got = spans.Collector(flush, 1 << 62)
@@ -189,9 +193,11 @@ def _groups():
 
 def _set_bytes(n: int):
     def make():
-        def step(nodes, texts):
+        text_of = spans.unpacker()
+
+        def step(nodes, bodies):
             # Six bytes a hash: two sets of thousands of shingles meet wrongly once in millions of pairs.
-            return nodes, [(shingles(t, n) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in texts]
+            return nodes, [(shingles(text_of(b), n) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for b in bodies]
 
         return step
 
@@ -248,6 +254,13 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels.toDF("node", "component")
 
 
+def _enough(shared, size_a, size_b, percent: int):
+    """Whether two sets with that many shared keys can link, see above; FEW entries that don't meet may add FEW_MOST."""
+    need = lambda size: F.ceil(size * percent / 100)
+    asked = F.ceil((size_a + size_b) * percent / (100 + percent))
+    return shared + FEW_MOST >= asked - F.greatest(need(size_a), need(size_b)) + 2
+
+
 def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
@@ -263,21 +276,36 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     shared = spark.sparkContext.broadcast(frequent(rows, n))  # at most 2**17 numbers
     index = common.map_batches(rows.select("text"), _index(n, percent, shared), "route long, key long, node long, size int, kind byte")
-    groups = common.saved(common.map_batches(index.repartition(parts, "route"), _groups(), "key long, node long, size int, kind byte, hub long, hub_size int"), "groups")
-
+    groups = common.saved(common.map_batches(index.repartition(parts, "route"), _groups(), "key long, node long, size int, kind byte"), "groups")
+    size = F.col("size")
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    stars = groups.where((F.col("node") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"))).groupBy("node", "hub").agg(F.count("*").alias("n"))
-    stars = stars.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("b")).withColumnRenamed("node", "a")
-    wanted = groups.select("node").distinct().join(nodes, "node")
-    bodies = common.saved(common.map_batches(rows.select("row", "text").join(wanted, "row").select("node", "text"), _set_bytes(n), "node long, shingles binary"), "bodies", compression="none")
-    first = common.saved(compared(stars, bodies, percent), "first")
+
+    def bodies(wanted: DataFrame, name: str) -> DataFrame:
+        """The sets of some nodes, from the text of one document of each."""
+        rows_of = wanted.join(nodes, "node")
+        return common.saved(common.map_batches(spans.packed(rows.select("row", "text")).join(rows_of, "row").select("node", "body"), _set_bytes(n), "node long, shingles binary"), name, compression="none")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    # The hub of a key is its most typical node: the one of whose shingles the greatest share is in other sets too, as in
+    # the text that near copies come from. That copies are linked with it and not always with each other then doesn't
+    # leave them apart.
+    single = groups.where(F.col("kind") != PAIR).select("key", "node", "size").distinct()
+    typical = single.groupBy("node", "size").agg((F.count("*") / size).alias("share"))
+    hubs = single.join(typical.select("node", "share"), "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("size").alias("hub_size")), F.struct("share", "node")).alias("h"))
+    stars = single.join(hubs.select("key", "h.hub", "h.hub_size"), "key").where((F.col("node") != F.col("hub")) & alike(size, F.col("hub_size"))).groupBy("node", "hub", "size", "hub_size").agg(F.count("*").alias("n"))
+    # A key's hub may differ from the pair's, so not all shared keys are counted here; what this leaves out, the second
+    # round takes up.
+    stars = stars.where(_enough(2 * F.col("n"), size, F.col("hub_size"), percent)).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("b")).withColumnRenamed("node", "a")
+    stars = common.saved(stars, "stars")
+    first = common.saved(compared(stars, bodies(ends(stars), "bodies"), percent), "first")
     known = components(first.where("link"), "first")
 
     # Nodes that share a key across components.
     own = groups.select("key", "node", "size", "kind").distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = own.join(first.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance"), "node", "left")
-    own = own.withColumn("hub", F.coalesce("hub", "node")).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    own = common.saved(own, "open")
+    own = common.saved(own.withColumn("hub", F.coalesce("hub", "node")).withColumn("distance", F.coalesce("distance", F.lit(0.0))), "open")
     mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     own = own.join(mixed, "key")
     x, y = (own.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "kind", "component", "hub", "distance"))) for s in "xy")
@@ -286,8 +314,9 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     apart = (F.col("hub_x") == F.col("hub_y")) & (F.abs(F.col("distance_x") - F.col("distance_y")) > 1 - percent / 100 + 1e-9)
     # A star that failed isn't compared again.
     again = (F.col("hub_x") == F.col("node_y")) | (F.col("hub_y") == F.col("node_x"))
-    pairs = pairs.where(~apart & ~again).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    second = compared(pairs, bodies, percent).where("link")
+    pairs = pairs.where(~apart & ~again).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), "size_x", "size_y").agg(F.sum((F.col("kind_x") != PAIR).cast("int")).alias("n"))
+    pairs = common.saved(pairs.where(_enough(F.col("n"), F.col("size_x"), F.col("size_y"), percent)).select("a", "b"), "pairs")
+    second = compared(pairs, bodies(ends(pairs), "more-bodies"), percent).where("link")
     groups_of = components(first.where("link").select("a", "b").unionByName(second.select("a", "b")), "all")
 
     ids = sets.join(rows.select("row", "doc_id"), "row").join(groups_of, "node", "left")
