@@ -36,18 +36,16 @@ class Merges:
         self.vocab = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.made = [self.vocab[a + b] for a, b in pairs]
 
     def ids(self, piece: str) -> list[int]:
         got = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.suffix]]
-        rank, never = self.rank, (1 << 60, -1)
+        rank, never = self.rank, len(self.made)
         found = [rank.get(p, never) for p in zip(got, got[1:])]
-        while found:
-            best = min(found)
-            if best is never:
-                break
+        while found and (best := min(found)) < never:
             i = found.index(best)
-            got[i : i + 2] = [best[1]]
+            got[i : i + 2] = [self.made[best]]
             del found[i]
             if i:
                 found[i - 1] = rank.get((got[i - 1], got[i]), never)
@@ -129,39 +127,42 @@ class Lexicon:
             raise ValueError("not a lexicon")
         self.words, at = words, _HEAD.size
 
-        def view(kind: str, n: int) -> np.ndarray:
+        def view(kind: str, size: int) -> memoryview:
             nonlocal at
-            got = np.frombuffer(self.map, kind, n, at)
-            at += got.nbytes
+            got = memoryview(self.map)[at : at + size].cast(kind)
+            at += size
             return got
 
-        self.first, self.final, self.label = view("<u4", states + 1), view("u1", states), view("u1", n_arcs)
-        self.target, self.skip, self.ends, self.out = view("<u4", n_arcs), view("<u4", n_arcs), view("<u4", words + 1), view("<u4", n_ids)
-        self.labels = memoryview(self.label).tobytes()
+        self.first, self.final, self.labels = view("I", 4 * (states + 1)), view("B", states), view("B", n_arcs).tobytes()
+        self.target, self.skip, self.ends, self.out = (view("I", 4 * n) for n in (n_arcs, n_arcs, words + 1, n_ids))
         self.states = states
 
     def ids(self, piece: str) -> list[int] | None:
         state, number = 0, 0
+        find, first, target, skip = self.labels.find, self.first, self.target, self.skip
         for c in piece.encode("utf-8"):
-            arc = self.labels.find(c, self.first[state], self.first[state + 1])
+            arc = find(c, first[state], first[state + 1])
             if arc < 0:
                 return None
-            number += int(self.skip[arc])
-            state = self.target[arc]
+            number += skip[arc]
+            state = target[arc]
         return self.out[self.ends[number] : self.ends[number + 1]].tolist() if self.final[state] else None
 
 
 class Coder:
     """Encodes and decodes whole texts with a lexicon and exact merges."""
 
-    def __init__(self, file: str, lexicon: bytes, units: int = 250_000, pieces: int = 300_000):
+    def __init__(self, file: str, lexicon: bytes, units: int = 350_000, pieces: int = 350_000):
         self.cut = tokens.Pieces(file)
         self.merges = Merges(file)
         self.lexicon = Lexicon(lexicon)
         self.letters = {i: t for t, i in self.merges.vocab.items()} | {i: t for t, i in self.cut.special.items()}
         self.pieces = tokens.Remembered(self._piece, pieces)
-        self.numbers = tokens.Remembered(lambda u: " ".join([self.pieces[p][0] for p in self.cut.of_unit(u)]), units)
-        self.tokens = tokens.Remembered(lambda u: " ".join([self.pieces[p][1] for p in self.cut.of_unit(u)]), units)
+        self.units = tokens.Remembered(self._unit, units)
+
+    def _unit(self, unit: str) -> tuple[str, str]:
+        got = [self.pieces[p] for p in self.cut.of_unit(unit)]
+        return got[0] if len(got) == 1 else (" ".join([a for a, _ in got]), " ".join([b for _, b in got]))
 
     def _piece(self, piece: str) -> tuple[str, str]:
         ids = self.lexicon.ids(piece)
@@ -174,7 +175,8 @@ class Coder:
         if not text:
             return "", ""
         if (units := self.cut.units(text)) is not None and self.cut.style == "words":
-            return " ".join(map(self.numbers.__getitem__, units)), " ".join(map(self.tokens.__getitem__, units))
+            numbers, letters = zip(*map(self.units.__getitem__, units)) if units else ((), ())
+            return " ".join(numbers), " ".join(letters)
         got = [(str(p), self.letters[p]) if isinstance(p, int) else self.pieces[p] for p in self.cut.of_text(text)]
         return " ".join([a for a, _ in got]), " ".join([b for _, b in got])
 
@@ -211,7 +213,7 @@ def build_lexicon(docs: DataFrame, file: str, words: int = 32768, longest: int =
     """Counts the white-space words of all docs and compiles the pieces of the ``words`` most frequent ones of at
     most ``longest`` characters. The result has at most words * longest pieces, whatever the corpus."""
     counted = common.map_batches(docs.select(F.col("text").cast("string")), _counts(file), "word string, n long")
-    top = counted.where(F.length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    top = common.most_frequent(counted.where(F.length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n")), words)
     cut, merges = tokens.Pieces(file), Merges(file)
     return compile_lexicon((p, merges.ids(p)) for r in top for p in cut.of_unit(r["word"]))
 
