@@ -94,6 +94,10 @@ def _vectors(spark, d):
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.where("vec_id % 50 != 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
 
 
+def _every_vector(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
 def _dense_top(spark, d, k):
     q, v = _vectors(spark, d)
     return retrieval.dense_search(q, v, k)
@@ -166,23 +170,24 @@ def cluster_expand(spark, d):
 
 @query()
 def cluster_expand_kmeans(spark, d):
-    q, v = _vectors(spark, d)
-    return retrieval.cluster_expansion(retrieval.dense_search(q, v, 100), ml.clusters(v, 10)[0])
+    q, v = _vectors(spark, d)[0], _every_vector(spark, d)
+    hits = retrieval.dense_search(q, v, 101).where("query_id != doc_id")  # 100 besides the query's own
+    return retrieval.cluster_expansion(hits, ml.clusters(v, 10)[0])
 
 
 @query()
 def cluster_size_stats(spark, d):
-    return ml.cluster_sizes(ml.clusters(_vectors(spark, d)[1], 16)[0])
+    return ml.cluster_sizes(ml.clusters(_every_vector(spark, d), 16)[0])
 
 
 @query()
 def pca_projection(spark, d):
-    return ml.pca(_vectors(spark, d)[1], 8)
+    return ml.pca(_every_vector(spark, d), 8)
 
 
 @query()
 def lsh_pairs(spark, d):
-    return ml.near_pairs(*_vectors(spark, d), 0.6)
+    return ml.near_pairs(_vectors(spark, d)[0], _every_vector(spark, d), 0.6).where("query_id != doc_id")
 
 
 @query()
