@@ -80,15 +80,24 @@ def pairwise(rows: DataFrame, gold: DataFrame, window: int = 2, per_gold: int =
 
 
 def cross_query_negatives(gold: DataFrame, per_positive: int = 2, seed: int = 42) -> DataFrame:
-    """(query_id, neg): for each gold citation ``per_positive`` citations of other queries, by hash. Citations are put on a
-    ring of buckets; each query takes from the buckets that follow its own hash."""
+    """(query_id, neg): for each gold citation ``per_positive`` citations of other queries, by hash, or all there are.
+    Citations lie on a ring in the order of their hashes; each query takes those that follow its own hash and aren't
+    its own."""
     g = gold.select("query_id", "citation").distinct()
-    size = 64
-    bucket = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(size))
-    asked = g.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.crc32(F.col("query_id").cast("string")) + i, F.lit(size)))))
-    per = g.groupBy("citation").agg(F.count("*").alias("_u")).withColumn("bucket", bucket(F.col("citation"))).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(order_key(seed, "citation")))).where(F.col("r") <= 200)
-    pairs = asked.join(per.select("bucket", F.col("citation").alias("neg")), "bucket").join(g.select("query_id", F.col("citation").alias("neg")), ["query_id", "neg"], "left_anti")
-    w = Window.partitionBy("query_id").orderBy(order_key(seed, "query_id", "neg"), "neg")
+    cited = g.where("citation is not null").select("citation").distinct().withColumn("_k", order_key(seed, "citation")).withColumn("_b", F.substring("_k", 1, 2))
+    # Places on the ring: those of a bucket follow all of the buckets before it, at most 256.
+    ends = cited.groupBy("_b").agg(F.count("*").alias("_m")).withColumn("_end", F.sum("_m").over(Window.orderBy("_b")))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", "citation")) - 1
+    ring = cited.withColumn("_r", place).join(F.broadcast(ends), "_b").select((F.col("_end") - F.col("_m") + F.col("_r")).alias("_at"), F.col("citation").alias("neg"))
+    total = ends.agg(F.max("_end").alias("_total"))
+    # Of (per_positive + 1) * n successive places a query's own citations take n at most, so enough are left.
+    asked = g.groupBy("query_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where("_total > 0")
+    steps = F.sequence(F.lit(0).cast("long"), F.least((per_positive + 1) * F.col("n"), F.col("_total")) - 1)
+    walk = asked.select("query_id", "n", "_total", F.explode(steps).alias("_i"))
+    start = F.crc32(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string")))
+    walk = walk.where("query_id is not null").withColumn("_at", F.pmod(start + F.col("_i"), F.col("_total")))
+    pairs = walk.join(ring, "_at").join(g.select("query_id", F.col("citation").alias("neg")), ["query_id", "neg"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("_i")
     return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_positive * F.col("n")).select("query_id", "neg")
 
 
