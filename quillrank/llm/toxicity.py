@@ -131,27 +131,19 @@ def scored(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
 
 
 def scorer(used: np.ndarray, values: np.ndarray, bias: np.ndarray, chain: np.ndarray, remembered: int = 400_000):
-    weights = np.zeros((BUCKETS, len(bias)))
-    weights[used] = values
-    per_unit = np.zeros((remembered + 1, len(bias)))
+    at = {f: i for i, f in enumerate(used.tolist())}
 
-    def number(unit: str) -> int:
-        at = len(known) + 1
-        per_unit[at] = weights[features(unit)].sum(axis=0)
-        return at
+    def weighted(unit: str) -> tuple[int, ...]:
+        return tuple({at[f] for f in features(unit) if f in at})
 
-    known = Remembered(number, remembered)
+    known = Remembered(weighted, remembered)
 
     def of_texts(texts: list[str]) -> np.ndarray:
-        z = np.empty((len(texts), len(bias)))
+        z = np.zeros((len(texts), len(bias)))
         for i, t in enumerate(texts):
-            units = set(t.split())
-            if len(known) + len(units) > remembered:
-                known.clear()
-            if len(units) > remembered:  # a text of more words than are remembered at once
-                z[i] = sum((weights[features(u)].sum(axis=0) for u in units), np.zeros(len(bias)))
-            else:
-                z[i] = per_unit[[known[u] for u in units]].sum(axis=0) if units else 0
+            # A feature counts once in a text, as in training, however many units have it.
+            if present := set().union(*map(known.__getitem__, set(t.split()))):
+                z[i] = values[sorted(present)].sum(axis=0)
         p = np.empty_like(z)
         for c in range(len(bias)):
             p[:, c] = _sigmoid(z[:, c] + bias[c] + p[:, :c] @ chain[c, :c])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quillrank.llm import toxicity
 from quillrank.operators import sampling
 from quillrank.plans import retrieval as plans
 
@@ -43,3 +44,14 @@ def test_each_gold_citation_has_its_negatives(spark):
     assert Counter(q for q, _ in got) == {q: min(2 * n, every - n) for q, n in own.items()}
     few = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "query_id long, citation long")
     assert sorted(map(tuple, sampling.cross_query_negatives(few.repartition(3)).collect())) == [(1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
+def test_a_feature_counts_once_in_a_text():
+    weights = np.zeros((toxicity.BUCKETS, 3))
+    weights[toxicity.features("loser")] = 0.7
+    weights[toxicity.features("vile")] = 0.2
+    used = np.flatnonzero(weights.any(axis=1))
+    p = toxicity.scorer(used, weights[used], np.full(3, -2.0), np.zeros((3, 3)), 4)
+    texts = ["loser", "Loser loser, (loser) loser-loser LOSER! loser.", "a loser is vile", "Vile, vile loser: a vile- loser!", "", "clean"]
+    present = [{f for u in t.split() for f in toxicity.features(u)} for t in texts]
+    assert np.allclose(p(texts), [1 / (1 + np.exp(2.0 - weights[sorted(fs)].sum(axis=0))) for fs in present])
