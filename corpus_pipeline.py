@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import common, jaccard, packing, quality, suffix, toxicity
+from quillrank.llm import common, jaccard, packing, quality, spans, suffix, toxicity
 from quillrank.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,10 +30,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies stays, and so does one without words."""
-    groups = jaccard.near_groups(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """The row of the smallest doc_id of each group of near copies stays, and so does one without words. Rows go and not
+    doc_ids: those with a null or repeated doc_id are documents of their own."""
+    rows = spans.numbered(docs, carry=("lang", "source", "n_chars"))
+    grouped = jaccard.row_groups(rows, n=5, percent=80).where("group is not null")
+    stays = grouped.groupBy("group").agg(F.min("row").alias("row"))
+    gone = grouped.select("row").join(stays.select("row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,10 +268,18 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     A null text or one without words has an empty set and is linked with nothing. Repeated rows are documents of
     their own with one doc_id; a null doc_id is a component of its own, or takes the smallest one that it reaches.
     """
-    spark = docs.sparkSession
+    rows = spans.numbered(docs)
+    ids = row_groups(rows, n, percent).join(rows.select("row", "doc_id"), "row")
+    least = ids.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least, "group", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def row_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """rows (row, doc_id, text) of spans.numbered -> row, size, group (the same for all rows that links reach; null for an
+    empty set)."""
+    spark = rows.sparkSession
     common.small_batches(spark, 2000)
     parts = common.shuffle_parts(spark)
-    rows = spans.numbered(docs)
     sets = common.saved(common.map_batches(rows.select("row", "text"), _sets(n), "row long, size int, node long"), "sets")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
     shared = spark.sparkContext.broadcast(frequent(rows, n))  # at most 2**17 numbers
@@ -319,7 +327,4 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     second = compared(pairs, bodies(ends(pairs), "more-bodies"), percent).where("link")
     groups_of = components(first.where("link").select("a", "b").unionByName(second.select("a", "b")), "all")
 
-    ids = sets.join(rows.select("row", "doc_id"), "row").join(groups_of, "node", "left")
-    ids = ids.withColumn("group", F.coalesce("component", "node"))
-    least = ids.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "group", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(groups_of, "node", "left").select("row", "size", F.coalesce("component", "node").alias("group"))

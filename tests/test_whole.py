@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillrank.llm import toxicity
+import corpus_pipeline
+from quillrank.llm import bpe, packing, tokens, toxicity
+from quillrank.llm.queries import vocabulary
 from quillrank.operators import sampling
 from quillrank.plans import retrieval as plans
 
@@ -55,3 +57,12 @@ def test_a_feature_counts_once_in_a_text():
     texts = ["loser", "Loser loser, (loser) loser-loser LOSER! loser.", "a loser is vile", "Vile, vile loser: a vile- loser!", "", "clean"]
     present = [{f for u in t.split() for f in toxicity.features(u)} for t in texts]
     assert np.allclose(p(texts), [1 / (1 + np.exp(2.0 - weights[sorted(fs)].sum(axis=0))) for fs in present])
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted([(1, a), (2, b), (None, c), (3, d), (4, ""), (4, None)], key=repr)
