@@ -188,18 +188,24 @@ def coder(file: str, lexicon: bytes) -> Coder:
 
 def _counts(file: str):
     def make():
-        cut, count = tokens.Pieces(file), Counter()
+        cut, units, pieces = tokens.Pieces(file), Counter(), Counter()
 
         def out():
-            words, numbers = list(count), list(count.values())
-            count.clear()
+            for u, n in units.items():
+                for p in cut.of_unit(u):
+                    pieces[p] += n
+            words, numbers = list(pieces), list(pieces.values())
+            units.clear()
+            pieces.clear()
             return words, numbers
 
         def step(texts):
             for t in texts:
                 if t and (u := cut.units(t)) is not None:
-                    count.update(u)
-            if len(count) > 500_000:  # bounds the task's memory; Spark adds up the parts
+                    units.update(u)
+                elif t:
+                    pieces.update([p for p in cut.of_text(t) if isinstance(p, str)])
+            if len(units) + len(pieces) > 500_000:  # bounds the task's memory; Spark adds up the parts
                 return out()
             return None
 
@@ -210,12 +216,12 @@ def _counts(file: str):
 
 
 def build_lexicon(docs: DataFrame, file: str, words: int = 32768, longest: int = 64) -> bytes:
-    """Counts the white-space words of all docs and compiles the pieces of the ``words`` most frequent ones of at
-    most ``longest`` characters. The result has at most words * longest pieces, whatever the corpus."""
+    """Counts the pieces of all docs and compiles the ``words`` most frequent ones of at most ``longest`` characters.
+    Special tokens are no pieces."""
     counted = common.map_batches(docs.select(F.col("text").cast("string")), _counts(file), "word string, n long")
     top = common.most_frequent(counted.where(F.length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n")), words)
-    cut, merges = tokens.Pieces(file), Merges(file)
-    return compile_lexicon((p, merges.ids(p)) for r in top for p in cut.of_unit(r["word"]))
+    merges = Merges(file)
+    return compile_lexicon((r["word"], merges.ids(r["word"])) for r in top)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, words: int = 32768) -> DataFrame:
