@@ -66,3 +66,12 @@ def test_near_copies_go_by_row(spark):
     out = corpus_pipeline.one_of_each_group(spark, docs, "")
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted([(1, a), (2, b), (None, c), (3, d), (4, ""), (4, None)], key=repr)
+
+
+def test_full_pieces_keep_to_the_cost(spark):
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((500, 99, 100, 40, 7, 1))], "doc_id long, text string")
+    file = vocabulary("byte_bpe_50k.json")
+    out = packing.pack_documents(docs, file, 2, capacity=100, max_cost=2600).toPandas()
+    cost = (out.length**2).groupby(out.sequence_id).sum()
+    assert cost.max() <= 2600 and out.length.groupby(out.sequence_id).sum().max() <= 100
+    assert out.length.sum() == packing.pack_documents(docs, file, 2, capacity=100).toPandas().length.sum()
