@@ -68,6 +68,15 @@ def test_near_copies_go_by_row(spark):
     assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted([(1, a), (2, b), (None, c), (3, d), (4, ""), (4, None)], key=repr)
 
 
+def test_lexicon_counts_documents_that_are_not_plain(spark):
+    file = tokens.read_file(vocabulary("word_bpe_49k.json"))
+    docs = spark.createDataFrame([(1, "the \u201cquick\u201d fox"), (2, "the\tfox \u2014 the \u4e2d end"), (3, "the end")], "doc_id long, text string")
+    lexicon, merges = bpe.Lexicon(bpe.build_lexicon(docs, file)), bpe.Merges(file)
+    assert all(lexicon.ids(w) == merges.ids(w) for w in ("the", "fox", "quick", "end"))
+    alone = bpe.Lexicon(bpe.build_lexicon(docs.where("doc_id < 3"), file, 2))
+    assert alone.ids("the") == merges.ids("the") and alone.ids("fox") == merges.ids("fox")
+
+
 def test_full_pieces_keep_to_the_cost(spark):
     docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((500, 99, 100, 40, 7, 1))], "doc_id long, text string")
     file = vocabulary("byte_bpe_50k.json")
