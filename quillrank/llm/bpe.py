@@ -227,7 +227,6 @@ def build_lexicon(docs: DataFrame, file: str, words: int = 32768, longest: int =
 def encode_decode(docs: DataFrame, tokenizer: str, words: int = 32768) -> DataFrame:
     """docs (doc_id, text; a null text is empty) -> doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated rows
     are coded once each."""
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     file = tokens.read_file(tokenizer)
     if tokens.Pieces(file).tokenizer.decoder is not None:

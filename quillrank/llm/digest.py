@@ -119,7 +119,6 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     each range are looked at again.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(parts or common.shuffle_parts(spark), order[0]).sortWithinPartitions(*order)

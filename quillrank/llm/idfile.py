@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -140,13 +140,13 @@ def _write(batches: Iterator, file: str, end_id: int, block: int, most: int):
 
     encode = tokens.encoder(file).ids
     end, shard, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-    docs, counts, held, n = [], [], [], 0
+    docs, counts, held, n, before = [], [], [], 0, 0
 
     def flush():
         body = image(docs, counts, np.frombuffer(b"".join(held), "<u4"), block)
-        return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "n_ids": [n], "image": [body]}, schema=pa.schema({"shard": pa.int64(), "part": pa.int64(), "n_ids": pa.int64(), "image": pa.binary()}))
+        return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "before": [before], "n_ids": [n], "image": [body]}, schema=pa.schema({"shard": pa.int64(), "part": pa.int64(), "before": pa.int64(), "n_ids": pa.int64(), "image": pa.binary()}))
 
-    for b in batches:
+    for b in common.sliced(batches, 1000):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids = encode(text) + end
             docs.append(NULL_ID if doc is None else doc)
@@ -155,7 +155,7 @@ def _write(batches: Iterator, file: str, end_id: int, block: int, most: int):
             n += len(ids) // 4
             if n >= most:
                 yield flush()
-                docs, counts, held, n, part = [], [], [], 0, part + 1
+                docs, counts, held, before, n, part = [], [], [], before + n, 0, part + 1
     if docs:
         yield flush()
 
@@ -166,25 +166,23 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: in
     about ``most`` ids, a document lies in one image. tokenizer: path of a tokenizers file, read on the driver.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     file = tokens.read_file(tokenizer)
     parts = parts or common.shuffle_parts(spark)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(partial(_write, file=file, end_id=end_id, block=block, most=most), "shard long, part long, n_ids long, image binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(partial(_write, file=file, end_id=end_id, block=block, most=most), "shard long, part long, before long, n_ids long, image binary").write.option("compression", "none").parquet(path)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """The images with the number of ids before each (base)."""
-    images = spark.read.schema("shard long, part long, n_ids long, image binary").parquet(path)
+    images = spark.read.schema("shard long, part long, before long, n_ids long, image binary").parquet(path)
     # One row a shard, as many as the writer had tasks; the images of one shard are few.
     shards = images.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
     before, total = {}, 0
     for r in sorted(shards, key=lambda r: r["shard"]):
         before[r["shard"]], total = total, total + r["n"]
     starts = spark.createDataFrame(list(before.items()) or [(-1, 0)], "shard long, shard_base long")
-    bases = images.select("shard", "part", "n_ids").withColumn("inner", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids"))
-    bases = bases.join(starts, "shard").select("shard", "part", (F.col("shard_base") + F.col("inner")).alias("base"))
-    return images.join(F.broadcast(bases), ["shard", "part"])
+    # An image says how many ids of its shard stand before it; only the shards' own bases are broadcast.
+    return images.join(F.broadcast(starts), "shard").withColumn("base", F.col("shard_base") + F.col("before"))
 
 
 def _documents():
@@ -206,8 +204,7 @@ def _documents():
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # an image is megabytes
-    return common.map_batches(read_images(spark, path).select("base", "image"), _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_batches(read_images(spark, path).select("base", "image"), _documents, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=1)
 
 
 def export_images(images: DataFrame, folder: str) -> int:

@@ -7,17 +7,20 @@ size - o + 2 of each, the extended prefix; so they share a rare shingle there, w
 frequent ones, which are indexed as a pair. A set with many frequent shingles in its prefix, as in a large group
 of near copies, would have too many pairs; it indexes them singly, and the others probe those entries.
 
-A pair that shares c keys has at most c + max(|x| - p, |y| - q) common shingles, where p and q are the lengths of the
-prefixes: what the set whose prefix ends first has in its prefix and the other lacks there, the other lacks
-altogether. Pairs that can't reach the threshold by that are not verified.
+An entry also says how large a partner may be: what stands before its place in a set is not common to both, and a pair's
+size is bounded by what can be common. Partners are looked for among entries of one key and of fitting classes of size.
+Parity bitmaps then bound the symmetric difference of two sets from below, before whole sets are compared.
 
 Only components are asked for, so candidates are verified in two rounds. First each node against the one hub that it
-shares most keys with; a key's hub is its most typical node. Then nodes that share a key but not yet a component, unless both were
-compared with the same hub and the triangle inequality of Jaccard distances rules a link out.
+shares most keys with; a key's hub is its most typical node. Then, of each key, nodes outside the component that most of
+its nodes have by now against the others, unless both were compared with the same hub and the triangle inequality of
+Jaccard distances rules a link out. So a group of copies is never paired with itself.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +33,31 @@ RARE, FEW, MANY, PAIR = range(4)
 FEW_MOST = 6
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles in A-Z lower-cased text; of the whole if it has fewer words."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    seq = spans.in_words(data.decode("utf-8", "surrogatepass")) if data else spans.in_words("")
-    if not seq.n:
-        return np.zeros(0, np.uint64)
-    out = []
-    if seq.n < n:
-        h = spans.Hashes(seq.data)
-        return h.of(np.array([0]), np.array([len(seq.data)]))
-    for _, h, s, e in seq.chunks(n):
-        out.append(h.of(s[: len(s) - n + 1], e[n - 1 :]))
-    return np.unique(np.concatenate(out))
+#: 64-bit words of a parity bitmap.
+BITS = 8
+
+
+def shingler(n: int):
+    """Within a task: text -> sorted distinct hashes of the n-word shingles in A-Z lower-cased text; of the whole if it has
+    fewer words."""
+    words = spans.by_words(lower=True)
+
+    def of_text(text: str | None) -> np.ndarray:
+        seq = words(text)
+        if not seq.n:
+            return np.zeros(0, np.uint64)
+        if seq.n < n:
+            return spans.both(seq.grams(0, 1, seq.n), np.full(1, seq.n, np.uint64))
+        return np.unique(np.concatenate([seq.grams(a, b, n) for a, b in seq.chunks(n)]))
+
+    return of_text
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS words: each bit is the parity of how many elements fall on it, so that two bitmaps differ in at most
+    as many bits as the sets do in elements."""
+    flips = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -51,58 +66,67 @@ def node_of(s: np.ndarray) -> int:
     return int(spans.mix(spans.mix(parts).cumsum()[-1:])[0] >> np.uint64(1))
 
 
-def _sets(n: int):
-    def make():
-        def step(rows, texts):
-            sets = [shingles(t, n) for t in texts]
-            return rows, [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]
-
-        return step
-
-    return make
-
+def _sets(n: int, least: int):
+    """Rows of two kinds: (row, size, node, bitmap) of each text, and counts (token, n) of shingles that a task sees in
+    ``least`` different sets."""
+    columns = 3 + BITS
 
-def _counts(n: int, least: int):
     def make():
+        of_text = shingler(n)
         seen: set[int] = set()
 
-        def flush(tokens):
+        def counted(tokens):
             values, counts = np.unique(tokens, return_counts=True)
             often = counts >= least
             return values[often].view(np.int64), counts[often].astype(np.int64)
 
-        got = spans.Collector(flush, 4_000_000)
-
-        def step(texts):
-            for t in texts:
-                s = shingles(t, n)
-                if len(s) and (node := node_of(s)) not in seen:
+        got = common.Collector(counted, 2_000_000)
+
+        def out(rows, force):
+            extra = got.out(force)
+            k = len(extra[0]) if extra else 0
+            if not rows and not k:
+                return None
+            filled = [list(c) + [None] * k for c in (zip(*rows) if rows else [[]] * columns)]
+            return [*filled, [None] * len(rows) + (extra[0].tolist() if k else []), [None] * len(rows) + (extra[1].tolist() if k else [])]
+
+        def step(numbers, texts):
+            rows = []
+            for i, t in zip(numbers, texts, strict=True):
+                s = of_text(t)
+                node = node_of(s) if len(s) else None
+                rows.append((i, len(s), node, *(parity(s).tolist() if len(s) else [None] * BITS)))
+                if node is not None and node not in seen:
                     seen.add(node)
                     got.add(s)
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
-            return got.out()
+            return out(rows, False)
 
-        step.rest = lambda: got.out(True)
+        step.rest = lambda: out([], True)
         return step
 
     return make
 
 
-def frequent(rows: DataFrame, n: int, most: int = 1 << 17, least: int = 64) -> np.ndarray:
+_SETS = "row long, size int, node long, " + ", ".join(f"bits_{i} long" for i in range(BITS)) + ", token long, n long"
+
+
+def frequent(sets: DataFrame, most: int = 1 << 17, least: int = 64) -> np.ndarray:
     """The most frequent shingles over all documents, rarest first: at most ``most``, each in ``least`` documents. A
     shingle that a task sees in fewer than three documents adds nothing. The list only orders shingles; results
     don't depend on it."""
-    counted = common.map_batches(rows.select("text"), _counts(n, 3), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = sets.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.array([r["token"] for r in common.most_frequent(counted, most)], np.int64).view(np.uint64)[::-1]
 
 
-def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, kind) of a set's index entries. heavy: frequent shingles, sorted; rank: their order."""
+def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, kind, size of the largest partner) of a set's index entries. heavy: frequent shingles, sorted; rank: their
+    order. Entries that no partner can be large enough for are left out."""
     size = len(s)
     need = -(-percent * size // 100)
     if 100 * size < percent * (size + 1):  # not even a set with one more shingle is near enough
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int32)
     prefix = min(size, size - need + 2)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -111,26 +135,32 @@ def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) ->
         often = s[is_heavy][np.argsort(rank[at[is_heavy]])][: prefix - len(light)]
     else:
         light, often = s[:prefix], s[:0]
-    keys, kinds = [light], [np.full(len(light), RARE, np.int8)]
+    # What may be common when the first common shingle is this one, or the first two are these.
+    keys, kinds, room = [light], [np.full(len(light), RARE, np.int8)], [size - np.arange(len(light))]
     single = len(often) > FEW_MOST or need < 2  # of one common shingle no pair can be made
     if len(often):
+        place = len(light) + np.arange(len(often))
         keys.append(spans.mix(often ^ np.uint64(0xA5A5A5A5)))
         kinds.append(np.full(len(often), MANY if single else FEW, np.int8))
+        room.append(size - place)
         if len(often) >= 2 and not single:
             i, j = np.triu_indices(len(often), 1)
             a, b = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
             keys.append(spans.mix(a * np.uint64(0x9E3779B97F4A7C15) + b))
             kinds.append(np.full(len(i), PAIR, np.int8))
-    return np.concatenate(keys), np.concatenate(kinds)
+            room.append(size - place[j] + 1)
+    most = np.minimum(np.concatenate(room) * (100 + percent) // percent - size, 100 * size // percent)
+    fit = most >= need
+    return np.concatenate(keys)[fit], np.concatenate(kinds)[fit], most[fit].astype(np.int32)
 
 
 def _index(n: int, percent: int, shared, hot: int = 512):
-    def flush(key, node, size, kind):
+    def flush(key, node, size, most, kind):
         # Repeated entries of one task go; a key with many nodes here is spread, and marked under itself.
-        order = np.lexsort((node, key))
-        key, node, size, kind = key[order], node[order], size[order], kind[order]
+        order = np.lexsort((-most, node, key))
+        key, node, size, most, kind = (x[order] for x in (key, node, size, most, kind))
         keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, size, kind = key[keep], node[keep], size[keep], kind[keep]
+        key, node, size, most, kind = (x[keep] for x in (key, node, size, most, kind))
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.append(new, len(key)))
         spread = np.repeat(counts > hot, counts)
@@ -138,20 +168,21 @@ def _index(n: int, percent: int, shared, hot: int = 512):
         route = np.where(spread, spans.mix(key + salt + np.uint64(1)), key)
         marks = key[new[counts > hot]]
         none = np.zeros(len(marks), np.int64)
-        return [np.concatenate(x) for x in zip((route.view(np.int64), key.view(np.int64), node, size, kind), (marks.view(np.int64), marks.view(np.int64), none - 1, none.astype(np.int32), none.astype(np.int8)), strict=True)]
+        return [np.concatenate(x) for x in zip((route.view(np.int64), key.view(np.int64), node, size, most, kind), (marks.view(np.int64), marks.view(np.int64), none - 1, none.astype(np.int32), none.astype(np.int32), none.astype(np.int8)), strict=True)]
 
     def make():
+        of_text = shingler(n)
         tokens = shared.value
         order = np.argsort(tokens)
         heavy, rank = tokens[order], order
-        got = spans.Collector(flush, 1_000_000)
+        got = common.Collector(flush, 700_000)
 
         def step(texts):
             for t in texts:
-                s = shingles(t, n)
+                s = of_text(t)
                 if len(s):
-                    key, kind = entries(s, percent, heavy, rank)
-                    got.add(key, np.full(len(key), node_of(s), np.int64), np.full(len(key), len(s), np.int32), kind)
+                    key, kind, most = entries(s, percent, heavy, rank)
+                    got.add(key, np.full(len(key), node_of(s), np.int64), np.full(len(key), len(s), np.int32), most, kind)
             return got.out()
 
         step.rest = lambda: got.out(True)
@@ -163,11 +194,11 @@ def _index(n: int, percent: int, shared, hot: int = 512):
 def _groups():
     """Entries of keys that several nodes have."""
 
-    def flush(route, key, node, size, kind):
+    def flush(route, key, node, size, most, kind):
         marked = np.unique(key[node < 0])
         real = np.flatnonzero(node >= 0)
         order = real[np.lexsort((node[real], kind[real] == FEW, key[real], route[real]))]
-        route, key, node, size, kind = route[order], key[order], node[order], size[order], kind[order]
+        route, key, node, size, most, kind = (x[order] for x in (route, key, node, size, most, kind))
         if not len(key):
             return None
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (route[1:] != route[:-1])]))
@@ -176,40 +207,19 @@ def _groups():
         able = kind[new] != FEW  # the first of a part; else no node of it has many frequent shingles
         spread = route != key
         keep = np.repeat(differs & able, counts) | spread | np.isin(key, marked)
-        return key[keep], node[keep], size[keep], kind[keep]
+        return key[keep], node[keep], size[keep], most[keep], kind[keep]
 
-    def make():
-        got = spans.Collector(flush, 1 << 62)
-
-        def step(*columns):
-            got.add(*(np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, np.int64, np.int32, np.int8), strict=True)))
-            return None
-
-        step.rest = lambda: got.out(True)
-        return step
-
-    return make
+    return lambda: common.by_key(flush, (np.int64, np.int64, np.int64, np.int32, np.int32, np.int8))
 
 
 def _set_bytes(n: int):
     def make():
-        text_of = spans.unpacker()
-
-        def step(nodes, bodies):
-            # Six bytes a hash: two sets of thousands of shingles meet wrongly once in millions of pairs.
-            return nodes, [(shingles(text_of(b), n) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for b in bodies]
-
-        return step
+        text_of, of_text = spans.unpacker(), shingler(n)
+        return lambda nodes, bodies: (nodes, [of_text(text_of(b)).tobytes() for b in bodies])
 
     return make
 
 
-def _unpacked(body: bytes) -> np.ndarray:
-    out = np.zeros((len(body) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
-
-
 def _verify(percent: int):
     def make():
         last: list = [None, None]  # rows come sorted by b
@@ -218,8 +228,8 @@ def _verify(percent: int):
             distance, link = [], []
             for y, x, other in zip(b, set_a, set_b, strict=True):
                 if last[0] != y:
-                    last[:] = y, _unpacked(other)
-                own, theirs = _unpacked(x), last[1]
+                    last[:] = y, np.frombuffer(other, np.uint64)
+                own, theirs = np.frombuffer(x, np.uint64), last[1]
                 at = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
                 inter = int((theirs[at] == own).sum())
                 union = len(own) + len(theirs) - inter
@@ -236,31 +246,35 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) -> (a, b, distance, link), by whole sets."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return common.map_batches(both.select("a", "b", "set_a", "set_b"), _verify(percent), "a long, b long, distance double, link boolean")
+    return common.map_batches(both.select("a", "b", "set_a", "set_b"), _verify(percent), "a long, b long, distance double, link boolean", rows=200)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose bitmaps don't rule a link out. nodes: (node, size, bits_…)."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *[F.col(f"bits_{i}").alias(f"{s}_{i}") for i in range(BITS)])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))) for i in range(BITS)), F.lit(0))
+    total = F.col("size_a") + F.col("size_b")
+    return rows.where(differ <= total - 2 * F.ceil(total * percent / (100 + percent))).select("a", "b")
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, component) of the nodes of links (a, b): the least node that each can reach. Labels spread along links
-    and jump to their own labels, so rounds grow with the logarithm of the longest path."""
+    and jump to their own labels, so rounds grow with the logarithm of the longest path. Hubs are spread."""
     both = common.saved(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
+    hubs = common.hot_values(both, "b")
     labels = common.saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(near, "a").select("a", F.least("c", "near").alias("n"), F.col("c").alias("old"))
+        near = common.spread_join(both, labels.select(F.col("a").alias("b"), F.col("c").alias("near")), "b", hubs).groupBy("a").agg(F.min("near").alias("near"))
+        step = common.saved(labels.join(near, "a").select("a", F.least("c", "near").alias("n"), F.col("c").alias("old")), f"{name}-steps")
         jump = labels.select(F.col("a").alias("n"), F.col("c").alias("far"))
-        new = common.saved(step.join(jump, "n", "left").select("a", F.least("n", F.coalesce("far", "n")).alias("c"), "old"), f"{name}-labels")
+        jumped = common.spread_join(step, jump, "n", common.hot_values(step, "n"), "left")
+        new = common.saved(jumped.select("a", F.least("n", F.coalesce("far", "n")).alias("c"), "old"), f"{name}-labels")
         labels = new.select("a", "c")
         if not new.where("c != old").limit(1).count():
             return labels.toDF("node", "component")
 
 
-def _enough(shared, size_a, size_b, percent: int):
-    """Whether two sets with that many shared keys can link, see above; FEW entries that don't meet may add FEW_MOST."""
-    need = lambda size: F.ceil(size * percent / 100)
-    asked = F.ceil((size_a + size_b) * percent / (100 + percent))
-    return shared + FEW_MOST >= asked - F.greatest(need(size_a), need(size_b)) + 2
-
-
 def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
@@ -269,62 +283,68 @@ def near_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     their own with one doc_id; a null doc_id is a component of its own, or takes the smallest one that it reaches.
     """
     rows = spans.numbered(docs)
-    ids = row_groups(rows, n, percent).join(rows.select("row", "doc_id"), "row")
+    ids = common.saved(row_groups(rows, n, percent).join(rows.select("row", "doc_id"), "row"), "ids")
     least = ids.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "group", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return common.spread_join(ids, least, "group", common.hot_values(ids, "group"), "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def row_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """rows (row, doc_id, text) of spans.numbered -> row, size, group (the same for all rows that links reach; null for an
     empty set)."""
     spark = rows.sparkSession
-    common.small_batches(spark, 2000)
-    parts = common.shuffle_parts(spark)
-    sets = common.saved(common.map_batches(rows.select("row", "text"), _sets(n), "row long, size int, node long"), "sets")
+    made = common.saved(common.map_batches(rows.select("row", "text"), _sets(n, 3), _SETS), "sets")
+    sets = made.where("row is not null").drop("token", "n")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    shared = spark.sparkContext.broadcast(frequent(rows, n))  # at most 2**17 numbers
-    index = common.map_batches(rows.select("text"), _index(n, percent, shared), "route long, key long, node long, size int, kind byte")
-    groups = common.saved(common.map_batches(index.repartition(parts, "route"), _groups(), "key long, node long, size int, kind byte"), "groups")
+    shared = spark.sparkContext.broadcast(frequent(made))  # at most 2**17 numbers
+    index = common.map_batches(rows.select("text"), _index(n, percent, shared), "route long, key long, node long, size int, most int, kind byte")
+    entry = "key long, node long, size int, most int, kind byte"
+    groups = common.saved(common.map_batches(common.routed(index, "route"), _groups(), entry), "groups")
+    groups = common.saved(groups.groupBy("key", "node", "size").agg(F.max("most").alias("most"), F.max("kind").alias("kind")), "entries")
     size = F.col("size")
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    def bodies(wanted: DataFrame, name: str) -> DataFrame:
-        """The sets of some nodes, from the text of one document of each."""
-        rows_of = wanted.join(nodes, "node")
-        return common.saved(common.map_batches(spans.packed(rows.select("row", "text")).join(rows_of, "row").select("node", "body"), _set_bytes(n), "node long, shingles binary"), name, compression="none")
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        """The nodes of pairs, with the row of one document and the bitmap of each."""
+        both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return both.join(nodes, "node").join(sets.drop("node"), "row")
+
+    def bodies(pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the nodes of pairs, from the text of one document of each."""
+        texts = spans.packed(rows.select("row", "text")).join(ends(pairs).select("row", "node"), "row").select("node", "body")
+        return common.saved(common.map_batches(texts, _set_bytes(n), "node long, shingles binary"), name, compression="none")
 
     # The hub of a key is its most typical node: the one of whose shingles the greatest share is in other sets too, as in
     # the text that near copies come from. That copies are linked with it and not always with each other then doesn't
     # leave them apart.
-    single = groups.where(F.col("kind") != PAIR).select("key", "node", "size").distinct()
+    single = groups.where(F.col("kind") != PAIR)
     typical = single.groupBy("node", "size").agg((F.count("*") / size).alias("share"))
-    hubs = single.join(typical.select("node", "share"), "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("size").alias("hub_size")), F.struct("share", "node")).alias("h"))
-    stars = single.join(hubs.select("key", "h.hub", "h.hub_size"), "key").where((F.col("node") != F.col("hub")) & alike(size, F.col("hub_size"))).groupBy("node", "hub", "size", "hub_size").agg(F.count("*").alias("n"))
-    # A key's hub may differ from the pair's, so not all shared keys are counted here; what this leaves out, the second
-    # round takes up.
-    stars = stars.where(_enough(2 * F.col("n"), size, F.col("hub_size"), percent)).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("b")).withColumnRenamed("node", "a")
+    hubs = single.join(typical.select("node", "share"), "node").groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("most").alias("hub_most")), F.struct("share", "node")).alias("h"))
+    stars = single.join(hubs.select("key", "h.*"), "key").where((F.col("node") != F.col("hub")) & (F.col("hub_size") <= F.col("most")) & (size <= F.col("hub_most")))
+    stars = stars.groupBy("node", "hub").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("b")).withColumnRenamed("node", "a")
     stars = common.saved(stars, "stars")
-    first = common.saved(compared(stars, bodies(ends(stars), "bodies"), percent), "first")
+    stars = common.saved(plausible(stars, ends(stars), percent), "stars")
+    first = common.saved(compared(stars, bodies(stars, "bodies"), percent), "first")
     known = components(first.where("link"), "first")
 
     # Nodes that share a key across components.
-    own = groups.select("key", "node", "size", "kind").distinct().join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = groups.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = own.join(first.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance"), "node", "left")
     own = common.saved(own.withColumn("hub", F.coalesce("hub", "node")).withColumn("distance", F.coalesce("distance", F.lit(0.0))), "open")
-    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    own = own.join(mixed, "key")
-    x, y = (own.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "kind", "component", "hub", "distance"))) for s in "xy")
-    pairs = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike(F.col("size_x"), F.col("size_y")))
-    pairs = pairs.where(~((F.col("kind_x") == FEW) & (F.col("kind_y") == FEW)))
+    held = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("major"))
+    own = own.join(held.where("kinds > 1").select("key", "major"), "key")
+    side = lambda df, s: df.select("key", "class", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "most", "kind", "component", "hub", "distance")), *([F.col("major")] if s == "x" else []))
+    level = lambda c: F.floor(F.log(c.cast("double")) / math.log(1.03)).cast("int")
+    x = side(own.where("component != major").withColumn("class", F.explode(F.sequence(level(F.ceil(size * percent / 100)), level(F.col("most"))))), "x")
+    y = side(own.withColumn("class", level(size)), "y")
+    fit = (F.col("size_y") <= F.col("most_x")) & (F.col("size_x") <= F.col("most_y")) & (F.col("component_x") != F.col("component_y"))
+    once = (F.col("component_y") == F.col("major")) | (F.col("node_x") < F.col("node_y"))
+    few = (F.col("kind_x") == FEW) & (F.col("kind_y") == FEW)
     apart = (F.col("hub_x") == F.col("hub_y")) & (F.abs(F.col("distance_x") - F.col("distance_y")) > 1 - percent / 100 + 1e-9)
     # A star that failed isn't compared again.
     again = (F.col("hub_x") == F.col("node_y")) | (F.col("hub_y") == F.col("node_x"))
-    pairs = pairs.where(~apart & ~again).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), "size_x", "size_y").agg(F.sum((F.col("kind_x") != PAIR).cast("int")).alias("n"))
-    pairs = common.saved(pairs.where(_enough(F.col("n"), F.col("size_x"), F.col("size_y"), percent)).select("a", "b"), "pairs")
-    second = compared(pairs, bodies(ends(pairs), "more-bodies"), percent).where("link")
+    pairs = x.join(y, ["key", "class"]).where(fit & once & ~few & ~apart & ~again)
+    pairs = common.saved(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "pairs")
+    pairs = common.saved(plausible(pairs, ends(pairs), percent), "pairs")
+    second = compared(pairs, bodies(pairs, "more-bodies"), percent).where("link")
     groups_of = components(first.where("link").select("a", "b").unionByName(second.select("a", "b")), "all")
-
-    return sets.join(groups_of, "node", "left").select("row", "size", F.coalesce("component", "node").alias("group"))
+    grouped = common.spread_join(sets.select("row", "size", "node"), groups_of, "node", common.hot_values(sets, "node"), "left")
+    return grouped.select("row", "size", F.coalesce("component", "node").alias("group"))

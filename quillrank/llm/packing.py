@@ -97,7 +97,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     once each. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-rows.count() // shard_docs))
     longest = min(capacity, math.isqrt(max_cost or capacity * capacity))

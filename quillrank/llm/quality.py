@@ -119,7 +119,6 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
 
 def scored(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
     """docs, which has no columns of these names, with held_out, score and predicted."""
-    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # as many numbers as buckets
 
     def make():

@@ -1,17 +1,17 @@
-"""Repeated windows of long sequences, found by partitioning on minimizers.
+"""Repeated windows of long sequences: partitioning on minimizers.
 
 A document is a sequence of units (words or bytes), a window a fixed number of successive units. Every window has
 an anchor: its gram of smallest hash, leftmost among equals, which depends on nothing but the window's content.
-Successive windows with one anchor form a run, so equal windows always lie in runs with equal anchors, and a run is
-named by the hash of all that its windows cover. That leaves two steps, each one shuffle of a few numbers a run:
-
-1. Runs meet by anchor. Equal runs repeat each other in full. A run that shares its anchor with a different one
-   may share some windows with it and becomes a candidate.
-2. The windows of one run of each kind of candidate meet by their own hash.
+Successive windows with one anchor form a run, so equal windows always lie in runs with equal anchors. A run is named by
+its anchor's hash and by a second hash, of other unit hashes, of all that its windows cover. Runs meet by anchor. Equal
+runs repeat each other in full; a run that shares its anchor with a different one may share some windows with it and
+becomes a candidate, which ``substring`` and ``suffix`` settle each in its own way.
 
 Whatever one task knows to repeat is set aside before the shuffle, so a key never has more rows than there are
 tasks; an anchor that has many different runs in one task is marked, and its runs are candidates without meeting.
-Keys are two hashes of 64 bits.
+
+Unit hashes are XXH3 of a word or the bytes themselves; they are combined by multiplication and mixing in turn at every
+step, so that no arrangement of units makes hashes equal by algebra, as it does with polynomials modulo 2**64.
 """
 
 from __future__ import annotations
@@ -19,28 +19,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
+from .tokens import Remembered
 
-_R = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LETTER = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_R, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS_BITS = np.uint64(20)
 #: Units handled at once; a longer document is cut there into overlapping chunks.
 CHUNK = 1 << 19
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_R, _R_INVERSE)):
-            factors = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0][:n], _powers[1][:n]
+#: Words whose hashes a task remembers.
+WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,17 +41,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hashes:
-    """Hashes of any ranges of bytes, in constant time each."""
-
-    def __init__(self, data: bytes):
-        raw = np.frombuffer(data, np.uint8)
-        power, self.inverse = _power(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTER[raw] * power[:-1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(a * _R + (b ^ (b >> np.uint64(29))) * _R2)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,42 +57,62 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Sequence:
-    """One document: its bytes, and the start and end of each unit in them."""
-
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.starts, self.ends, self.n = data, starts, ends, len(starts)
+    """One document of ``n`` units. A subclass has ``width``, the units of an atom, and gives the hashes of atoms."""
+
+    n: int
+    width: int
+
+    def atoms(self, start: int, stop: int) -> np.ndarray:
+        """First hashes of the atoms that start at units start..stop."""
+        raise NotImplementedError
+
+    def other(self, at: np.ndarray) -> np.ndarray:
+        """Second hashes of the atoms at some units."""
+        raise NotImplementedError
+
+    def grams(self, start: int, stop: int, depth: int) -> np.ndarray:
+        """Hashes of the strings of ``depth`` units that start at start..stop. Those of twice a depth come from two of
+        it, the second at a later offset."""
+        have = self.width
+        out = self.atoms(start, stop + depth - have)
+        while have < depth:
+            later = min(have, depth - have)
+            out = both(out[: len(out) - later], out[later:])
+            have += later
+        return out
+
+    def seconds(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Hashes of the strings of ``depth`` units at some places, by second hashes of atoms."""
+        h = np.full(len(at), depth, np.uint64)
+        for o in sorted({*range(0, depth - self.width, self.width), depth - self.width}):
+            h = both(h, self.other(at + o))
+        return h
 
     def chunks(self, window: int):
-        for a in range(0, max(self.n - window + 1, 0), CHUNK):
-            b = min(self.n, a + CHUNK + window - 1)
-            at = int(self.starts[a])
-            yield a, Hashes(self.data[at : int(self.ends[b - 1])]), self.starts[a:b] - at, self.ends[a:b] - at
+        last = self.n - window + 1
+        for a in range(0, max(last, 0), CHUNK):
+            yield a, min(last, a + CHUNK)
 
     def runs(self, window: int, gram: int):
         """(anchor, content, first window, number of windows) of each run, as arrays."""
-        for a, h, s, e in self.chunks(window):
-            g = h.of(s[: len(s) - gram + 1], e[gram - 1 :])
+        for a, b in self.chunks(window):
+            g = self.grams(a, b + window - gram, gram)
             keyed = (g >> _POS_BITS << _POS_BITS) | np.arange(len(g), dtype=np.uint64)
             least = sliding_min(keyed, window - gram + 1)
             first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
             end = np.append(first[1:], len(least))
             where = (least[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
-            yield g[where], h.of(s[first], e[end + window - 2]), first + a, end - first
+            # A run has fewer windows than a window has units, so its first and last one cover it.
+            content = both(self.seconds(first + a, window), self.seconds(end - 1 + a, window) + (end - first).astype(np.uint64))
+            yield g[where], content, first + a, end - first
 
-    def windows(self, first: np.ndarray, count: np.ndarray, window: int, gram: int):
-        """(identifier, position) of the windows of some runs. Identifiers of grams are made first; those of twice
-        the depth come from two of them, the second at a later offset, until they reach a window's depth."""
+    def windows(self, first: np.ndarray, count: np.ndarray, window: int):
+        """(hash, second hash, position) of the windows of some runs."""
         wanted = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        for a, h, s, e in self.chunks(window):
-            some = wanted[(wanted >= a) & (wanted < a + CHUNK)] - a
-            if not len(some):
-                continue
-            depth, bucket = gram, h.of(s[: len(s) - gram + 1], e[gram - 1 :])
-            while depth < window:
-                later = min(depth, window - depth)
-                bucket = mix(bucket[: len(bucket) - later] * _R + bucket[later:])
-                depth += later
-            yield bucket[some], some + a
+        for a, b in self.chunks(window):
+            some = wanted[(wanted >= a) & (wanted < b)]
+            if len(some):
+                yield self.grams(a, b, window)[some - a], self.seconds(some, window), some
 
     def covered(self, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
         """Which units lie in a window of some runs."""
@@ -118,6 +122,56 @@ class Sequence:
         return np.cumsum(edge[:-1]) > 0
 
 
+class Words(Sequence):
+    """Words are [^\\x20\\x09-\\x0D]+. known: hashes of words, shared by the sequences of a task."""
+
+    width = 1
+
+    def __init__(self, data: bytes, known: dict):
+        self.words = data.split()
+        self.n = len(self.words)
+        self.hashes = np.frombuffer(b"".join(map(known.__getitem__, self.words)), "<u8").reshape(-1, 2)
+
+    def atoms(self, start: int, stop: int) -> np.ndarray:
+        return self.hashes[start:stop, 0]
+
+    def other(self, at: np.ndarray) -> np.ndarray:
+        return self.hashes[at, 1]
+
+
+class Bytes(Sequence):
+    """Bytes; an atom is up to eight of them as they are, so it has no collisions."""
+
+    def __init__(self, data: bytes, gram: int):
+        self.data, self.n, self.width = data, len(data), min(8, gram)
+        self.padded = data + bytes(8)
+
+    def _raw(self, start: int, stop: int) -> np.ndarray:
+        at = np.ndarray((max(stop - start, 0),), "<u8", self.padded, start, (1,))
+        return at & np.uint64((1 << 8 * self.width) - 1)
+
+    def atoms(self, start: int, stop: int) -> np.ndarray:
+        return mix(self._raw(start, stop) ^ _R)
+
+    def other(self, at: np.ndarray) -> np.ndarray:
+        return np.ndarray((self.n + 1,), "<u8", self.padded, 0, (1,))[at] & np.uint64((1 << 8 * self.width) - 1)
+
+
+def by_words(lower: bool = False) -> Callable[[str | None], Words]:
+    """Within a task: text -> its words. lower: A-Z are lower-cased first."""
+    known = Remembered(xxhash.xxh3_128_digest, WORDS)
+
+    def of_text(text: str | None) -> Words:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        return Words(data.lower() if lower else data, known)
+
+    return of_text
+
+
+def by_bytes(gram: int) -> Callable[[], Callable[[str | None], Bytes]]:
+    return lambda: lambda text: Bytes((text or "").encode("utf-8", "surrogatepass"), gram)
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """rows with body, the compressed text, in place of text: what has to be shuffled is less than half as long."""
 
@@ -138,24 +192,10 @@ def unpacker():
     return lambda body: None if body is None else unzip(body).decode("utf-8", "surrogatepass")
 
 
-def in_bytes(text: str | None) -> Sequence:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    at = np.arange(len(data) + 1)
-    return Sequence(data, at[:-1], at[1:])
-
-
-def in_words(text: str | None) -> Sequence:
-    """Words are [^\\x20\\x09-\\x0D]+, in a canonical text with one blank between them."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    data = b" ".join(words)
-    blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    return Sequence(data, np.concatenate([[0], blanks + 1]) if words else blanks, np.append(blanks, len(data)) if words else blanks)
-
-
-#: What becomes of a row. In stage 1: KEY meets others by route; FOUND repeats for sure; MARK says that an anchor is
-#: hot; HOT has a hot anchor and meets equal runs only. After it: FOUND, or CANDIDATE, or HOT if its anchor is. In stage
-#: 2, CONTENT is a run with what it covers.
-KEY, FOUND, MARK, HOT, CANDIDATE, CONTENT = range(6)
+#: What becomes of a row. When runs meet: KEY meets others by route; FOUND repeats for sure; MARK says that an anchor is
+#: hot; HOT has a hot anchor and meets equal runs only; CONTENT is a run with what it covers. After it: FOUND; SOURCE, the
+#: first of those that repeat it; CANDIDATE, or HOT if its anchor is.
+KEY, FOUND, MARK, HOT, CANDIDATE, CONTENT, SOURCE = range(7)
 
 
 def _grouped(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray):
@@ -166,7 +206,7 @@ def _grouped(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _joined(doc: np.ndarray, pos: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(doc: np.ndarray, pos: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that follow each other in one document become one."""
     if not len(doc):
         return doc, pos, m
@@ -176,18 +216,21 @@ def _joined(doc: np.ndarray, pos: np.ndarray, m: np.ndarray) -> tuple[np.ndarray
     return doc[new], pos[new], np.add.reduceat(m, new)
 
 
-def _set_aside(a, b, doc, pos, m, keep_first: bool, hot: int):
-    """Within a task: rows (route, a, b, doc, pos, m, many, kind). One row of each (a, b) goes on as KEY, with many =
-    whether there were more; the others are FOUND, and without keep_first that one is FOUND too."""
+ROW = "route long, a long, b long, doc long, pos long, m int, many boolean, kind byte"
+#: edge: the hash that names the run or window, where keep_first.
+FLAG = "doc long, pos long, m int, kind byte, a long, edge long"
+
+
+def set_aside(a, b, doc, pos, m, keep_first: bool, hot: int):
+    """Within a task: columns of ROW. One row of each (a, b) goes on as KEY, with many = whether there were more; the
+    others are FOUND, and without keep_first that one is FOUND too."""
     order, starts, group = _grouped(a, b, doc, pos)
     a, b, doc, pos, m = a[order], b[order], doc[order], pos[order], m[order]
-    size = np.diff(np.append(starts, len(a)))
-    many = size > 1
+    many = np.diff(np.append(starts, len(a))) > 1
     # The later of equal coordinates isn't earlier than itself: a repeated row of one document.
-    later = np.ones(len(a), bool)
-    later[starts] = False
-    again = later if not keep_first else later & ((doc != doc[starts][group]) | (pos != pos[starts][group]))
-    found = again if keep_first else many[group]
+    found = many[group]
+    if keep_first:
+        found = found & ((doc != doc[starts][group]) | (pos != pos[starts][group]))
     kind = np.full(len(starts), KEY, np.int8)
     route = a[starts].copy()
     marks = np.zeros(0, np.uint64)
@@ -198,50 +241,30 @@ def _set_aside(a, b, doc, pos, m, keep_first: bool, hot: int):
         kind[is_hot] = HOT
         route[is_hot] = b[starts][is_hot]
         marks = a[starts][anchor_new][kinds > hot]
-    f_doc, f_pos, f_m = _joined(doc[found], pos[found], m[found])
-    f_route = mix(f_doc.astype(np.uint64))
+    if keep_first:  # they keep their names
+        f_a, f_b, f_doc, f_pos, f_m = a[found], b[found], doc[found], pos[found], m[found]
+    else:
+        f_doc, f_pos, f_m = joined(doc[found], pos[found], m[found])
+        f_a = f_b = np.zeros(len(f_doc), np.uint64)
     zero = np.zeros(len(marks), np.int64)
     parts = [
         (route, a[starts], b[starts], doc[starts], pos[starts], m[starts], many, kind),
-        (f_route, np.zeros_like(f_route), np.zeros_like(f_route), f_doc, f_pos, f_m, np.ones(len(f_doc), bool), np.full(len(f_doc), FOUND, np.int8)),
+        (mix(f_doc.astype(np.uint64)), f_a, f_b, f_doc, f_pos, f_m, np.ones(len(f_doc), bool), np.full(len(f_doc), FOUND, np.int8)),
         (marks, marks, marks, zero, zero, zero, np.zeros(len(marks), bool), np.full(len(marks), MARK, np.int8)),
     ]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-
-_ROW = "route long, a long, b long, doc long, pos long, m int, many boolean, kind byte"
-
-
-def _as_columns(rows: list[np.ndarray]) -> list[np.ndarray]:
-    return [x.view(np.int64) if x.dtype == np.uint64 else x for x in rows]
-
-
-class Collector:
-    """Gathers arrays and gives them to ``flush`` as a whole when there are many."""
+    return [common.signed(np.concatenate(c)) for c in zip(*parts, strict=True)]
 
-    def __init__(self, flush: Callable, most: int = 1_500_000):
-        self.flush, self.most, self.held, self.n = flush, most, [], 0
 
-    def add(self, *arrays: np.ndarray) -> None:
-        if len(arrays[0]):
-            self.held.append(arrays)
-            self.n += len(arrays[0])
+def first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: int):
+    """Runs of texts, for common.map_batches: (doc, text) -> ROW."""
 
-    def out(self, force: bool = False):
-        if not self.held or self.n < self.most and not force:
-            return None
-        whole = [np.concatenate(c) for c in zip(*self.held, strict=True)]
-        self.held, self.n = [], 0
-        return self.flush(*whole)
-
-
-def _first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: int):
     def make():
-        got = Collector(lambda *c: _as_columns(_set_aside(*c, keep_first, hot)))
+        of_text = unit()
+        got = common.Collector(lambda *c: set_aside(*c, keep_first, hot))
 
         def step(docs, texts):
             for doc, text in zip(docs, texts, strict=True):
-                for anchor, content, first, m in unit(text).runs(window, gram):
+                for anchor, content, first, m in of_text(text).runs(window, gram):
                     got.add(anchor, content, np.full(len(first), doc, np.int64), first, m.astype(np.int32))
             return got.out()
 
@@ -251,129 +274,45 @@ def _first_map(unit: Callable, window: int, gram: int, keep_first: bool, hot: in
     return make
 
 
-def _second_map(unit: Callable, window: int, gram: int, keep_first: bool, ship: bool):
-    """Windows of candidates, or with ship the bytes that the runs cover: one row for a run and not for each window. The
-    runs of hot anchors always go by windows."""
-
-    def make():
-        text_of = unpacker()
-        held: list[tuple] = []
-
-        def windows(*columns):
-            return [*_as_columns(_set_aside(*columns, keep_first, 0))]
-
-        got = Collector(windows)
-
-        def out(force: bool):
-            rows = got.out(force)
-            n = len(rows[0]) if rows else 0
-            columns = [x.tolist() for x in rows] if rows else [[] for _ in range(8)]
-            columns.append([None] * n)
-            for r in held:
-                for c, x in zip(columns, r, strict=True):
-                    c.append(x)
-            held.clear()
-            return columns if columns[0] else None
-
-        def step(docs, bodies, firsts, counts, anchors, kinds):
-            for doc, body, first, count, anchor, kind in zip(docs, bodies, firsts, counts, anchors, kinds, strict=True):
-                seq = unit(text_of(body))
-                by_window = [i for i in range(len(first)) if not ship or kind[i] == HOT]
-                if by_window:
-                    for h, pos in seq.windows(np.array([first[i] for i in by_window], np.int64), np.array([count[i] for i in by_window], np.int64), window, gram):
-                        got.add(h, mix(h ^ np.uint64(window)), np.full(len(pos), doc, np.int64), pos, np.ones(len(pos), np.int32))
-                for i in range(len(first)) if ship else ():
-                    if kind[i] != HOT:
-                        held.append((anchor[i], anchor[i], 0, doc, first[i], count[i], False, CONTENT, seq.data[first[i] : first[i] + count[i] + window - 1]))
-            return out(False)
-
-        step.rest = lambda: out(True)
-        return step
-
-    return make
-
-
-_FLAG = "doc long, pos long, m int, kind byte, a long"
-
-
-def _same_windows(a, doc, pos, m, content, window: int, gram: int, keep_first: bool, most: int = 1 << 20):
-    """Which windows of runs with equal anchors are equal: (doc, pos, m) of those found. Anchors are taken in parts of
-    about ``most`` bytes."""
-    order = np.argsort(a, kind="stable")
-    size = m[order].astype(np.int64) + window - 1
-    ends = np.cumsum(size)
-    anchors = a[order]
-    at = 0
-    while at < len(order):
-        end = int(np.searchsorted(ends, ends[at] - size[at] + most))
-        end = max(end, at + 1)
-        end = int(np.searchsorted(anchors, anchors[end - 1], side="right"))  # whole anchors
-        rows = order[at:end]
-        lengths = size[at:end]
-        data = b"".join([content[i] for i in rows])
-        h = Hashes(data)
-        place = np.arange(len(data) - gram + 1)
-        depth, bucket = gram, h.of(place, place + gram)
-        while depth < window:
-            later = min(depth, window - depth)
-            bucket = mix(bucket[: len(bucket) - later] * _R + bucket[later:])
-            depth += later
-        counts = m[rows].astype(np.int64)
-        begin = np.cumsum(lengths) - lengths
-        step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = bucket[np.repeat(begin, counts) + step]
-        d, p = np.repeat(doc[rows], counts), np.repeat(pos[rows], counts) + step
-        o, starts, group = _grouped(np.repeat(a[rows], counts), ids, d, p)
-        many = (np.diff(np.append(starts, len(o))) > 1)[group]
-        if keep_first:
-            many[starts] = False
-        yield _joined(d[o][many], p[o][many], np.ones(int(many.sum()), np.int32))
-        at = end
-
-
-def _meet(keep_first: bool, window: int = 0, gram: int = 0):
-    """Per partition of a route: what repeats, and which runs are candidates."""
-
-    def flush(a, b, doc, pos, m, many, kind, content):
-        a, b = a.view(np.uint64), b.view(np.uint64)
-        marked = np.unique(a[kind == MARK])
-        k = np.flatnonzero((kind == KEY) | (kind == HOT))
-        order, starts, group = _grouped(a[k], b[k], doc[k], pos[k])
-        k = k[order]
-        size = np.diff(np.append(starts, len(k)))
-        if keep_first:
-            found = (doc[k] != doc[k[starts]][group]) | (pos[k] != pos[k[starts]][group])
-        else:
-            # many: its task has said so already.
-            found = (size > 1)[group] & ~many[k]
-        lead = k[starts]
-        new = np.concatenate([[True], a[lead][1:] != a[lead][:-1]]) if len(lead) else np.zeros(0, bool)
-        kinds = np.diff(np.append(np.flatnonzero(new), len(lead)))
-        is_hot = (kind[lead] == HOT) | np.isin(a[lead], marked)
-        shared = (kinds > 1)[np.cumsum(new) - 1] | is_hot if len(lead) else new
-        parts = [_joined(*(np.concatenate([x[kind == FOUND], x[k[found]]]) for x in (doc, pos, m)))]
-        whole = np.flatnonzero(kind == CONTENT)
-        if len(whole):
-            parts += _same_windows(a[whole], doc[whole], pos[whole], m[whole], [content[i] for i in whole], window, gram, keep_first)
-        f_doc, f_pos, f_m = (np.concatenate(c) for c in zip(*parts, strict=True))
-        pick = lead[shared]
-        label = np.where(is_hot[shared], HOT, CANDIDATE).astype(np.int8)
-        return np.concatenate([f_doc, doc[pick]]), np.concatenate([f_pos, pos[pick]]), np.concatenate([f_m, m[pick]]), np.concatenate([np.full(len(f_doc), FOUND, np.int8), label]), np.concatenate([np.zeros(len(f_doc), np.int64), a[pick].view(np.int64)])
-
-    def make():
-        got = Collector(flush, 1 << 62)
-
-        def step(a, b, doc, pos, m, many, kind, content=None):
-            bodies = np.empty(len(a), object)
-            if content is not None:
-                bodies[:] = content
-            got.add(np.array(a, np.int64), np.array(b, np.int64), np.array(doc, np.int64), np.array(pos, np.int64), np.array(m, np.int32), np.array(many, bool), np.array(kind, np.int8), bodies)
-            return None
-
-        step.rest = lambda: got.out(True)
-        return step
-
-    return make
+def met(a, b, doc, pos, m, many, kind, keep_first: bool):
+    """What repeats, and which runs are candidates: columns of FLAG for whole routes."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    marked = np.unique(a[kind == MARK])
+    k = np.flatnonzero((kind == KEY) | (kind == HOT))
+    order, starts, group = _grouped(a[k], b[k], doc[k], pos[k])
+    k = k[order]
+    size = np.diff(np.append(starts, len(k)))
+    source = np.zeros(0, np.int64)
+    if keep_first:
+        found = (doc[k] != doc[k[starts]][group]) | (pos[k] != pos[k[starts]][group])
+        if len(starts):
+            source = k[starts[np.logical_or.reduceat(found | many[k], starts)]]
+    else:
+        found = (size > 1)[group] & ~many[k]  # many: its task has said so already
+    lead = k[starts]
+    new = np.concatenate([[True], a[lead][1:] != a[lead][:-1]]) if len(lead) else np.zeros(0, bool)
+    kinds = np.diff(np.append(np.flatnonzero(new), len(lead)))
+    is_hot = (kind[lead] == HOT) | np.isin(a[lead], marked)
+    shared = (kinds > 1)[np.cumsum(new) - 1] | is_hot if len(lead) else new
+    pick = lead[shared]
+    label = np.where(is_hot[shared], HOT, CANDIDATE).astype(np.int8)
+    again = np.concatenate([np.flatnonzero(kind == FOUND), k[found]])
+    if keep_first:
+        at = np.concatenate([again, source, pick])
+        kinds_out = np.concatenate([np.full(len(again), FOUND, np.int8), np.full(len(source), SOURCE, np.int8), label])
+        return doc[at], pos[at], m[at], kinds_out, common.signed(a[at]), common.signed(both(a[at], b[at]))
+    f_doc, f_pos, f_m = joined(doc[again], pos[again], m[again])
+    n = np.zeros(len(f_doc), np.int64)
+    return np.concatenate([f_doc, doc[pick]]), np.concatenate([f_pos, pos[pick]]), np.concatenate([f_m, m[pick]]), np.concatenate([np.full(len(f_doc), FOUND, np.int8), label]), np.concatenate([n, common.signed(a[pick])]), np.zeros(len(n) + len(pick), np.int64)
+
+
+_TYPES = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, bool, np.int8)
+COLUMNS = ["route", "a", "b", "doc", "pos", "m", "many", "kind"]
+
+
+def meet(keep_first: bool):
+    """For rows of ROW, sorted by route."""
+    return lambda: common.by_key(lambda _, *c: met(*c, keep_first), _TYPES)
 
 
 def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -388,31 +327,18 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return common.saved(docs.sparkSession.createDataFrame(pairs, kind), "numbered")
 
 
-def repeated(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first: bool, hot: int = 256, ship: bool = False) -> DataFrame:
-    """Windows that repeat: rows (row, doc_id, text) -> (doc, first, count), arrays of runs of windows per row. With
-    keep_first a window counts if an equal one starts earlier, by (row, position); without, if one starts anywhere
-    else. A null text has no windows. ship: see _second_map, for bytes only."""
-    spark = rows.sparkSession
-    common.small_batches(spark, 2000)
-    parts = common.shuffle_parts(spark)
-    runs = common.map_batches(rows.select("row", "text"), _first_map(unit, window, gram, keep_first, hot), _ROW)
-    columns = ["a", "b", "doc", "pos", "m", "many", "kind"]
-    flags = common.saved(common.map_batches(runs.repartition(parts, "route").select(columns), _meet(keep_first), _FLAG), "runs")
-    each = {"pos": "first", "m": "count", "a": "anchor", "kind": "hot"}
-    wanted = flags.where(F.col("kind") != FOUND).groupBy("doc").agg(*[F.collect_list(c).alias(n) for c, n in each.items()])
-    with_text = packed(rows.select(F.col("row").alias("doc"), "text")).join(wanted, "doc").select("doc", "body", *each.values())
-    windows = common.map_batches(with_text, _second_map(unit, window, gram, keep_first, ship), f"{_ROW}, content binary")
-    more = common.map_batches(windows.repartition(parts, "route").select(*columns, "content"), _meet(keep_first, window, gram), _FLAG)
-    found = flags.unionByName(more).where(F.col("kind") == FOUND)
-    return found.groupBy("doc").agg(F.collect_list("pos").alias("first"), F.collect_list("m").alias("count"))
+def met_runs(rows: DataFrame, unit: Callable, window: int, gram: int, keep_first: bool, hot: int) -> DataFrame:
+    """FLAG rows of the runs of rows (row, text) that repeat, that are repeated, or that are candidates, as a saved table."""
+    runs = common.map_batches(rows.select("row", "text"), first_map(unit, window, gram, keep_first, hot), ROW)
+    return common.saved(common.map_batches(common.routed(runs, "route").select(COLUMNS), meet(keep_first), FLAG), "runs")
 
 
-def with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row without its number, with first and count, and body for text."""
-    return packed(rows).join(found.withColumnRenamed("doc", "row"), "row", "left").drop("row")
+def candidates(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """(doc, body, first, count, anchor, hot): arrays of the candidate runs of each text."""
+    each = {"pos": "first", "m": "count", "a": "anchor", "kind": "hot"}
+    wanted = flags.where(F.col("kind").isin(CANDIDATE, HOT)).groupBy("doc").agg(*[F.collect_list(c).alias(n) for c, n in each.items()])
+    return packed(rows.select(F.col("row").alias("doc"), "text")).join(wanted, "doc").select("doc", "body", *each.values())
 
 
 def runs_of(first, count) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first or [], np.int64), np.array(count or [], np.int64)
-
-

@@ -113,7 +113,6 @@ def score(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
 
 def scored(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
     """docs, which has no columns of these names, with p_insult, p_contempt, score and predicted."""
-    common.small_batches(docs.sparkSession)
     weights, bias, chain = model
     used = np.flatnonzero(np.abs(weights).max(axis=1) > 0)
     shared = docs.sparkSession.sparkContext.broadcast((used, weights[used], bias, chain))  # at most BUCKETS rows

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillrank.llm import bpe, digest, idfile, jaccard, mtree, packing, substring, suffix, tokens
+from quillrank.llm import bpe, digest, idfile, jaccard, mtree, packing, spans, substring, suffix, tokens
 
 SCHEMA = "doc_id long, text string, n_removed string, row int, score double, key string"
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -79,32 +79,58 @@ def bytes_removed(rows, k):
 
 
 @pytest.mark.parametrize("hot", [256, 1])
-def test_substring(spark, monkeypatch, hot):
-    from quillrank.llm import spans
-
-    real = spans.repeated
-    monkeypatch.setattr(spans, "repeated", lambda *a, **k: real(*a, **{**k, "hot": hot}))
+def test_substring(spark, hot):
     rows = corpus(1)
-    assert got(substring.dedup_words(table(spark, rows).repartition(3), 20), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(rows, 20)
+    assert got(substring.dedup_words(table(spark, rows).repartition(3), 20, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(rows, 20)
 
 
 @pytest.mark.parametrize("hot", [256, 1])
-def test_suffix(spark, monkeypatch, hot):
-    from quillrank.llm import spans
-
-    real = spans.repeated
-    monkeypatch.setattr(spans, "repeated", lambda *a, **k: real(*a, **{**k, "hot": hot}))
+@pytest.mark.parametrize("length, gram", [(60, 15), (200, 50)])
+def test_suffix(spark, hot, length, gram):
     rows = corpus(2)
-    out = suffix.dedup_bytes(table(spark, rows).repartition(3), 60, 15)
-    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(rows, 60)
+    out = suffix.dedup_bytes(table(spark, rows).repartition(3), length, gram, hot=hot)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(rows, length)
+
+
+def thue_morse(n):
+    """Words of n letters for which polynomials modulo 2**64 collide."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ab"[1 - x] for x in bits)
+
+
+def test_texts_made_to_collide(spark):
+    a, b = thue_morse(2048)
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"x y z {a}"), (4, f"x y z {b}"), (5, " ".join(a[:512])), (6, " ".join(b[:512]))]
+    assert got(substring.dedup_words(table(spark, rows), 20), "doc_id", "n_words", "n_removed", "kept_sha256") == words_removed(rows, 20)
+    assert got(jaccard.near_groups(table(spark, rows)), "doc_id", "n_shingles", "component_id") == groups(rows, 4, 85)
+    out = suffix.dedup_bytes(table(spark, rows), 200, 50)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_removed(rows, 200)
+
+
+def test_paths_compact(spark):
+    """A chain of edges is one path, a fork starts new ones, a cycle ends."""
+    edges = [(i, 2, 100 + i, 101 + i) for i in range(40)] + [(50, 1, 140, 200), (51, 1, 140, 201), (60, 3, 300, 301), (61, 1, 301, 300), (70, 1, 400, 400)]
+    out = {r["edge"]: (r["path"], r["at"]) for r in substring.compacted(spark.createDataFrame(edges, "edge long, m int, tail long, head long")).collect()}
+    assert all(out[i] == (0, 2 * i) for i in range(40)) and out[50] == (50, 0) and out[51] == (51, 0)
+    assert out[60] == (60, 0) and out[61] == (61, 0) and out[70] == (70, 0) and len(out) == len(edges)
+
 
+def test_buckets_are_strings():
+    rnd = np.random.default_rng(4)
+    for depth in (1, 3, 8, 9, 21, 64):
+        data = rnd.integers(97, 99, 600, np.uint8).tobytes() + b"ab" * 90
+        bucket = suffix.refined(data, depth)
+        assert len(bucket) == len(data) - depth + 1
+        assert len(set(zip(bucket.tolist(), (data[i : i + depth] for i in range(len(bucket)))))) == len(set(bucket.tolist())) == len({data[i : i + depth] for i in range(len(bucket))})
 
-def test_chunks_of_long_texts(spark, monkeypatch):
-    from quillrank.llm import spans
 
+def test_chunks_of_long_texts(monkeypatch):
     monkeypatch.setattr(spans, "CHUNK", 100)
-    seq = spans.in_bytes("ab" * 300 + "c" * 300)
-    whole = {int(p): int(h) for h, p in [(h, p) for hs, ps in seq.windows(np.array([0]), np.array([700]), 40, 10) for h, p in zip(hs, ps)]}
+    seq = spans.by_bytes(10)()("ab" * 300 + "c" * 300)
+    whole = {int(p): int(h) for h, _, p in [(h, b, p) for hs, bs, ps in seq.windows(np.array([0]), np.array([700]), 40) for h, b, p in zip(hs, bs, ps)]}
     assert len(whole) == 700 and whole[0] == whole[2] != whole[1]
     assert sum(int(m.sum()) for _, _, _, m in seq.runs(40, 10)) == 861
 
@@ -139,8 +165,8 @@ def groups(rows, n, percent):
 def test_jaccard(spark, monkeypatch, heavy):
     if heavy:  # make shingles of several documents count as frequent
         real = jaccard.frequent
-        monkeypatch.setattr(jaccard, "frequent", lambda rows, n: real(rows, n, least=3))
-        monkeypatch.setattr(jaccard, "_counts", (lambda f: lambda n, least: f(n, 2))(jaccard._counts))
+        monkeypatch.setattr(jaccard, "frequent", lambda sets: real(sets, least=3))
+        monkeypatch.setattr(jaccard, "_sets", (lambda f: lambda n, least: f(n, 2))(jaccard._sets))
     rows = corpus(3, 90)
     for n, percent in ((4, 85), (2, 80)):
         assert got(jaccard.near_groups(table(spark, rows).repartition(3), n, percent), "doc_id", "n_shingles", "component_id") == groups(rows, n, percent)
@@ -158,9 +184,11 @@ def test_entries_guarantee():
         b = np.unique(np.concatenate([a[int(rnd.integers(0, 1 + len(a) // 12)) :], rnd.integers(1, 1 << 60, int(rnd.integers(0, 4))).astype(np.uint64)]))
         i, u = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * i >= 85 * u and i < u:
-            x, y = (dict(zip(*jaccard.entries(s, 85, heavy, rank))) for s in (a, b))
+            x, y = ({k: (kind, most) for k, kind, most in zip(*jaccard.entries(s, 85, heavy, rank))} for s in (a, b))
             shared = [k for k in x if k in y]
-            assert any(not (x[k] == y[k] == jaccard.FEW) for k in shared)
+            assert any(not (x[k][0] == y[k][0] == jaccard.FEW) and x[k][1] >= len(b) and y[k][1] >= len(a) for k in shared)
+            bits = np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64))
+            assert bits.sum() <= u - i
 
 
 def test_tokens_are_the_librarys():
