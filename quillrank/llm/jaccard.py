@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def shingler(n: int):
             return np.zeros(0, np.uint64)
         if seq.n < n:
             return spans.both(seq.grams(0, 1, seq.n), np.full(1, seq.n, np.uint64))
-        return np.unique(np.concatenate([seq.grams(a, b, n) for a, b in seq.chunks(n)]))
+        found = [seq.grams(a, b, n) for a, b in seq.chunks(n)]
+        s = np.sort(found[0] if len(found) == 1 else np.concatenate(found))
+        return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
     return of_text
 
@@ -62,8 +65,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 
 def node_of(s: np.ndarray) -> int:
     """A set's number: 63 bits of a hash of it."""
-    parts = np.array([s.sum(), np.bitwise_xor.reduce(spans.mix(s)), len(s)], np.uint64) * np.array([1, 3, 5], np.uint64)
-    return int(spans.mix(spans.mix(parts).cumsum()[-1:])[0] >> np.uint64(1))
+    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
 
 def _sets(n: int, least: int):
@@ -294,7 +296,8 @@ def row_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     made = common.saved(common.map_batches(rows.select("row", "text"), _sets(n, 3), _SETS), "sets")
     sets = made.where("row is not null").drop("token", "n")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
+    first_rows = sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
+    nodes = common.saved(first_rows.join(sets.drop("node"), "row"), "nodes")
     shared = spark.sparkContext.broadcast(frequent(made))  # at most 2**17 numbers
     index = common.map_batches(rows.select("text"), _index(n, percent, shared), "route long, key long, node long, size int, most int, kind byte")
     entry = "key long, node long, size int, most int, kind byte"
@@ -305,11 +308,12 @@ def row_groups(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         """The nodes of pairs, with the row of one document and the bitmap of each."""
         both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return both.join(nodes, "node").join(sets.drop("node"), "row")
+        return both.join(nodes, "node")
 
     def bodies(pairs: DataFrame, name: str) -> DataFrame:
         """The sets of the nodes of pairs, from the text of one document of each."""
-        texts = spans.packed(rows.select("row", "text")).join(ends(pairs).select("row", "node"), "row").select("node", "body")
+        wanted = common.saved(ends(pairs).select("row", "node"), "wanted")
+        texts = spans.texts_of(rows, wanted).select("node", "body")
         return common.saved(common.map_batches(texts, _set_bytes(n), "node long, shingles binary"), name, compression="none")
 
     # The hub of a key is its most typical node: the one of whose shingles the greatest share is in other sets too, as in

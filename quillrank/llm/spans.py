@@ -32,18 +32,30 @@ _POS_BITS = np.uint64(20)
 #: Units handled at once; a longer document is cut there into overlapping chunks.
 CHUNK = 1 << 19
 #: Words whose hashes a task remembers.
-WORDS = 100_000
+WORDS = 200_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """mix, in place."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    return _mixed(x.copy())
 
 
 def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes in this order."""
-    return mix(a * _R + (b ^ (b >> np.uint64(29))) * _R2)
+    x = b >> np.uint64(29)
+    x ^= b
+    x *= _R2
+    x += a * _R
+    return _mixed(x)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -83,10 +95,12 @@ class Sequence:
 
     def seconds(self, at: np.ndarray, depth: int) -> np.ndarray:
         """Hashes of the strings of ``depth`` units at some places, by second hashes of atoms."""
-        h = np.full(len(at), depth, np.uint64)
-        for o in sorted({*range(0, depth - self.width, self.width), depth - self.width}):
-            h = both(h, self.other(at + o))
-        return h
+        offsets = np.array(sorted({*range(0, depth - self.width, self.width), depth - self.width}))
+        h = self.other(at + offsets[:, None])
+        while len(h) > 1:  # neighbours are joined, an odd one goes on
+            pairs = both(h[0 : len(h) - 1 : 2], h[1::2])
+            h = np.concatenate([pairs, h[-1:]]) if len(h) % 2 else pairs
+        return both(h[0], np.full(len(at), depth, np.uint64))
 
     def chunks(self, window: int):
         last = self.n - window + 1
@@ -103,7 +117,8 @@ class Sequence:
             end = np.append(first[1:], len(least))
             where = (least[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
             # A run has fewer windows than a window has units, so its first and last one cover it.
-            content = both(self.seconds(first + a, window), self.seconds(end - 1 + a, window) + (end - first).astype(np.uint64))
+            edges = self.seconds(np.concatenate([first, end - 1]) + a, window)
+            content = both(edges[: len(first)], edges[len(first) :] + (end - first).astype(np.uint64))
             yield g[where], content, first + a, end - first
 
     def windows(self, first: np.ndarray, count: np.ndarray, window: int):
@@ -189,7 +204,15 @@ def unpacker():
     import zstandard
 
     unzip = zstandard.ZstdDecompressor().decompress
-    return lambda body: None if body is None else unzip(body).decode("utf-8", "surrogatepass")
+    return lambda body: body if body is None or isinstance(body, str) else unzip(body).decode("utf-8", "surrogatepass")
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows (row, text) join wanted (row, one more number), a saved table, with body for text. Up to ``most`` wanted rows, a
+    few megabytes, go to the texts, which then stay where they are; else the texts move, compressed."""
+    if wanted.count() <= most:
+        return rows.select("row", F.col("text").alias("body")).join(F.broadcast(wanted), "row")
+    return packed(rows.select("row", "text")).join(wanted, "row")
 
 
 #: What becomes of a row. When runs meet: KEY meets others by route; FOUND repeats for sure; MARK says that an anchor is
