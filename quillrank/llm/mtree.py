@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,7 +26,7 @@ _SLACK = 1e-6
 
 
 class Tree:
-    """An M-tree over the rows of ``points`` (integers; equal norms after the added coordinate)."""
+    """An M-tree over the rows of ``vectors`` (integers; equal norms after the added coordinate); ids: (id, row) of each."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, top_norm: float | None = None, leaf: int = 64, fan: int = 16, seed: int = 3):
         self.vectors, self.ids = vectors, ids
@@ -74,14 +75,15 @@ class Tree:
         self.nodes.append((pivot, np.array(kids), np.array(radii), np.array(apart)))
         return len(self.nodes) - 1
 
-    def search(self, query: np.ndarray, k: int, but: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id) of a query by falling score, ties to the smaller id; id ``but`` takes no part."""
+    def search(self, query: np.ndarray, k: int, but: int | None = None) -> list[tuple[int, int, int]]:
+        """The k best (score, id, row) of a query by falling score, ties to the smaller id, then row; row ``but`` takes no
+        part."""
         if self.root is None:
             return []
         q = np.append(query.astype(np.float64), 0.0)
         whole = query.astype(np.int64)
         base = float(q @ q) + self.top
-        best: list[tuple[int, int]] = []  # a heap of (score, -id)
+        best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -row)
 
         def limit() -> float:
             # The distance of the k-th best so far.
@@ -101,13 +103,13 @@ class Tree:
                 scores = self.vectors[rows].astype(np.int64) @ whole
                 if len(best) == k:
                     rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if i == but:
+                for s, (i, u) in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                    if u == but:
                         continue
                     if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                        heapq.heappush(best, (s, -i, -u))
+                    elif (s, -i, -u) > best[0]:
+                        heapq.heapreplace(best, (s, -i, -u))
                 continue
             live = np.flatnonzero(np.abs(away - b) - a <= reach)  # from stored distances alone
             if len(live):
@@ -117,37 +119,53 @@ class Tree:
                 for bound, c, dist in zip(low.tolist(), kids[live].tolist(), d.tolist(), strict=True):
                     if bound <= reach:
                         heapq.heappush(queue, (bound, c, dist))
-        return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
+        return [(s, -i, -u) for s, i, u in sorted(best, reverse=True)]
 
 
-def _searched(shared, k: int, page: int):
+def _built(page: int):
+    """Trees over pages of at most ``page`` vectors of one length: (uid, vec_id, v) -> (length, tree)."""
+
     def make():
-        query_ids, queries = shared.value
-        held_ids, held = [], []
-
-        def run():
-            tree = Tree(np.array(held, np.int64), np.array(held_ids, np.int64))
-            held_ids.clear()
-            held.clear()
-            out: list[list] = [[], [], []]
-            for qid, q in zip(query_ids.tolist(), queries, strict=True):
-                for s, i in tree.search(q, k, qid):
-                    out[0].append(qid)
-                    out[1].append(i)
-                    out[2].append(s)
-            return out
-
-        def step(ids, vectors):
-            held_ids.extend(ids)
-            held.extend(vectors)
-            return run() if len(held) >= page else None
-
-        step.rest = lambda: run() if held else None
+        held: dict[int, tuple[list, list]] = {}
+
+        def trees(least: int):
+            full = [n for n, (ids, _) in held.items() if len(ids) >= least]
+            out: list[list] = [[], []]
+            for n in full:
+                rows, vectors = held.pop(n)
+                out[0].append(n)
+                out[1].append(pickle.dumps(Tree(np.array(vectors, np.int64), np.array(rows, np.int64).reshape(-1, 2))))
+            return out if full else None
+
+        def step(uids, ids, vectors):
+            for u, i, v in zip(uids, ids, vectors, strict=True):
+                rows, some = held.setdefault(len(v), ([], []))
+                rows.append((i, u))
+                some.append(v)
+            return trees(page)
+
+        step.rest = lambda: trees(1)
         return step
 
     return make
 
 
+def _searched(shared, k: int):
+    def step(lengths, trees):
+        out: list[list] = [[], [], [], [], []]
+        for n, body in zip(lengths, trees, strict=True):
+            if not shared.value.get(n):
+                continue
+            tree = pickle.loads(body)
+            for uid, qid, q in shared.value[n]:
+                for s, i, u in tree.search(q, k, uid):
+                    for c, x in zip(out, (uid, qid, i, s, u), strict=True):
+                        c.append(x)
+        return out if out[0] else None
+
+    return lambda: step
+
+
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as a double. Vectors that are null or hold a null or
     non-finite component, and those without a vec_id, take no part."""
@@ -156,28 +174,33 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).cast("array<long>").alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 4096, page: int = 16384) -> DataFrame:
-    """The k greatest inner products of each query, a row whose vec_id is divisible by ``every``, with all rows but
-    those of its own vec_id: query_id, rank, vec_id, score; ties to the smaller vec_id. Vectors have one length.
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 4096, page: int = 8192) -> DataFrame:
+    """The k greatest inner products of each query, a row whose vec_id is divisible by ``every``, with every other row:
+    query_id, rank, vec_id, score; ties to the smaller vec_id. Repeated rows of a vec_id are rows of their own: each is a
+    candidate, also for the others, and each asks if the vec_id does. A vector meets those of its own length; an empty one
+    takes no part.
 
-    Queries go to the tasks in blocks of ``block``, so what is broadcast has a bound; each block searches a tree
-    over each page of vectors. Of repeated rows of one vec_id the greatest vector in array order takes part.
+    The trees are built once and kept as a table of pages. Queries go to it in blocks of ``block``, so what is broadcast
+    has a bound.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, 4096)
-    rows = quantised(vectors).groupBy("vec_id").agg(F.max("v").alias("v"))
-    asked = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id")
-    found, after = None, None
+    rows = common.saved(quantised(vectors).where(F.size("v") > 0).withColumn("uid", F.monotonically_increasing_id()), "vectors").select("uid", "vec_id", "v")
+    pages = common.saved(common.map_batches(rows, _built(page), "length int, tree binary", rows=4096), "pages")
+    asked = rows.where(F.col("vec_id") % every == 0).orderBy("uid")
+    found, after = None, -1
     while True:
-        part = (asked if after is None else asked.where(F.col("vec_id") > after)).limit(block).collect()
+        part = asked.where(F.col("uid") > after).limit(block).collect()
         if part:
-            after = part[-1]["vec_id"]
-            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in part], np.int64), np.array([r["v"] for r in part], np.int64)))
-            some = common.map_batches(rows, _searched(shared, k, page), "query_id long, vec_id long, score long")
+            after = part[-1]["uid"]
+            by_length: dict[int, list] = {}
+            for r in part:
+                by_length.setdefault(len(r["v"]), []).append((r["uid"], r["vec_id"], np.array(r["v"], np.int64)))
+            some = common.map_batches(pages, _searched(spark.sparkContext.broadcast(by_length), k), "query long, query_id long, vec_id long, score long, uid long", rows=1)
+            some = common.saved(some, "found")
             found = some if found is None else found.unionByName(some)
         if len(part) < block:
             break
     if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = spark.createDataFrame([], "query long, query_id long, vec_id long, score long, uid long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
