@@ -87,21 +87,23 @@ def _pieces(file: str, end_id: int, cap: int):
     return make
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, max_documents: int | None = None, max_cost: int | None = None, score: str = "norm", shard_docs: int = 8192) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, max_documents: int | None = None, max_cost: int | None = None, score: str = "norm", shard: int = 8192) -> DataFrame:
     """Packs docs (doc_id, text; a null text is empty, an empty one has its end id alone) into sequences.
 
     Only documents of more than ``capacity`` ids are cut, or of so many that they alone cost more than ``max_cost``,
-    into pieces of the most ids that fit an empty sequence, of which the first may be shorter. Pieces are dealt by hash into shards of about ``shard_docs`` documents each, so that one long
-    document or a group of copies spreads; each shard is packed by itself, which costs at most about one open
-    sequence a shard. max_documents and max_cost default to what tokens allow anyway. Repeated rows are packed
-    once each. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    into pieces of the most ids that fit an empty sequence, of which the first may be shorter. Pieces are dealt by their
+    numbers into shards of about ``shard`` pieces, whatever their doc_ids; each shard is packed by itself, which costs at
+    most about one open sequence a shard. max_documents and max_cost default to what tokens allow anyway. Repeated rows
+    are packed once each; other columns of docs take no part. Returns doc_id, piece, start, length, ids_crc32,
+    sequence_id, offset.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(1, -(-rows.count() // shard_docs))
     longest = min(capacity, math.isqrt(max_cost or capacity * capacity))
     pieces = common.map_batches(rows, _pieces(tokens.read_file(tokenizer), end_id, longest), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
+    # A written table, so that a piece keeps its number whatever is computed again.
+    pieces = common.saved(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    shards = max(1, -(-pieces.count() // shard))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)).cast("long")).drop("number")
     return dealt.groupBy("shard").applyInPandas(
         partial(_pack, cap=capacity, docs_cap=max_documents or capacity, cost_cap=max_cost or capacity * capacity, score=score),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",

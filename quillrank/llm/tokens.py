@@ -118,7 +118,7 @@ class Encoder:
     """ids(text): what encode(text, add_special_tokens=False).ids of the library gives, as little-endian
     unsigned 32-bit integers in bytes."""
 
-    def __init__(self, file: str, units: int = 400_000, pieces: int = 400_000):
+    def __init__(self, file: str, units: int = 150_000, pieces: int = 100_000):
         self.cut = Pieces(file)
         self.model = self.cut.tokenizer.model
         self.pieces = Remembered(self._piece, pieces)
