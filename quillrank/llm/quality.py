@@ -13,7 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -83,9 +83,9 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     return vectors @ (out[1] - out[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int = 20_000, held_out: bool = True, per_class: bool = False) -> tuple[list[str], list[int]]:
-    """A bounded training sample: at most ``rows`` labelled documents of at most ``longest`` characters, those with
-    the lowest hash of doc_id (of each class, if per_class). Null labels, and documents whose labels differ, give
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int = 40_000_000, held_out: bool = True, per_class: bool = False) -> tuple[list[str], list[int]]:
+    """A bounded training sample: of the labelled documents in order of a hash of doc_id (of each class, if per_class) the
+    first ``rows``, of ``chars`` characters together at most. Null labels, and documents whose labels differ, give
     none; rows whose crc32(doc_id as text) mod 5 is 0 are left out with held_out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
@@ -99,11 +99,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: i
     for c in classes:
         some = own.where(c).orderBy(key, "doc_id").limit(2 * rows // len(classes))
         chosen = some if chosen is None else chosen.unionByName(some)
-    got = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
+    got = texts.join(F.broadcast(chosen), "doc_id").where("text is not null")
     got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     parts = []
     for c in classes:
-        parts += got.where(c).orderBy(key, "doc_id").limit(rows // len(classes)).select("text", "label").collect()
+        some = got.where(c).orderBy(key, "doc_id").limit(rows // len(classes)).withColumn("key", key)
+        sized = some.withColumn("so_far", F.sum(F.length("text")).over(Window.orderBy("key", "doc_id")))  # at most ``rows`` rows
+        parts += sized.where(F.col("so_far") <= chars // len(classes)).select("text", "label").collect()
     unlike: dict[str, int] = {}  # copies count once, with the label of the first
     for r in parts:
         unlike.setdefault(r["text"], int(r["label"] == 1))
@@ -134,7 +136,7 @@ def scored(docs: DataFrame, weights: np.ndarray, cut: float = 0.3) -> DataFrame:
     return common.with_columns(docs, ["doc_id", "text"], make, "held_out boolean, score double, predicted int")
 
 
-def scorer(weights: np.ndarray, remembered: int = 400_000):
+def scorer(weights: np.ndarray, remembered: int = 150_000):
     w, buckets = weights.tolist(), len(weights)
 
     def of_word(word: str) -> float:

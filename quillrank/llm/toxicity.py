@@ -2,8 +2,9 @@
 
 Categories are predicted one after the other, and each later model also gets the probabilities of the earlier
 ones. In training these are out-of-fold predictions, so that a later model sees what it will see on new texts.
-The first two categories are marked by word lists on the training sample, the last is the label itself. A model
-is a logistic regression on the presence of words and of their first letters, whatever the length of the text.
+The labels name no categories but the last; the two before it are learned: toxic training texts fall into two kinds by
+the words that tell them from clean ones. A model is a logistic regression on the presence of words and of their first
+letters, whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -19,10 +20,7 @@ from . import common
 from .quality import sample
 from .tokens import Remembered
 
-CATEGORIES = ("insult", "contempt", "toxic")
-#: Word lists that mark the first two categories in training; what the chain learns is not limited to them.
-INSULTS = {"clown", "fool", "idiot", "imbecile", "loser", "moron", "scum", "trash"}
-CONTEMPT = {"contemptible", "despicable", "disgusting", "pathetic", "stupid", "vile", "worthless"}
+CATEGORIES = ("kind_1", "kind_2", "toxic")
 BUCKETS = 1 << 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -70,6 +68,39 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def kinds(x: tuple, y: np.ndarray, words: int = 300, rounds: int = 20) -> np.ndarray:
+    """0 or 1 for each toxic text, -1 for others: two means on the unit vectors of the features that are most typical of
+    toxic texts, started from the two texts that are least alike."""
+    owner, feature, n_features = x
+    out = np.full(len(y), -1)
+    rows = np.flatnonzero(y)
+    toxic = y[owner]
+    inside, outside = np.bincount(feature[toxic], minlength=n_features), np.bincount(feature[~toxic], minlength=n_features)
+    odds = np.log((inside + 0.5) / (len(rows) + 1)) - np.log((outside + 0.5) / (len(y) - len(rows) + 1))
+    odds[inside < 2] = 0
+    top = np.argsort(-odds, kind="stable")[:words]
+    column = np.full(n_features, -1)
+    column[top] = np.arange(len(top))
+    place = np.full(len(y), -1)
+    place[rows] = np.arange(len(rows))
+    m = np.zeros((len(rows), len(top)))
+    some = toxic & (column[feature] >= 0)
+    m[place[owner[some]], column[feature[some]]] = np.maximum(odds[feature[some]], 0)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    if not len(rows):
+        return out
+    first = int(m.sum(axis=1).argmax())
+    centres = np.stack([m[first], m[int((m @ m[first]).argmin())]])
+    own = np.zeros(len(rows), np.int64)
+    for _ in range(rounds):
+        own = (m @ centres.T).argmax(axis=1)
+        for c in range(2):
+            if (own == c).any():
+                centres[c] = m[own == c].mean(axis=0)
+    out[rows] = own
+    return out
+
+
 def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """-> word weights (bucket, category), biases, chain weights (category, earlier category)."""
     units = [set(t.split()) for t in texts]
@@ -79,9 +110,9 @@ def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarr
     often = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= min(5, len(texts))
     used, feature = np.unique(pairs[often[pairs % BUCKETS]] % BUCKETS, return_inverse=True)
     x = (pairs[often[pairs % BUCKETS]] // BUCKETS, feature, len(used))
-    letters = [{w for u in us for w in _LETTERS.findall(u.lower())} for us in units]
-    targets = [np.array([bool(ws & INSULTS) for ws in letters]), np.array([bool(ws & CONTEMPT) for ws in letters]), np.array(labels, bool)]
-    n, k = len(texts), len(CATEGORIES)
+    n, k, toxic = len(texts), len(CATEGORIES), np.array(labels, bool)
+    kind = kinds(x, toxic)
+    targets = [kind == 0, kind == 1, toxic]
     weights, bias, chain = np.zeros((BUCKETS, k)), np.full(k, -5.0), np.zeros((k, k))
     if not n:
         return weights, bias, chain
@@ -105,14 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple:
 
 
 def score(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
-    """docs (doc_id, text; a null text is empty and gets the bias alone) -> doc_id, p_insult, p_contempt, score,
+    """docs (doc_id, text; a null text is empty and gets the bias alone) -> doc_id, p_kind_1, p_kind_2, score,
     predicted. Whole texts are read; repeated rows are scored once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return scored(rows, model, cut).drop("text")
 
 
 def scored(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
-    """docs, which has no columns of these names, with p_insult, p_contempt, score and predicted."""
+    """docs, which has no columns of these names, with p_kind_1, p_kind_2, score and predicted."""
     weights, bias, chain = model
     used = np.flatnonzero(np.abs(weights).max(axis=1) > 0)
     shared = docs.sparkSession.sparkContext.broadcast((used, weights[used], bias, chain))  # at most BUCKETS rows
@@ -126,10 +157,10 @@ def scored(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
 
         return step
 
-    return common.with_columns(docs, ["text"], make, "p_insult double, p_contempt double, score double, predicted int")
+    return common.with_columns(docs, ["text"], make, "p_kind_1 double, p_kind_2 double, score double, predicted int")
 
 
-def scorer(used: np.ndarray, values: np.ndarray, bias: np.ndarray, chain: np.ndarray, remembered: int = 400_000):
+def scorer(used: np.ndarray, values: np.ndarray, bias: np.ndarray, chain: np.ndarray, remembered: int = 150_000):
     at = {f: i for i, f in enumerate(used.tolist())}
 
     def weighted(unit: str) -> tuple[int, ...]:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillrank.llm import bpe, digest, idfile, jaccard, mtree, packing, spans, substring, suffix, tokens
 
@@ -253,7 +254,7 @@ def test_lexicon_shares_suffixes():
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_packing(spark, score):
     rows = corpus(6)
-    out = packing.pack_documents(table(spark, rows), path(BYTE), 2, capacity=100, max_documents=5, score=score, shard_docs=1000).toPandas()
+    out = packing.pack_documents(table(spark, rows), path(BYTE), 2, capacity=100, max_documents=5, score=score, shard=1000).toPandas()
     tok = tokens.Pieces(tokens.read_file(path(BYTE))).tokenizer
     for d, t in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -265,6 +266,19 @@ def test_packing(spark, score):
     assert (s.offset == g.length.cumsum() - s.length).all() and g.length.sum().max() <= 100 and g.size().max() <= 5
 
 
+def test_packing_of_odd_rows(spark):
+    """Null and repeated doc_ids are packed once each, and spread over shards."""
+    rows = [(None, "a b c")] * 40 + [(7, "d e")] * 40 + [(None, None)]
+    out = packing.pack_documents(table(spark, rows), path(BYTE), 2, capacity=10, shard=16).toPandas()
+    assert len(out) == 81 and len(set(out.sequence_id // (1 << 32))) == 6
+    assert out.groupby("sequence_id").length.sum().max() <= 10
+
+
+def test_full_pieces_keep_the_cost(spark):
+    out = packing.pack_documents(table(spark, [(1, "a b c d e f g h i j k l m n o p" * 9)]), path(BYTE), 2, capacity=64, max_cost=400).toPandas()
+    assert (out.length * out.length).groupby(out.sequence_id).sum().max() <= 400
+
+
 def test_packing_is_tight():
     lengths = np.sort(np.random.default_rng(1).integers(1, 1000, 3000))[::-1]
     bins, _ = packing.place(lengths, 1024, 1024, 1024 * 1024)
@@ -297,8 +311,13 @@ def test_mtree(spark):
         best = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got(mtree.top_k(df, block=3, page=200), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    # Repeated rows, unlike lengths, empty vectors, null ids.
+    odd = [(1, [0.5, 0.5]), (1, [0.8, 0.2]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (2, [1.0]), (3, []), (None, [1.0, 1.0]), (200, [2.0])]
+    out = mtree.top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")))
+    asked = [(100, 1, 100, 1 << 20), (100, 2, 1, 819 * 1024), (100, 3, 1, 512 * 1024)]
+    assert got(out, "query_id", "rank", "vec_id", "score") == sorted(asked * 2 + [(200, 1, 2, 2 << 20)], key=repr)
     clusters = np.repeat(rnd.normal(size=(20, 8)) * 500, 100, axis=0) + rnd.normal(size=(2000, 8))
-    tree = mtree.Tree(clusters.astype(int), np.arange(2000))
+    tree = mtree.Tree(clusters.astype(int), np.column_stack([np.arange(2000)] * 2))
     tree.search(tree.vectors[0], 5)
     assert tree.computed < 2000
 
