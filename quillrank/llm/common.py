@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -132,6 +133,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
+def release() -> None:
+    """Gives freed memory back: Spark keeps a task's Python worker for the next one, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = 2000) -> DataFrame:
     """Maps Arrow batches of at most ``rows``. make() runs once in a task and returns the function that gets one list for
     each column of df and returns one list or array for each column of schema, or None for no rows. If that
@@ -147,6 +157,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
         if (rest := getattr(step, "rest", None)) and (out := rest()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+        del step, rest
+        out = b = None
+        release()
 
     return df.mapInArrow(run, kind)
 
@@ -166,6 +179,9 @@ def with_columns(df: DataFrame, on: list[str], make: Callable[[], Callable], sch
         for b in sliced(batches, 1000):
             out = step(*[b.column(i).to_pylist() for i in at])
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, arrow)), *(pa.array(x, type=f.type) for x, f in zip(out, more, strict=True))], schema=arrow)
+        del step
+        out = b = None
+        release()
 
     return df.mapInArrow(run, kind)
 
