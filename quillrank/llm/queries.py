@@ -60,4 +60,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op3_jaccard, op4_digest, op5_suffix, op6_mtree, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: SQL for what SQL can express on unique doc_ids; ids of tokenizers, digests, bytes within characters and models are beyond it.
+ORACLES: dict[str, str] = {
+    "op1_substring": f"""WITH w AS MATERIALIZED (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS i, len(s) AS n FROM (SELECT doc_id, {_WORDS.format("text")} AS s FROM documents)),
+ win AS MATERIALIZED (SELECT *, CASE WHEN i + 19 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS win FROM w),
+ dup AS MATERIALIZED (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM win),
+ cov AS MATERIALIZED (SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM dup),
+ got AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM cov GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN got USING (doc_id)""",
+    "op3_jaccard": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS s FROM documents),
+ each AS MATERIALIZED (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS i, len(s) AS n FROM w),
+ grams AS MATERIALIZED (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g FROM each),
+ sets AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM grams WHERE i + 3 <= n OR (n < 4 AND i = 1)),
+ sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+ common AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+ ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
+ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
+    "op6_mtree": """WITH v AS MATERIALIZED (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}

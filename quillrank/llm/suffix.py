@@ -124,7 +124,7 @@ def repeated_strings(rows: DataFrame, length: int, gram: int, hot: int = 256) ->
     return found.groupBy("doc").agg(F.collect_list("pos").alias("first"), F.collect_list("m").alias("count"))
 
 
-def _kept(length: int, gram: int):
+def _kept(length: int, gram: int, as_text: bool):
     def make():
         text_of, in_bytes = spans.unpacker(), spans.by_bytes(gram)()
 
@@ -138,7 +138,7 @@ def _kept(length: int, gram: int):
                 removed.append(int(gone.sum()))
                 pieces.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(gone) else 0)
                 digest.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept)
+                kept_texts.append(kept.decode("utf-8", "ignore") if as_text else kept)
             return n, removed, pieces, kept_texts, digest
 
         return step
@@ -146,16 +146,12 @@ def _kept(length: int, gram: int):
     return make
 
 
-def readable():
-    """For common.with_columns: bytes -> text, without what cuts have left of characters."""
-    return lambda bodies: ([b.decode("utf-8", "ignore") for b in bodies],)
-
-
-def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50, carry: tuple[str, ...] = (), hot: int = 256) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50, carry: tuple[str, ...] = (), hot: int = 256, as_text: bool = False) -> DataFrame:
     """Removes each byte that a string of ``length`` bytes covers which also starts anywhere else, in the same document
     or another; matches never cross documents. docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept
-    (bytes; a cut may fall within a character), kept_sha256 and the columns named in ``carry``, which may have any other
-    name; those of the result are an error there.
+    (bytes; a cut may fall within a character; with as_text a string, without what cuts have left of characters),
+    kept_sha256 (of the bytes) and the columns named in ``carry``, which may have any other name; those of the result are
+    an error there.
 
     A null text is empty; a text of fewer than ``length`` bytes stays. Repeated rows are documents of their own
     and so repeat each other.
@@ -168,5 +164,5 @@ def dedup_bytes(docs: DataFrame, length: int = 200, gram: int = 50, carry: tuple
     rows = spans.numbered(docs.select("doc_id", "text", *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]), tuple(f"carried_{i}" for i in range(len(carry))))
     found = repeated_strings(rows, length, gram, hot).toDF("row", "first_of", "count_of")
     texts = spans.packed(rows).join(found, "row", "left")
-    out = common.with_columns(texts, ["body", "first_of", "count_of"], _kept(length, gram), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = common.with_columns(texts, ["body", "first_of", "count_of"], _kept(length, gram, as_text), f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string")
     return out.select("doc_id", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")

@@ -79,6 +79,20 @@ def bytes_removed(rows, k):
     return sorted(out, key=repr)
 
 
+def bytes_removed_of(rows, k):
+    """(doc_id, what stays)."""
+    count = collections.Counter(b[i : i + k] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - k + 1))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - k + 1):
+            if count[b[i : i + k]] > 1:
+                gone[i : i + k] = b"\1" * k
+        out.append((d, bytes(x for x, y in zip(b, gone) if not y)))
+    return out
+
+
 @pytest.mark.parametrize("hot", [256, 1])
 def test_substring(spark, hot):
     rows = corpus(1)

@@ -3,7 +3,9 @@
 import os
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillrank.llm import queries, quality, toxicity
@@ -40,6 +42,104 @@ def test_edge_cases(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), odd)).count() == 0
 
 
+def brute_force(spark, D):
+    """What run() has to give, stage by stage: the models are the operators' own, all else is computed anew."""
+    from test_exact import bytes_removed_of, groups
+
+    from quillrank.llm import tokens
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    frame = lambda: spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    w, b, c = toxicity.fit(frame(), labels)
+    for i, t in list(docs.items()):  # the chain, one text at a time
+        present = sorted({f for u in t.split() for f in toxicity.features(u)})
+        z, p = w[present].sum(axis=0) + b, []
+        for k in range(len(b)):
+            p.append(1 / (1 + np.exp(-np.clip(z[k] + sum(c[k, j] * p[j] for j in range(k)), -30, 30))))
+        if p[-1] >= 0.6:
+            del docs[i]
+    log_odds = quality.fit(frame(), labels)
+    for i, t in list(docs.items()):  # the mean over words and marks
+        each = [np.mean(log_odds[quality.features(x, len(log_odds))]) for x in quality.words_of(t)]
+        if 1 / (1 + np.exp(-np.mean(each))) < 0.3:
+            del docs[i]
+    seen = {}
+    for i, size, group in sorted(groups(list(docs.items()), 5, 80)):
+        if size and seen.setdefault(group, i) != i:
+            del docs[i]
+    texts = bytes_removed_of(list(docs.items()), 200)
+    encode = tokens.Pieces(tokens.read_file(queries.vocabulary("byte_bpe_50k.json"))).tokenizer
+    return {i: [*encode.encode(t.decode("utf-8", "ignore"), add_special_tokens=False).ids, 2] for i, t in texts}
+
+
+@needs
+def test_run_of_the_pipeline(spark, tmp_path):
+    """All rows of run() on the smallest tables."""
+    small = D.replace("0.01", "0.001")
+    out, want = {}, brute_force(spark, small)
+    for r in corpus_pipeline.run(spark, small).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    assert out.keys() == want.keys()
+    for i, ids in want.items():
+        for k, r in enumerate(sorted(out[i], key=lambda r: r["piece"])):
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+            assert (r["piece"], r["ids_crc32"], len(part)) == (k, zlib.crc32(part), 4 * r["length"])
+        assert sum(r["length"] for r in out[i]) == len(ids)
+
+
+@needs
+def test_scores_from_weights(spark):
+    """op8 and op9 against one text at a time, from the weights."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    log_odds = quality.fit(docs, labels)
+    for r in quality.score(docs, log_odds).collect():
+        z = np.mean([np.mean(log_odds[quality.features(x, len(log_odds))]) for x in quality.words_of(texts[r["doc_id"]])])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+    w, b, c = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, (w, b, c)).collect():
+        z, p = w[sorted({f for u in texts[r["doc_id"]].split() for f in toxicity.features(u)})].sum(axis=0) + b, []
+        for k in range(3):
+            p.append(1 / (1 + np.exp(-np.clip(z[k] + sum(c[k, j] * p[j] for j in range(k)), -30, 30))))
+        assert np.allclose([r["p_kind_1"], r["p_kind_2"], r["score"]], p) and r["predicted"] == int(r["score"] >= 0.6)
+
+
+@needs
+def test_held_out_figures(spark):
+    """Recall and precision on held-out rows whose texts no training row has."""
+    big = D.replace("0.01", "0.1")
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{big}/documents.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = {texts[i] for i in labels if not held(i)}
+    fresh = [i for i in labels if held(i) and texts[i] not in known]
+    for run, mark, least in ((queries.op8_quality, "quality", 0.95), (queries.op9_toxicity, "toxic", 0.8)):
+        got = {r["doc_id"]: r["predicted"] for r in run(spark, big).collect()}
+        hit = sum(got[i] == labels[i][mark] == 1 for i in fresh)
+        recall, precision = hit / sum(labels[i][mark] == 1 for i in fresh), hit / max(sum(got[i] == 1 for i in fresh), 1)
+        print(mark, len(fresh), round(recall, 3), round(precision, 3))
+        assert recall >= least and precision >= 0.9
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and empty tables through every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    good = "the quick brown fox jumps over the lazy dog and runs away from all of them"
+    rows = [(1, good, "en", None, 70), (1, good, "en", "x", 70), (None, good, None, None, None), (2, None, None, None, None), (3, "", None, None, 0), (4, "w " * 5000, "en", "x", 10000)]
+    for name, some in (("odd", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(some, kind).withColumn("extra", F.lit("e")).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        docs = spark.read.parquet(str(d / "documents.parquet"))
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(d)).collect()
+            assert len(out) <= len(some) + 20 and (some or not out)
+            if i == 2 and some:
+                assert sorted((r["doc_id"], r["text"]) for r in out if r["text"] == good) in ([(1, good)], []) or sum(r["text"] == good for r in out) == 1
+
+
 @needs
 def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
