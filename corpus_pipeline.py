@@ -40,11 +40,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 200-byte strings that occur elsewhere too go, and with them what a cut leaves of a character. A text
-    of which nothing is left is empty."""
-    kept = suffix.dedup_bytes(docs.select(COLUMNS), carry=("lang", "source", "n_chars"))
-    whole = common.with_columns(kept.select("doc_id", "kept", "lang", "source", "n_chars", "n_removed"), ["kept"], suffix.readable, "text string")
-    return whole.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    """Bytes of 200-byte strings that occur elsewhere too go, at every place, the first included (op5's rule), and with
+    them what a cut leaves of a character. A text of which nothing is left is empty."""
+    kept = suffix.dedup_bytes(docs.select(COLUMNS), carry=("lang", "source", "n_chars"), as_text=True)
+    return kept.withColumnRenamed("kept", "text").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models and tokenizers are beyond SQL; tests/llm compares run() with a brute-force version.
+#: Trained models and tokenizers are beyond SQL; tests/llm compares the rows of run() with a brute-force version.
 ORACLE_SQL = None
 
 
