@@ -1,8 +1,8 @@
 """Citations in text as Column functions: finding, parsing, normalising.
 
 There are three families: SR (a collection number, with or without an article), BGE (volume, part, page, with or
-without a consideration) and Art (article, paragraphs, law). Dialects differ in the Art family alone. All patterns
-use constructs that Java, Python and RE2 read alike.
+without a consideration) and Art (article, paragraphs, law). Dialects differ in the Art family and in case; "wide" is this
+library's own, which also takes longer collection numbers and articles without a blank.
 """
 
 from __future__ import annotations
@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The grammar of each family. {i} is the flag for ignoring case.
-SR = r"SR\s*\d{3}(?:\.\d+)*(?:\s+Art\.?\s*\d+[a-z]?)?"
+#: The grammar of each family and dialect.
+SR = r"SR\s*\d{3}(?:\.\d+)?(?:\s+Art\.?\s*\d+[a-z]?)?"
 BGE = r"BGE\s+\d{1,3}\s+[IVX]+[a-z]?\s+\d+(?:\s+E\.\s*\d+[a-z]?)?"
 ART = {
-    "loose": r"Art\.?\s*\d+[a-z]?(?:\s+Abs\.?\s*\d+)*\s+[A-Za-zÄÖÜäöü][\p{L}\p{N}_]*",
-    "strict": r"Art\.?\s*\d+[a-z]?(?:\s+Abs\.?\s*\d+)?\s+[A-Za-zÄÖÜäöü]{2,}",
-    "ranker": r"Art\.?\s*\d+[a-z]?(?:\s+Abs\.?\s*\d+)*\s+[A-ZÄÖÜ][\p{L}\p{N}_]*",
-    "classifier": r"Art\.?\s*\d+[a-z]?(?:\s+Abs\.?\s*\d+)?\s+[A-ZÄÖÜ]{2,}",
+    "loose": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)*(?:[A-Z][a-zA-ZäöüÄÖÜß0-9]*)",
+    "strict": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)?[A-Z]{2,}",
+    "ranker": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)*(?:[A-Z][a-zA-ZäöüÄÖÜß0-9]*)",
+    "classifier": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)?[A-Z]{2,}",
 }
-#: Dialects that ignore case.
-ANY_CASE = {"loose", "strict"}
+#: Dialects that ignore case, and the one whose matches begin and end at word boundaries.
+ANY_CASE = {"loose", "strict", "wide"}
+BOUNDED = {"classifier"}
+#: This library's own dialect.
+WIDE = {"sr": r"SR\s*\d{3}(?:\.\d+)*(?:\s+Art\.?\s*\d+[a-z]?)?", "art": r"Art\.?\s*\d+[a-z]?(?:\s+Abs\.?\s*\d+)*\s+[A-Za-zÄÖÜäöü][\p{L}\p{N}_]*"}
 FAMILIES = ("art", "sr", "bge")
 
 
 def pattern(family: str, dialect: str = "loose") -> str:
-    body = {"sr": SR, "bge": BGE}.get(family) or ART[dialect]
+    own = {"sr": SR, "bge": BGE} | ({"art": ART[dialect]} if dialect != "wide" else WIDE)
+    body = rf"\b(?:{own[family]})\b" if dialect in BOUNDED else own[family]
     return f"(?i){body}" if dialect in ANY_CASE else body
 
 
@@ -72,36 +76,33 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
 
 
-#: The parts of a citation, each with one group.
-_PARTS = {
-    "art": r"(?i)Art\.?\s*(\d+[a-z]?)",
-    "abs": r"(?i)Abs\.?\s*(\d+)",
-    "lit": r"(?i)lit\.?\s*([a-z])(?:\s|$)",
-    "ziff": r"(?i)Ziff\.?\s*(\d+)",
-}
-_LAW_END = r"\s([A-ZÄÖÜ][\p{L}]+|[0-9]+(?:\.[0-9]+)*)\s*$"
-_SR_FIRST = r"^\s*(?:SR\s*)?(\d{3}(?:\.\d+)*)(?:\s+Art\b|\s*$|\s+Art\.)"
-_CASE = r"^\s*(BGE\s+\d{1,3}\s+[IVX]+[a-z]?\s+\d+(?:\s+E\.\s*\d+[a-z]?(?:\.\d+)*)?|\d[A-Z]_\d+/\d{4}(?:\s+E\.?\s*\d+(?:\.\d+)*)?)"
+#: Article first, number first, decisions by volume, decisions by docket; the groups of the first are article,
+#: paragraph, letter, number, law, those of the second law, article, paragraph, letter, number.
+ARTICLE_FIRST = r"(?i)Art\.?\s*(\d+[a-zA-Z]?)(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?\s*([A-Z]{2,}|\d{3}(?:\.\d+)?)"
+NUMBER_FIRST = r"(?i)SR\s*(\d{3}(?:\.\d+)?)(?:\s+Art\.?\s*(\d+[a-zA-Z]?))?(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?"
+DECISION = r"(?i)^BGE\s*\d+\s*[I]{1,3}\s*\d+(?:\s*E\.?\s*\d+(?:\.\d+)*)?"
+DOCKET = r"(?i)^\b\d+[A-Z]_?\d+/\d+\s+E\.?\s*\d+(?:\.\d+)*\b"
 
 
 def parse(citation: Column) -> Column:
-    """struct(kind, art, abs, lit, ziff, law, raw): kind "law" or "case"; null if it is neither."""
-    c = collapse(citation)
-    part = {k: F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for k, p in _PARTS.items()}
-    case = F.nullif(F.regexp_extract(c, _CASE, 1), F.lit(""))
-    number = F.nullif(F.regexp_extract(c, _SR_FIRST, 1), F.lit(""))
-    named = F.nullif(F.regexp_extract(c, _LAW_END, 1), F.lit(""))
-    law = F.coalesce(number, named)
-    none = F.lit(None).cast("string")
-    as_case = F.struct(F.lit("case").alias("kind"), *[none.alias(k) for k in ("art", "abs", "lit", "ziff", "law")], c.alias("raw"))
-    as_law = F.struct(F.lit("law").alias("kind"), *[part[k].alias(k) for k in ("art", "abs", "lit", "ziff")], law.alias("law"), c.alias("raw"))
-    return F.when(case.isNotNull(), as_case).when(law.isNotNull() & (part["art"].isNotNull() | number.isNotNull()), as_law)
+    """struct(kind, art, abs, lit, ziff, law, raw): kind "law", "bge" or "docket", tried in this order, an article before a
+    number; null if it is none."""
+    c = F.regexp_replace(citation, r"^\s+|\s+$", "")
+    names = ("art", "abs", "lit", "ziff", "law")
+
+    def law(rx: str, groups: tuple[int, ...]) -> Column:
+        return F.struct(F.lit("law").alias("kind"), *[F.nullif(F.regexp_extract(c, rx, g), F.lit("")).alias(n) for n, g in zip(names, groups, strict=True)], c.alias("raw"))
+
+    def case(kind: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[F.lit(None).cast("string").alias(n) for n in names], c.alias("raw"))
+
+    return F.when(c.rlike(ARTICLE_FIRST), law(ARTICLE_FIRST, (1, 2, 3, 4, 5))).when(c.rlike(NUMBER_FIRST), law(NUMBER_FIRST, (2, 3, 4, 5, 1))).when(c.rlike(DECISION), case("bge")).when(c.rlike(DOCKET), case("docket"))
 
 
 def normal(parsed: Column) -> Column:
     """Art. a Abs. b lit. c Ziff. d LAW, without the parts that are absent; a case as it stands."""
     parts = [F.when(parsed[k].isNotNull(), F.concat(F.lit(label), parsed[k])) for k, label in (("art", "Art. "), ("abs", "Abs. "), ("lit", "lit. "), ("ziff", "Ziff. "))]
-    return F.when(parsed["kind"] == "case", parsed["raw"]).when(parsed.isNotNull(), F.concat_ws(" ", *parts, parsed["law"]))
+    return F.when(parsed["kind"] != "law", parsed["raw"]).when(parsed.isNotNull(), F.concat_ws(" ", *parts, parsed["law"]))
 
 
 def granularity(parsed: Column) -> Column:

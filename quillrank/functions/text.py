@@ -254,3 +254,103 @@ def split_context(query: Column) -> tuple[Column, Column]:
 def document_text(citation: Column, title: Column, text: Column) -> Column:
     one = lambda c: F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", " ")
     return F.format_string("# %s\n## %s\n%s", one(citation), one(title), one(text))
+
+
+def listed(text: Column, separator: str = ";") -> Column:
+    """The items of a list in one string, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def context(text: Column, citation: Column, width: int = 2) -> Column:
+    """The sentences around the first one that holds the citation, or the citation with blanks for underscores; the whole text
+    without any."""
+
+    def around_it(x: Column) -> Column:
+        spaced = F.replace(x["c"], F.lit("_"), F.lit(" "))
+        at = F.coalesce(first_with(x["s"], x["c"]), first_with(x["s"], spaced))
+        return F.coalesce(around(x["s"], at, width), x["t"])
+
+    return let(F.struct(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), SENTENCE_END).alias("s"), citation.alias("c"), text.alias("t")), around_it)
+
+
+def in_parentheses(text: Column, citation: Column, head: int = 6, most: int = 200) -> Column:
+    """Whether parentheses of at most ``most`` characters hold the first letters of the citation."""
+    inside = F.regexp_extract_all(text, F.lit(rf"\(([^)]{{0,{most}}})\)"), F.lit(1))
+    return F.exists(inside, lambda x: F.contains(F.lower(x), F.lower(F.substring(citation, 1, head))))
+
+
+#: Words by which a query's intent and field are told.
+INTENTS = {
+    "q_is_procedural": ["verfahren", "zuständigkeit", "frist", "rechtsmittel", "beschwerde", "klage", "antrag"],
+    "q_is_substantive": ["haftung", "schadenersatz", "vertrag", "eigentum", "strafe", "verjährung", "anspruch"],
+    "q_is_interpretive": ["auslegung", "analog", "sinn", "zweck", "ratio", "bedeutung", "begrif"],
+    "q_domain_criminal": ["straf", "delikt", "täter", "opfer", "schuld"],
+    "q_domain_civil": ["vertrag", "schuld", "eigentum", "miete", "kauf"],
+    "q_domain_admin": ["verwaltung", "behörde", "bewilligung", "verfügung"],
+}
+
+
+def query_intents(q: Column) -> dict[str, Column]:
+    return {k: (keyword_count(q, words) > 0).cast("int") for k, words in INTENTS.items()}
+
+
+def german_stem(word: str) -> str:
+    """The stem of a lower-case German word by the published Snowball rules."""
+    vowels = "aeiouyäöü"
+    w = word.replace("ß", "ss")
+    w = "".join(c.upper() if c in "uy" and 0 < i < len(w) - 1 and w[i - 1] in vowels and w[i + 1] in vowels else c for i, c in enumerate(w))
+
+    def region(start: int) -> int:
+        i = start
+        while i < len(w) and w[i] not in vowels:
+            i += 1
+        while i < len(w) and w[i] in vowels:
+            i += 1
+        return min(i + 1, len(w))
+
+    r1 = region(0)
+    r2 = region(r1)
+    r1 = max(r1, min(3, len(w)))
+
+    def ending(*suffixes: str) -> str:
+        return max((x for x in suffixes if w.endswith(x)), key=len, default="")
+
+    end = ending("em", "ern", "er", "e", "en", "es", "s")
+    if end and len(w) - len(end) >= r1 and (end != "s" or w[-2:-1] in tuple("bdfghklmnrt")):
+        w = w[: -len(end)]
+        if end in ("e", "en", "es") and w.endswith("niss"):
+            w = w[:-1]
+    end = ending("en", "er", "est", "st")
+    if end and len(w) - len(end) >= r1 and (end != "st" or (w[-3:-2] in tuple("bdfghklmnt") and len(w) >= 6)):
+        w = w[: -len(end)]
+    end = ending("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit")
+    if end and len(w) - len(end) >= r2:
+        if end in ("end", "ung"):
+            w = w[: -len(end)]
+            if w.endswith("ig") and not w.endswith("eig") and len(w) - 2 >= r2:
+                w = w[:-2]
+        elif end in ("ig", "ik", "isch"):
+            if w[-len(end) - 1 : -len(end)] != "e":
+                w = w[: -len(end)]
+        elif end in ("lich", "heit"):
+            w = w[: -len(end)]
+            if w.endswith(("er", "en")) and len(w) - 2 >= r1:
+                w = w[:-2]
+        else:
+            w = w[: -len(end)]
+            more = next((x for x in ("lich", "ig") if w.endswith(x)), "")
+            if more and len(w) - len(more) >= r2:
+                w = w[: -len(more)]
+    return w.lower().replace("ä", "a").replace("ö", "o").replace("ü", "u")
+
+
+def stemmed(toks: Column) -> Column:
+    """German stems of an array of lower-case words, in Arrow batches; a batch stems each word once."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def stems(lists: pd.Series) -> pd.Series:
+        known = {w: german_stem(w) for words in lists if words is not None for w in words}
+        return pd.Series([None if words is None else [known[w] for w in words] for words in lists])
+
+    return stems(toks)

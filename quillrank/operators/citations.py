@@ -146,7 +146,7 @@ def dedup(rows: DataFrame, citation: str = "citation", by: tuple[str, ...] = ("q
     then each article keeps its finest forms alone. The key is (law, article, ...); with compat the law isn't in
     it, as in the original system. What can't be parsed goes."""
     p = rows.withColumn("p", C.parse(F.col(citation))).where("p is not null").select(*by, "p", C.normal(F.col("p")).alias("norm"), C.granularity(F.col("p")).alias("gran")).distinct()
-    cases = p.where("p.kind = 'case'").select(*by, F.col("norm").alias("citation"))
+    cases = p.where("p.kind != 'law'").select(*by, F.col("norm").alias("citation"))
     law = F.lit("") if compat else F.col("p.law")
     laws = p.where("p.kind = 'law'").select(*by, "norm", "gran", law.alias("law"), F.coalesce("p.art", F.lit("")).alias("art"), F.coalesce("p.abs", F.lit("")).alias("abs"), F.coalesce("p.lit", F.lit("")).alias("lit"), F.coalesce("p.ziff", F.lit("")).alias("ziff"), C.is_sr(F.coalesce("p.law", F.lit(""))).cast("int").alias("sr"))
     one = Window.partitionBy(*by, "law", "art", "abs", "lit", "ziff").orderBy(F.desc("sr"), F.desc("gran"), "norm")
@@ -155,11 +155,18 @@ def dedup(rows: DataFrame, citation: str = "citation", by: tuple[str, ...] = ("q
     return finest.select(*by, F.col("norm").alias("citation")).unionByName(cases).distinct()
 
 
+def survivors(rows: DataFrame, compat: bool = True) -> DataFrame:
+    """(query_id, citation, score) of the citations that dedup leaves as they are: rows (query_id, citation, score, pos), of
+    which the last score of a citation counts."""
+    last = rows.groupBy("query_id", "citation").agg(F.max_by("score", "pos").alias("score"))
+    return last.join(dedup(rows, compat=compat).distinct(), ["query_id", "citation"], "left_semi")
+
+
 def dedup_scored(rows: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(…, citation, score, pos): of each (law, article) the finest form with its score, the first on a tie, in the place
     of its first appearance. pos: order of the input."""
     p = rows.withColumn("p", C.parse(F.col("citation"))).where("p is not null").withColumn("norm", C.normal(F.col("p")))
-    key = F.when(F.col("p.kind") == "case", F.col("norm")).otherwise(F.concat_ws("|", "p.law", "p.art"))
+    key = F.when(F.col("p.kind") != "law", F.col("norm")).otherwise(F.concat_ws("|", "p.law", "p.art"))
     best = p.groupBy(*by, key.alias("key")).agg(F.max_by(F.struct("norm", "score"), F.struct(C.granularity(F.col("p")), -F.col("pos"))).alias("b"), F.min("pos").alias("pos"))
     return best.select(*by, F.col("b.norm").alias("citation"), F.col("b.score").alias("score"), "pos")
 
@@ -188,3 +195,38 @@ def run_max(rows: DataFrame, order: str, id: str, score: str, value: str, by: tu
     w = Window.partitionBy(*by).orderBy(order)
     marked = rows.withColumn("_new", (F.lag(id).over(w).isNull() | (F.lag(id).over(w) != F.col(id))).cast("int")).withColumn("_run", F.sum("_new").over(w))
     return marked.groupBy(*by, "_run", id).agg(F.max_by(value, F.struct(F.col(score), -F.col(order))).alias(value), F.max(score).alias(score), F.min(order).alias(order)).drop("_run")
+
+
+def gold_frequency(gold: DataFrame) -> DataFrame:
+    """(citation, n): how many queries have it as gold."""
+    return gold.select("query_id", "citation").distinct().groupBy("citation").agg(F.count("*").alias("n"))
+
+
+def best_with_label(rows: DataFrame) -> DataFrame:
+    """(query_id, citation, score, label): the greatest of each over all appearances."""
+    return rows.groupBy("query_id", "citation").agg(F.max("score").alias("score"), F.max("label").alias("label"))
+
+
+def documents_with_gold(edge: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, doc_id, label): 1 where a document has a gold citation of the query. edge (query_id, doc_id, citation)."""
+    g = gold.select("query_id", "citation").distinct().withColumn("hit", F.lit(1))
+    return edge.join(g, ["query_id", "citation"], "left").groupBy("query_id", "doc_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("label"))
+
+
+def recalled(hits: DataFrame, edge: DataFrame, k: int) -> DataFrame:
+    """(query_id, citation): all citations of a query's k best documents."""
+    from .retrieval import top_k
+
+    return top_k(hits.select("query_id", "doc_id", "score"), k).join(edge.select("doc_id", "citation").distinct(), "doc_id").select("query_id", "citation").distinct()
+
+
+def sources_of_gold(gold: DataFrame, edge: DataFrame) -> DataFrame:
+    """(query_id, citation, doc_id): the documents that cite a gold citation."""
+    return gold.select("query_id", "citation").distinct().join(edge.select("doc_id", "citation").distinct(), "citation")
+
+
+def exploded(records: DataFrame) -> DataFrame:
+    """Nested records (query_id, cc_list of (cc_id, rerank_score, citations)) -> (query_id, cc_id, rerank_score, citation),
+    one row a candidate; a document without citations has none."""
+    docs = records.select("query_id", F.explode("cc_list").alias("d"))
+    return docs.select("query_id", "d.cc_id", "d.rerank_score", F.explode("d.citations").alias("citation"))

@@ -72,6 +72,14 @@ def tf_idf_overlap(pairs: DataFrame, a: str, b: str, most: int = 5000) -> DataFr
     return pairs.select("id").join(got, "id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
+def window_features(pairs: DataFrame, query: str = "q_v", window: str = "v") -> DataFrame:
+    """The fourth generation's own features of pairs with two vectors and the window's text: cosine, length, two trigger
+    words. tf_idf_overlap and document scores come by joins."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    low = F.lower("text")
+    return pairs.select("*", (dot(query, window) / (F.sqrt(dot(query, query)) * F.sqrt(dot(window, window)) + 1e-6)).alias("dense_sim"), F.length("text").alias("len"), F.contains(low, F.lit("gemäss")).cast("int").alias("has_gemaess"), F.contains(low, F.lit("vgl")).cast("int").alias("has_vgl"))
+
+
 def vocabulary(docs: DataFrame, most: int = 500) -> DataFrame:
     """(term, tc, df, weight): tc * ln(N/(df+1)) of terms of more than two letters in more than one document, the
     ``most`` greatest."""
@@ -89,19 +97,27 @@ def term_frequencies(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 
 #: Keyword lists of the rule-based features.
 KEYWORDS = {
-    "holding": ["folglich", "demnach", "somit", "daher", "ergibt sich", "ist festzuhalten"],
-    "reference": ["gemäss", "nach", "vgl", "siehe", "im sinne von", "gestützt auf"],
-    "contrast": ["jedoch", "hingegen", "dagegen", "allerdings"],
+    "pos_strong": ["gemäss", "nach", "laut", "gestützt auf", "in anwendung von", "im sinne von", "aufgrund von"],
+    "pos_med": ["vgl.", "vgl. auch", "siehe", "siehe auch"],
+    "pos_conclusion": ["entscheidend ist", "massgebend ist", "ist zu prüfen", "ist zu entscheiden", "ergibt sich aus", "folgt aus"],
+    "neg_strong": ["kann offen bleiben", "nicht entscheidend", "braucht nicht entschieden"],
+    "neg_fact": ["macht geltend", "stellte fest", "wird ausgeführt", "laut den angaben"],
+    "neg_weak": ["unter anderem", "beispielsweise", "z.b.", "insbesondere"],
 }
 
 
 def rule_based(rows: DataFrame) -> DataFrame:
-    """Adds features of a sentence around a citation: rows with sentence, pos and n_sentences."""
+    """rows (sentence, sentence_idx, n_sentences, citation, start, n_citations), one an occurrence -> with 13 features more.
+    The dependency flags need a parser and are 0, as where none is installed."""
     s = F.col("sentence")
-    for name, words in KEYWORDS.items():
-        rows = rows.withColumn(f"kw_{name}", T.keyword_count(s, words))
-    rows = rows.withColumn("kw_weighted", 3 * F.col("kw_holding") + 2 * F.col("kw_reference") + F.col("kw_contrast"))
-    return rows.withColumn("rel_pos", F.col("pos") / F.greatest("n_sentences", F.lit(1))).withColumn("is_first", (F.col("pos") == 0).cast("int")).withColumn("is_last", (F.col("pos") == F.col("n_sentences") - 1).cast("int")).withColumn("n_chars", F.length(s)).withColumn("n_words", F.size(T.words(s))).withColumn("dep_subject", F.lit(0)).withColumn("dep_object", F.lit(0))
+    n = {k: T.keyword_count(s, w) for k, w in KEYWORDS.items()}
+    some = lambda k: (n[k] > 0).cast("int")
+    return rows.select(
+        "*", (2 * n["pos_strong"] + n["pos_med"] + 3 * n["pos_conclusion"]).alias("pos_keyword_score"), (3 * n["neg_strong"] + 2 * n["neg_fact"] + n["neg_weak"]).alias("neg_keyword_score"),
+        some("pos_conclusion").alias("is_conclusion_sentence"), some("neg_fact").alias("is_fact_sentence"), some("pos_strong").alias("has_strong_positive"),
+        (F.col("sentence_idx") / F.greatest("n_sentences", F.lit(1))).alias("pos_norm"), (F.col("start") / F.greatest(F.length(s), F.lit(1))).alias("char_pos_norm"),
+        F.lit(0).alias("is_prep_object"), F.lit(0).alias("is_subject"), F.col("n_citations").alias("num_citations_in_sentence"), (F.col("n_citations") == 1).cast("int").alias("is_single_citation"), F.length(s).alias("sentence_len"),
+    )
 
 
 def interaction(query: Column, citation: Column, before: Column, after: Column) -> dict[str, Column]:

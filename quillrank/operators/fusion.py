@@ -49,3 +49,20 @@ def combined(raw: DataFrame, question: DataFrame, weight: float = 0.5) -> DataFr
 def appearances(lists: DataFrame) -> DataFrame:
     """How often each document appears over variants and sources."""
     return lists.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+
+
+def one_of_each_score(hits: DataFrame) -> DataFrame:
+    """Of the hits of a query with one score the one of the smallest document."""
+    return hits.groupBy("query_id", "score").agg(F.min("doc_id").alias("doc_id"))
+
+
+def union_of_variants(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n, score): documents that any variant of a query finds, how many do, and the best score. hits
+    (query_id, variant_no, doc_id, score)."""
+    return hits.groupBy("query_id", "doc_id").agg(F.countDistinct("variant_no").alias("n"), F.max("score").alias("score"))
+
+
+def ordered_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """(query_id, parent_id, rank): parents in the order of their first chunk, without scores."""
+    first = hits.join(parents, "doc_id").groupBy("query_id", "parent_id").agg(F.min("rank").alias("_r"))
+    return first.select("query_id", "parent_id", F.row_number().over(Window.partitionBy("query_id").orderBy("_r", "parent_id")).alias("rank"))

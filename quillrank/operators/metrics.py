@@ -76,10 +76,14 @@ def f1_at_k(labelled: DataFrame, n_gold: DataFrame, k: int, by: tuple[str, ...]
 
 def auc(scored: DataFrame) -> DataFrame:
     """ROC AUC by rank sums (ties share their mean rank) and accuracy at 0.5 of (score, label). Ranks come from counts of
-    equal scores, so the rows themselves aren't put in one task; there is one row for each distinct score."""
+    equal scores and of buckets of scores, so no task gets all rows, nor all distinct scores."""
     c = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    w = Window.orderBy("score")
-    r = c.withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("mean", F.coalesce("before", F.lit(0)) + (F.col("n") + 1) / 2)
+    # Counts below a score: those of lower buckets, of which there are at most 4096, and those within its own.
+    bounds = c.agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    c = c.crossJoin(F.broadcast(bounds)).withColumn("_b", F.when(F.col("_high") > F.col("_low"), F.floor((F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low")) * 4095)).otherwise(0))
+    lower = c.groupBy("_b").agg(F.sum("n").alias("_all")).withColumn("_under", F.sum("_all").over(Window.orderBy("_b")) - F.col("_all")).select("_b", "_under")
+    inner = F.sum("n").over(Window.partitionBy("_b").orderBy("score")) - F.col("n")
+    r = c.withColumn("_in", inner).join(F.broadcast(lower), "_b").withColumn("mean", F.col("_under") + F.col("_in") + (F.col("n") + 1) / 2)
     s = r.agg(F.sum(F.col("mean") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))).alias("right"))
     p, n = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return s.select(F.when((p > 0) & (n > 0), (F.col("ranks") - p * (p + 1) / 2) / F.greatest(p * n, F.lit(1.0))).alias("auc"), (F.col("right") / F.col("n")).alias("accuracy"))
@@ -113,3 +117,31 @@ def gold_coverage(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     pairs = candidates.join(g, ["query_id", "citation"], "left").groupBy("query_id", "doc_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("has"))
     q = pairs.groupBy("query_id").agg(F.sum("has").alias("docs"), F.count("*").alias("n"))
     return q.agg(F.sum("docs").alias("with_gold"), F.sum("n").alias("pairs"), F.sum((F.col("docs") > 0).cast("int")).alias("queries_with_gold"))
+
+
+def recall_filter(predicted: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
+    """(query_id, recall) of the queries of which at least that share of the gold citations is predicted; queries without
+    gold go."""
+    g, p = gold.select("query_id", "citation").distinct(), predicted.select("query_id", "citation").distinct()
+    marked = g.join(p.withColumn("hit", F.lit(1)), ["query_id", "citation"], "left")
+    return marked.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall")).where(F.col("recall") >= least)
+
+
+def containment(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, docs, with_gold, containments): documents of a query, those whose text contains a gold citation of it, and
+    pairs of both. docs (query_id, doc_id, text), gold (query_id, citation). An equi-join on the query; only (document,
+    citation) pairs of one query meet."""
+    g = gold.select("query_id", "citation").distinct()
+    found = docs.join(g, "query_id").where(F.contains("text", "citation")).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    rows = docs.select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left")
+    return rows.groupBy("query_id").agg(F.count("*").alias("docs"), F.count("n").alias("with_gold"), F.coalesce(F.sum("n"), F.lit(0)).alias("containments"))
+
+
+def f1_by_document(rows: DataFrame, k: int, most: int = 100) -> DataFrame:
+    """Mean F1@k over (query, document) pairs that have a gold citation: rows (query_id, doc_id, citation, score, label), of
+    each pair at most ``most`` candidates, gold ones first."""
+    key = ["query_id", "doc_id"]
+    some = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("label"), F.desc("score"), "citation"))).where(F.col("_n") <= most).drop("_n")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "citation")))
+    n_gold = rows.groupBy(*key).agg(F.sum("label").alias("n_gold")).where("n_gold > 0")
+    return f1_at_k(ranked, n_gold, k, by=("query_id", "doc_id"))

@@ -153,6 +153,26 @@ def listwise(hits: DataFrame, order: Callable[[str, list[str]], list[int]], wind
     return hits.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, rank int")
 
 
+def map_reduce(candidates: list, order: Callable[[list], list[int]], window: int = 40, keep: int = 5) -> list:
+    """Windows of candidates are ordered each, the first ``keep`` of each go on, and these are ordered together. A last partial
+    window joins the one before it."""
+
+    def first(items: list, most: int | None) -> list:
+        given = [i for i in dict.fromkeys(order(items)) if 0 <= i < len(items)]
+        return [items[i] for i in (given + [i for i in range(len(items)) if i not in given])[:most]]
+
+    starts = [a for a in range(0, len(candidates), window) if a == 0 or a + window <= len(candidates)]
+    parts = [candidates[a : None if a == starts[-1] else a + window] for a in starts]
+    return first([x for part in parts for x in first(part, keep)], None)
+
+
+def aligned(pairs: DataFrame, factory: Scorer = overlap_scorer) -> DataFrame:
+    """(query_id, no, doc_id, score) for every document of the input, in its order ``no``: the best score of its chunks, each
+    chunk with the whole text's score."""
+    scores = rerank_chunks(pairs, factory=factory, compat=True)
+    return pairs.select("query_id", "no", "doc_id").join(scores, ["query_id", "doc_id"], "left").select("query_id", "no", "doc_id", "score")
+
+
 def rewrite(queries: DataFrame, client: Callable[[str, str], list[str]] | None, instruction: str) -> DataFrame:
     """(query_id, variant_no, text): what client(instruction, text) gives, and the query itself last. Without a client, off:
     the query alone. Translation, argument variants, context and question, hypothetical passages, keyword variants and

@@ -125,3 +125,52 @@ def group_folds(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
 
 def group_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def top_negatives(ranked: DataFrame, ratio: int = 6) -> DataFrame:
+    """All positives and, in order of rank, ratio times as many negatives of each query: ranked (query_id, citation, rank,
+    label)."""
+    n = F.sum("label").over(Window.partitionBy("query_id"))
+    order = Window.partitionBy("query_id", "label").orderBy("rank")
+    return ranked.withColumn("_p", n).withColumn("_n", F.row_number().over(order)).where((F.col("label") == 1) | (F.col("_n") <= ratio * F.col("_p"))).drop("_p", "_n")
+
+
+def balanced_weights(rows: DataFrame) -> DataFrame:
+    """rows with weight: both labels weigh alike, and all weights sum to the number of rows."""
+    n = rows.groupBy("label").agg(F.count("*").alias("_c"))
+    total = n.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
+    return rows.join(F.broadcast(n.crossJoin(total).select("label", (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))), "label")
+
+
+def of_split(records: DataFrame, pairs: DataFrame, id: str = "query_id") -> DataFrame:
+    """The records whose id some pair has."""
+    return records.join(pairs.select(id).distinct(), id, "left_semi")
+
+
+def in_context(rows: DataFrame, gold: DataFrame, window: int = 2, most: int = 4, total: int = 6, least: float | None = None, seed: int = 42) -> DataFrame:
+    """(query_id, doc_id, pos, neg, source): for each gold citation of a document up to ``most`` other citations within
+    ``window`` sentences ("in_context"), by hash; filled up to ``total`` with citations that are gold for nobody ("random").
+    rows (query_id, doc_id, citation, pos, score); documents below ``least`` go."""
+    if least is not None:
+        rows = rows.where(F.col("score") >= least)
+    g = gold.select("query_id", "citation").distinct().withColumn("gold", F.lit(1))
+    at = rows.groupBy("query_id", "doc_id", "citation").agg(F.min("pos").alias("at"))
+    m = at.join(g, ["query_id", "citation"], "left").withColumn("gold", F.coalesce("gold", F.lit(0)))
+    pos = m.where("gold = 1").select("query_id", "doc_id", F.col("citation").alias("pos"), F.col("at").alias("pos_at"))
+    near = pos.join(m.where("gold = 0").select("query_id", "doc_id", F.col("citation").alias("neg"), "at"), ["query_id", "doc_id"]).where(F.abs(F.col("at") - F.col("pos_at")) <= window)
+    order = Window.partitionBy("query_id", "doc_id", "pos").orderBy(order_key(seed, "query_id", "doc_id", "pos", "neg"), "neg")
+    near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("query_id", "doc_id", "pos", "neg")
+    have = near.groupBy("query_id", "doc_id", "pos").agg(F.count("*").alias("_c"))
+    lack = pos.join(have, ["query_id", "doc_id", "pos"], "left").withColumn("_c", total - F.coalesce("_c", F.lit(0))).where("_c > 0")
+    # A ring of the citations that are nobody's gold; each pair takes those that follow its own hash.
+    free = rows.select("citation").distinct().join(g.select("citation").distinct(), "citation", "left_anti").withColumn("_k", order_key(seed, "citation")).withColumn("_b", F.substring("_k", 1, 2))
+    ends = free.groupBy("_b").agg(F.count("*").alias("_m")).withColumn("_end", F.sum("_m").over(Window.orderBy("_b")))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", "citation")) - 1
+    ring = free.withColumn("_r", place).join(F.broadcast(ends), "_b").select((F.col("_end") - F.col("_m") + F.col("_r")).alias("_at"), F.col("citation").alias("neg"))
+    size = ends.agg(F.max("_end").alias("_total"))
+    # ``most`` of its own may lie in the way, so that many more places are looked at.
+    walk = lack.crossJoin(F.broadcast(size)).where("_total > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_c") + most, F.col("_total")) - 1)))
+    start = F.crc32(F.concat_ws("|", F.lit(str(seed)), "query_id", "doc_id", "pos"))
+    fill = walk.withColumn("_at", F.pmod(start + F.col("_i"), F.col("_total"))).join(ring, "_at").join(near, ["query_id", "doc_id", "pos", "neg"], "left_anti")
+    fill = fill.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id", "pos").orderBy("_i"))).where(F.col("_n") <= F.col("_c"))
+    return near.withColumn("source", F.lit("in_context")).unionByName(fill.select("query_id", "doc_id", "pos", "neg", F.lit("random").alias("source")))

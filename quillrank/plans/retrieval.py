@@ -75,7 +75,9 @@ def _weights(df, id):
 
 
 def _sparse_top(spark, d, k):
-    s = retrieval.sparse_search(_weights(_queries(spark, d), "query_id"), _weights(_docs(spark, d), "doc_id"))
+    q = _weights(_queries(spark, d), "query_id")
+    postings = retrieval.term_counts(_docs(spark, d), among=q).select("doc_id", "term", (F.col("tf") / F.col("dl")).alias("weight"))
+    s = retrieval.sparse_search(q, postings)
     return retrieval.top_k(s.withColumn("score", F.round("score", 9)), k)
 
 
@@ -85,13 +87,13 @@ def sparse_dot_topk(spark, d):
 
 
 DENSE = """qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
- dn AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(q, embedding::DOUBLE[]), 9) AS score, label, ql FROM qv, embeddings WHERE vec_id % 50 <> 0),
+ dn AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(q, embedding::DOUBLE[]), 9) AS score, label, ql FROM qv, embeddings WHERE vec_id <> query_id),
  dnr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn)"""
 
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")
-    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.where("vec_id % 50 != 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), _every_vector(spark, d)
 
 
 def _every_vector(spark, d):
@@ -99,8 +101,9 @@ def _every_vector(spark, d):
 
 
 def _dense_top(spark, d, k):
-    q, v = _vectors(spark, d)
-    return retrieval.dense_search(q, v, k)
+    """The k nearest of all vectors but the query's own."""
+    hits = retrieval.dense_search(*_vectors(spark, d), k + 1).where("query_id != doc_id").drop("rank")
+    return retrieval.top_k(hits, k)
 
 
 @query(with_(DENSE) + "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM dnr WHERE rank <= 20")
@@ -170,9 +173,7 @@ def cluster_expand(spark, d):
 
 @query()
 def cluster_expand_kmeans(spark, d):
-    q, v = _vectors(spark, d)[0], _every_vector(spark, d)
-    hits = retrieval.dense_search(q, v, 101).where("query_id != doc_id")  # 100 besides the query's own
-    return retrieval.cluster_expansion(hits, ml.clusters(v, 10)[0])
+    return retrieval.cluster_expansion(_dense_top(spark, d, 100), ml.clusters(_every_vector(spark, d), 10)[0])
 
 
 @query()
@@ -197,10 +198,18 @@ def two_hop_recall(spark, d):
 
 
 
-@query(f"WITH k AS (SELECT conv_id AS query_id, turn, text FROM conversations) SELECT query_id, count(DISTINCT turn) AS variants, count(DISTINCT term) AS terms FROM (SELECT query_id, turn, unnest({TOKENS.format('text')}) AS term FROM k) GROUP BY 1")
+VARIANTS = BM25.replace("SELECT DISTINCT item_id AS query_id, unnest", "SELECT DISTINCT item_id * 2 + v AS query_id, unnest").replace("FROM benchmark)", "FROM (SELECT item_id, 0 AS v, text FROM benchmark UNION ALL SELECT item_id, 1, array_to_string(string_split(text, ' ')[1:8], ' ') FROM benchmark))").replace("rank <= 100", "rank <= 20")
+
+
+@query(with_(VARIANTS) + "SELECT query_id // 2 AS query_id, doc_id, count(*) AS n, max(score) AS score FROM bmtop GROUP BY 1, 2")
 def multi_variant_union(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return c.groupBy("query_id").agg(F.countDistinct("turn").alias("variants"), F.countDistinct("term").alias("terms"))
+    """BM25 of two variants of each query, the whole and its first eight words, and the union of what they find."""
+    q = _queries(spark, d)
+    short = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    variants = q.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), short.alias("text")))
+    top = retrieval.top_k(retrieval.bm25(variants, _docs(spark, d)).withColumn("score", F.round("score", 6)), 20)
+    hits = top.select(F.floor(F.col("query_id") / 2).cast("long").alias("query_id"), (F.col("query_id") % 2).alias("variant_no"), "doc_id", "score")
+    return fusion.union_of_variants(hits)
 
 
 @query(with_(BM25, "pairs AS (SELECT query_id, doc_id, list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda x: x <> '')) AS b FROM bmtop JOIN benchmark b ON item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 10)") + "SELECT query_id, doc_id, round(len(list_intersect(a, b)) / len(a), 6) AS score FROM pairs")

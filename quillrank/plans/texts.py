@@ -10,8 +10,16 @@ from ..operators import citations, features, sections
 from . import base as B
 from .base import LEGAL, query, table, with_
 
-_RX = {f: C.pattern(f).removeprefix("(?i)") for f in C.FAMILIES}
+#: Written out here, so that the library's own patterns are checked against them.
+_RX = {
+    "art": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)*(?:[A-Z][a-zA-ZäöüÄÖÜß0-9]*)",
+    "sr": r"SR\s*\d{3}(?:\.\d+)?(?:\s+Art\.?\s*\d+[a-z]?)?",
+    "bge": r"BGE\s+\d{1,3}\s+[IVX]+[a-z]?\s+\d+(?:\s+E\.\s*\d+[a-z]?)?",
+}
+_STRICT = _RX | {"art": r"Art\.?\s+\d+[a-z]?\s+(?:Abs\.?\s*\d+\s+)?[A-Z]{2,}"}
 FOUND = "fd AS (SELECT doc_id, text, list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '{_RX[f]}', 0, 'i')" for f in C.FAMILIES) + "))) AS found FROM legal)"
+STRICT = FOUND.replace(_RX["art"], _STRICT["art"])
+LONGEST = "list_transform(list_sort([{{'n': -length(c), 'c': c}} FOR c IN {0}]), lambda x: x.c)"
 SENT = "list_filter([trim(x, E' \\n\\t\\r') FOR x IN string_split(regexp_replace(trim({0}, E' \\n\\t\\r'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))], lambda x: x <> '')"
 TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 WORDS = "list_filter(string_split_regex({0}, '[ \\n\\t\\r\\f\\v]+'), lambda x: x <> '')"
@@ -46,20 +54,17 @@ def extract_citations(spark, d):
     return _legal(spark, d).select("doc_id", F.explode(C.extract(F.col("text"))).alias("citation"))
 
 
-_STRICT = {f: C.pattern(f, "strict").removeprefix("(?i)") for f in C.FAMILIES}
-
-
 @query(with_(LEGAL) + " UNION ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_STRICT[f]}', 0, 'i')) AS citation, '{f}' AS type FROM legal" for f in C.FAMILIES))
 def extract_typed(spark, d):
     return _legal(spark, d).select("doc_id", F.explode(C.extract_typed(F.col("text"))).alias("c")).select("doc_id", F.col("c.text").alias("citation"), "c.type")
 
 
-@query()
+@query(with_(LEGAL, STRICT, "o AS (SELECT doc_id, text, c, unnest(range(1, length(text) + 1)) AS i FROM (SELECT doc_id, text, unnest(found) AS c FROM fd))") + "SELECT DISTINCT doc_id, c AS citation, i - 1 AS start, i - 1 + length(c) AS end FROM o WHERE substr(text, i, length(c)) = c AND NOT regexp_matches(substr(text, i + length(c), 1), '[0-9a-z]')")
 def extract_spans(spark, d):
     return _legal(spark, d).select("doc_id", F.explode(C.extract_spans(F.col("text"))).alias("c")).select("doc_id", F.col("c.text").alias("citation"), "c.start", "c.end")
 
 
-@query(with_(LEGAL, FOUND, "c AS (SELECT DISTINCT unnest(found) AS citation FROM fd), p AS (SELECT citation, nullif(regexp_extract(citation, 'Art\\.?\\s*(\\d+[a-z]?)', 1, 'i'), '') AS art, nullif(regexp_extract(citation, 'Abs\\.?\\s*(\\d+)', 1, 'i'), '') AS abs, CASE WHEN citation LIKE 'SR %' THEN regexp_extract(citation, '^SR\\s*(\\d{3}(\\.\\d+)*)', 1) WHEN citation LIKE 'Art%' THEN nullif(regexp_extract(citation, '\\s([A-ZÄÖÜ]\\pL+)$', 1), '') END AS law FROM c)") + "SELECT citation, CASE WHEN citation LIKE 'BGE%' THEN 'case' WHEN law IS NOT NULL THEN 'law' END AS kind, CASE WHEN citation LIKE 'BGE%' OR law IS NULL THEN NULL ELSE art END AS art, CASE WHEN citation LIKE 'BGE%' OR law IS NULL THEN NULL ELSE abs END AS abs, law, CASE WHEN citation LIKE 'BGE%' THEN citation WHEN law IS NOT NULL THEN concat_ws(' ', 'Art. ' || art, 'Abs. ' || abs, law) END AS norm FROM p")
+@query(with_(LEGAL, FOUND, "c AS (SELECT DISTINCT unnest(found) AS citation FROM fd), p AS (SELECT citation, nullif(regexp_extract(citation, 'Art\\.?\\s*(\\d+[a-z]?)', 1, 'i'), '') AS art, nullif(regexp_extract(citation, 'Abs\\.?\\s*(\\d+)', 1, 'i'), '') AS abs, CASE WHEN citation LIKE 'SR %' THEN regexp_extract(citation, '^SR\\s*(\\d{3}(\\.\\d+)*)', 1) WHEN citation LIKE 'Art%' THEN nullif(regexp_extract(citation, '(?i)Art\\.?\\s*\\d+[a-z]?(?:\\s*Abs\\.?\\s*\\d+)?\\s*([A-Z]{2,})', 1), '') END AS law FROM c)") + "SELECT citation, CASE WHEN citation LIKE 'BGE%' THEN 'bge' WHEN law IS NOT NULL THEN 'law' END AS kind, CASE WHEN citation LIKE 'BGE%' OR law IS NULL THEN NULL ELSE art END AS art, CASE WHEN citation LIKE 'BGE%' OR law IS NULL THEN NULL ELSE abs END AS abs, law, CASE WHEN citation LIKE 'BGE%' THEN citation WHEN law IS NOT NULL THEN concat_ws(' ', 'Art. ' || art, 'Abs. ' || abs, law) END AS norm FROM p")
 def parse_normalize(spark, d):
     c = _legal(spark, d).select(F.explode(C.extract(F.col("text"))).alias("citation")).distinct().withColumn("p", C.parse(F.col("citation")))
     return c.select("citation", "p.kind", "p.art", "p.abs", "p.law", C.normal(F.col("p")).alias("norm"))
@@ -70,12 +75,15 @@ def normalize_sr(spark, d):
     return _legal(spark, d).select("doc_id", C.normalise_sr(F.col("text")).alias("text"))
 
 
-@query()
+@query(with_(LEGAL, FOUND) + f"SELECT doc_id, list_reduce(list_concat([text], {LONGEST.format('found')}), lambda a, c: replace(a, c, '')) AS text FROM fd")
 def remove_citations(spark, d):
     return _legal(spark, d).select("doc_id", C.without_citations(F.col("text")).alias("text"))
 
 
-@query()
+HIDDEN = f"hid AS (SELECT doc_id, found, list_reduce(list_concat([text], {LONGEST.format('found')}), lambda a, c: replace(a, c, replace(c, ' ', chr(2)))) AS t FROM fd), ps AS (SELECT doc_id, found, [replace(x, chr(2), ' ') FOR x IN {SENT.format('t')}] AS s FROM hid), one AS (SELECT doc_id, found, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS no FROM ps)"
+
+
+@query(with_(LEGAL, FOUND, HIDDEN) + "SELECT doc_id, no, sentence FROM one")
 def protected_sentences(spark, d):
     return _legal(spark, d).select("doc_id", F.posexplode(T.protected_sentences(F.col("text"), C.extract(F.col("text")))).alias("no", "sentence"))
 
@@ -85,18 +93,21 @@ def abbreviation_sentences(spark, d):
     return _legal(spark, d).select("doc_id", F.posexplode(T.abbreviation_sentences(F.col("text"))).alias("no", "sentence"))
 
 
-@query()
+@query(with_(LEGAL, FOUND, HIDDEN) + "SELECT doc_id, citation, no AS pos FROM (SELECT doc_id, no, sentence, unnest(found) AS citation FROM one) WHERE contains(sentence, citation)")
 def citation_edges_all(spark, d):
     return citations.edges(_legal(spark, d))
 
 
-@query()
+PARSED = "pc AS (SELECT *, regexp_extract(citation, 'Art\\. (\\d+)', 1) AS art, regexp_extract(citation, 'Abs\\. (\\d+)', 1) AS abs, CASE WHEN citation LIKE 'BGE%' THEN '' WHEN citation LIKE 'SR %' THEN substr(citation, 4, 3) ELSE regexp_extract(citation, ' ([A-Za-z]+)$', 1) END AS law FROM cs), pn AS (SELECT *, CASE WHEN law = '' THEN citation ELSE concat('Art. ', art, CASE WHEN abs <> '' THEN ' Abs. ' || abs ELSE '' END, ' ', law) END AS norm, CASE WHEN abs <> '' THEN 2 ELSE 0 END AS gran FROM pc)"
+
+
+@query(with_(LEGAL, STRICT, "cs AS (SELECT DISTINCT doc_id % 200 AS query_id, unnest(found) AS citation FROM fd)", PARSED) + "SELECT DISTINCT query_id, norm AS citation FROM pn WHERE law = '' UNION SELECT query_id, norm FROM (SELECT *, max(gran) OVER (PARTITION BY query_id, law, art) AS top FROM pn WHERE law <> '') WHERE gran = top")
 def dedup_citations(spark, d):
     c = _legal(spark, d).select((F.col("doc_id") % 200).alias("query_id"), F.explode(C.extract(F.col("text"), "strict")).alias("citation"))
     return citations.dedup(c)
 
 
-@query()
+@query(with_(LEGAL, STRICT, "cs AS (SELECT doc_id % 200 AS query_id, unnest(found) AS citation, 1.0::DOUBLE / generate_subscripts(found, 1) AS score, doc_id * 100 + generate_subscripts(found, 1) - 1 AS pos FROM fd)", PARSED, "k AS (SELECT *, CASE WHEN law = '' THEN norm ELSE law || '|' || art END AS key FROM pn)") + "SELECT query_id, arg_max({'n': norm, 's': score}, {'g': gran, 'p': -pos}).n AS citation, round(arg_max({'n': norm, 's': score}, {'g': gran, 'p': -pos}).s, 6) AS score, min(pos) AS pos FROM k GROUP BY query_id, key")
 def dedup_citations_scored(spark, d):
     c = _legal(spark, d).select((F.col("doc_id") % 200).alias("query_id"), "doc_id", F.posexplode(C.extract(F.col("text"), "strict")).alias("i", "citation"))
     return citations.dedup_scored(c.select("query_id", "citation", (1.0 / (1 + F.col("i"))).alias("score"), (F.col("doc_id") * 100 + F.col("i")).alias("pos")))
@@ -151,31 +162,63 @@ def query_features(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), *[c.alias(k) for k, c in T.query_features(F.col("text")).items()])
 
 
-@query("SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{k}') AS BIGINT)" for k in features.KEYWORDS["reference"]) + " AS n FROM documents")
+@query("SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{k}') AS BIGINT)" for k in ["gemäss", "nach", "laut", "gestützt auf", "in anwendung von", "im sinne von", "aufgrund von"]) + " AS n FROM documents")
 def keyword_features(spark, d):
-    return _docs(spark, d).select("doc_id", T.keyword_count(F.col("text"), features.KEYWORDS["reference"]).alias("n"))
+    return _docs(spark, d).select("doc_id", T.keyword_count(F.col("text"), features.KEYWORDS["pos_strong"]).alias("n"))
 
 
-@query()
+def _count(words: str) -> str:
+    return "(" + " + ".join(f"contains(lower(sentence), '{w}')::INT" for w in words.split("|")) + ")"
+
+
+_STRONG, _CONCLUDING = "gemäss|nach|laut|gestützt auf|in anwendung von|im sinne von|aufgrund von", "entscheidend ist|massgebend ist|ist zu prüfen|ist zu entscheiden|ergibt sich aus|folgt aus"
+_FACT = "macht geltend|stellte fest|wird ausgeführt|laut den angaben"
+RULES = f"""ss AS (SELECT doc_id, len(s) AS n_sentences, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sentence_idx FROM (SELECT doc_id, {SENT.format("text")} AS s FROM legal)),
+ sc AS (SELECT *, list_distinct(list_concat({", ".join(f"regexp_extract_all(sentence, '{_STRICT[f]}', 0, 'i')" for f in ("art", "sr", "bge"))})) AS cs FROM ss),
+ se AS (SELECT *, len(cs) AS n, unnest(cs) AS citation FROM sc)"""
+
+
+@query(with_(LEGAL, RULES) + f"SELECT doc_id, sentence_idx, citation, 2 * {_count(_STRONG)} + {_count('vgl.|vgl. auch|siehe|siehe auch')} + 3 * {_count(_CONCLUDING)} AS pos_keyword_score, 3 * {_count('kann offen bleiben|nicht entscheidend|braucht nicht entschieden')} + 2 * {_count(_FACT)} + {_count('unter anderem|beispielsweise|z.b.|insbesondere')} AS neg_keyword_score, ({_count(_CONCLUDING)} > 0)::BIGINT AS is_conclusion_sentence, ({_count(_FACT)} > 0)::BIGINT AS is_fact_sentence, ({_count(_STRONG)} > 0)::BIGINT AS has_strong_positive, round(sentence_idx / n_sentences, 6) AS pos_norm, round((strpos(sentence, citation) - 1) / length(sentence), 6) AS char_pos_norm, 0 AS is_prep_object, 0 AS is_subject, n AS num_citations_in_sentence, (n = 1)::BIGINT AS is_single_citation, length(sentence) AS sentence_len FROM se")
 def rule_based_features(spark, d):
-    s = _legal(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return features.rule_based(s.select("doc_id", F.size("s").alias("n_sentences"), F.posexplode("s").alias("pos", "sentence")))
+    s = _legal(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.posexplode("s").alias("sentence_idx", "sentence"))
+    found = s.withColumn("c", C.extract_spans(F.col("sentence"))).withColumn("n_citations", F.size("c"))
+    rows = features.rule_based(found.select("*", F.explode("c").alias("one")).select("*", F.col("one.text").alias("citation"), F.col("one.start").alias("start")))
+    return rows.drop("n_sentences", "sentence", "c", "one", "start", "n_citations")
 
 
 @query()
 def section_split(spark, d):
-    return sections.sections(_docs(spark, d))
+    return sections.sections(_docs(spark, d)).withColumn("notes", F.array_join("notes", "; "))
 
 
-@query()
+@query(with_(LEGAL) + "SELECT doc_id, CASE WHEN regexp_matches(text, 'Sachverhalt|Tatbestand|A\\.\\s', 'i') THEN 0.7 WHEN regexp_matches(text, 'Erwägung|E\\.\\s', 'i') THEN 0.6 WHEN regexp_matches(text, 'Dispositiv|Demnach|erkennt', 'i') THEN 0.9 WHEN regexp_matches(text, 'Rechtsmittel|Beschwerde', 'i') THEN 0.35 WHEN regexp_matches(text, '\\d{1,2}\\.\\s\\w+\\s\\d{4}|Im Namen', 'i') THEN 0.15 ELSE 1.0 END::DOUBLE AS weight FROM legal")
 def section_weight(spark, d):
     return _legal(spark, d).select("doc_id", sections.section_type(F.col("text")).alias("weight"))
 
 
-@query()
+#: Judgments from legal texts: some with a header of their own, some with a phrase, some with an end, some with neither.
+JUDGED = "judged AS (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN E'Erwägungen:\n' WHEN 1 THEN 'Nach den Erwägungen ' WHEN 2 THEN E'Aus den Erwägungen\n' ELSE '' END, text, CASE WHEN doc_id % 3 = 0 THEN E'\nDemnach erkennt das Gericht' WHEN doc_id % 3 = 1 THEN E'\nDispositiv' ELSE '' END) AS text FROM legal)"
+
+
+def _judged(spark, d):
+    i = F.col("doc_id")
+    head = F.when(i % 4 == 0, "Erwägungen:\n").when(i % 4 == 1, "Nach den Erwägungen ").when(i % 4 == 2, "Aus den Erwägungen\n").otherwise("")
+    tail = F.when(i % 3 == 0, "\nDemnach erkennt das Gericht").when(i % 3 == 1, "\nDispositiv").otherwise("")
+    return _legal(spark, d).select("doc_id", F.concat(head, F.col("text"), tail).alias("text"))
+
+
+SPANNED = "spanned AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 5 END AS start_pattern, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 3 = 1 THEN 0 END AS end_pattern, CASE WHEN doc_id % 4 <> 3 THEN trim(text) END AS body FROM legal)"
+
+
+@query(with_(LEGAL, SPANNED) + "SELECT doc_id, coalesce(start_pattern, -1) AS start_pattern, coalesce(end_pattern, -1) AS end_pattern, CASE WHEN length(body) >= 80 THEN body END AS text FROM spanned")
 def section_extract(spark, d):
-    s = _legal(spark, d).select("doc_id", sections.considerations(F.concat(F.lit("Aus den Erwägungen "), F.col("text"), F.lit(" Demnach erkennt das Gericht"))).alias("s"))
-    return s.select("doc_id", "s.*")
+    s = _judged(spark, d).select("doc_id", sections.considerations(F.col("text")).alias("s"))
+    return s.select("doc_id", "s.text", *[F.coalesce(f"s.{c}", F.lit(-1)).alias(c) for c in ("start_pattern", "end_pattern")])
+
+
+@query(with_(LEGAL, SPANNED) + "SELECT coalesce(CASE WHEN length(body) >= 80 THEN start_pattern END, -1) AS start_pattern, count(*) AS n FROM spanned GROUP BY 1")
+def pattern_histogram(spark, d):
+    return sections.pattern_histogram(_judged(spark, d)).na.fill(-1)
 
 
 @query("WITH s AS (SELECT doc_id, " + SENT.format("text") + " AS s FROM documents) SELECT doc_id, len(list_filter(s, lambda x: length(x) > 30)) AS long_sentences FROM s")
@@ -194,13 +237,16 @@ def leading_facts(spark, d):
     return s.select("doc_id", T.leading_facts(F.col("s"), F.transform("s", lambda x: x.rlike(r"(?i)Art\.?\s*\d|SR\s*\d|BGE\s+\d"))).alias("facts"))
 
 
-@query("WITH s AS (SELECT DISTINCT p_name AS a FROM part), w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS t FROM conversations) SELECT conv_id, turn, array_to_string(list_concat(t, t), ' ') AS text FROM w")
+SYNONYMS = [("the", "a"), ("the", "this"), ("and", "plus"), ("is", "are"), ("and", "also")]
+
+
+@query("WITH sy(term, synonym) AS (VALUES ('the', 'a'), ('the', 'this'), ('and', 'plus'), ('is', 'are'), ('and', 'also')), w AS MATERIALIZED (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS t FROM conversations), m AS (SELECT conv_id, turn, synonym, min(list_position(t, term)) AS p FROM w, sy WHERE list_contains(t, term) AND NOT list_contains(t, synonym) GROUP BY ALL), more AS (SELECT conv_id, turn, list(synonym ORDER BY p, synonym) AS more FROM m GROUP BY ALL) SELECT conv_id, turn, array_to_string(list_concat(t, t, coalesce(more, [])), ' ') AS text FROM w LEFT JOIN more USING (conv_id, turn)")
 def synonym_expand(spark, d):
+    """Synonyms that occur in the conversations."""
     from ..operators.rerank import synonym_expansion
 
     q = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), "text")
-    none = spark.createDataFrame([("gibtesnicht", "nirgends")], "term string, synonym string")
-    return synonym_expansion(q, none).select("query_id.conv_id", "query_id.turn", "text")
+    return synonym_expansion(q, spark.createDataFrame(SYNONYMS, "term string, synonym string")).select("query_id.conv_id", "query_id.turn", "text")
 
 
 @query()

@@ -88,7 +88,7 @@ def test_plugins(spark):
 
 def test_sections():
     got = sections.split_court_document("Sachverhalt\nA klagte.\n\nWeiter so.\n\nErwägungen\nEs gilt BGE 1.\n\nDemnach erkennt das Gericht")
-    assert [s["type"] for s in got] == ["facts", "reasoning", "operative"]
+    assert [(s.type, s.start_line, s.confidence) for s in got] == [("sachverhalt", 1, "header"), ("erwaegungen", 6, "header"), ("dispositiv", 9, "header")]
     assert sections.split_court_document(None) == []
 
 
