@@ -34,8 +34,8 @@ RARE, FEW, MANY, PAIR = range(4)
 FEW_MOST = 6
 
 
-#: 64-bit words of a parity bitmap.
-BITS = 8
+#: Least bits of a parity bitmap.
+BITS = 512
 
 
 def shingler(n: int):
@@ -56,11 +56,23 @@ def shingler(n: int):
     return of_text
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS words: each bit is the parity of how many elements fall on it, so that two bitmaps differ in at most
-    as many bits as the sets do in elements."""
-    flips = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of twice to four times as many bits as s has elements: each bit is the parity of how many fall on it, so that
+    two bitmaps of one length differ in at most as many bits as the sets do in elements. A half of one xor the other is
+    the bitmap of half the length."""
+    n = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    flips = np.bincount((s >> np.uint64(32)).astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements that only one of two sets has."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def node_of(s: np.ndarray) -> int:
@@ -71,7 +83,7 @@ def node_of(s: np.ndarray) -> int:
 def _sets(n: int, least: int):
     """Rows of two kinds: (row, size, node, bitmap) of each text, and counts (token, n) of shingles that a task sees in
     ``least`` different sets."""
-    columns = 3 + BITS
+    columns = 4
 
     def make():
         of_text = shingler(n)
@@ -97,7 +109,7 @@ def _sets(n: int, least: int):
             for i, t in zip(numbers, texts, strict=True):
                 s = of_text(t)
                 node = node_of(s) if len(s) else None
-                rows.append((i, len(s), node, *(parity(s).tolist() if len(s) else [None] * BITS)))
+                rows.append((i, len(s), node, parity(s) if len(s) else None))
                 if node is not None and node not in seen:
                     seen.add(node)
                     got.add(s)
@@ -111,7 +123,7 @@ def _sets(n: int, least: int):
     return make
 
 
-_SETS = "row long, size int, node long, " + ", ".join(f"bits_{i} long" for i in range(BITS)) + ", token long, n long"
+_SETS = "row long, size int, node long, bits binary, token long, n long"
 
 
 def frequent(sets: DataFrame, most: int = 1 << 17, least: int = 64) -> np.ndarray:
@@ -251,13 +263,23 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.map_batches(both.select("a", "b", "set_a", "set_b"), _verify(percent), "a long, b long, distance double, link boolean", rows=200)
 
 
+def _plausible(percent: int):
+    def step(a, b, size_a, size_b, bits_a, bits_b):
+        keep = []
+        for i, total in enumerate(map(int.__add__, size_a, size_b)):
+            common_least = -(-total * percent // (100 + percent))
+            if least_difference(bits_a[i], bits_b[i]) <= total - 2 * common_least:
+                keep.append(i)
+        return [a[i] for i in keep], [b[i] for i in keep]
+
+    return lambda: step
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose bitmaps don't rule a link out. nodes: (node, size, bits_…)."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *[F.col(f"bits_{i}").alias(f"{s}_{i}") for i in range(BITS)])
+    """The (a, b) whose bitmaps don't rule a link out. nodes: (node, size, bits)."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("bits").alias(f"bits_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col(f"a_{i}").bitwiseXOR(F.col(f"b_{i}"))) for i in range(BITS)), F.lit(0))
-    total = F.col("size_a") + F.col("size_b")
-    return rows.where(differ <= total - 2 * F.ceil(total * percent / (100 + percent))).select("a", "b")
+    return common.map_batches(rows.select("a", "b", "size_a", "size_b", "bits_a", "bits_b"), _plausible(percent), "a long, b long", rows=1000)
 
 
 def components(links: DataFrame, name: str) -> DataFrame:

@@ -202,8 +202,10 @@ def test_entries_guarantee():
             x, y = ({k: (kind, most) for k, kind, most in zip(*jaccard.entries(s, 85, heavy, rank))} for s in (a, b))
             shared = [k for k in x if k in y]
             assert any(not (x[k][0] == y[k][0] == jaccard.FEW) and x[k][1] >= len(b) and y[k][1] >= len(a) for k in shared)
-            bits = np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64))
-            assert bits.sum() <= u - i
+            assert jaccard.least_difference(jaccard.parity(a), jaccard.parity(b)) <= u - i
+    large = rnd.integers(1, 1 << 63, 5000).astype(np.uint64)
+    assert jaccard.least_difference(jaccard.parity(large), jaccard.parity(large[:600])) <= 4400
+    assert jaccard.least_difference(jaccard.parity(large), jaccard.parity(rnd.integers(1, 1 << 63, 5000).astype(np.uint64))) > 2000
 
 
 def test_tokens_are_the_librarys():
