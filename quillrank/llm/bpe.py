@@ -221,7 +221,7 @@ def build_lexicon(docs: DataFrame, file: str, words: int = 32768, longest: int =
     counted = common.map_batches(docs.select(F.col("text").cast("string")), _counts(file), "word string, n long")
     top = common.most_frequent(counted.where(F.length("word") <= longest).groupBy("word").agg(F.sum("n").alias("n")), words)
     merges = Merges(file)
-    return compile_lexicon((r["word"], merges.ids(r["word"])) for r in top)
+    return compile_lexicon((word, merges.ids(word)) for word, _ in top)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, words: int = 32768) -> DataFrame:

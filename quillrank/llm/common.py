@@ -186,8 +186,8 @@ def with_columns(df: DataFrame, on: list[str], make: Callable[[], Callable], sch
     return df.mapInArrow(run, kind)
 
 
-def most_frequent(counted: DataFrame, most: int) -> list:
-    """The most frequent rows of counted (a key, n), by falling n and key: as many counts from the top as have at most
+def most_frequent(counted: DataFrame, most: int) -> list[tuple]:
+    """The most frequent rows (key, n) of counted (a key, n), by falling n and key: as many counts from the top as have at most
     ``most`` rows together, so that ties go or stay together and the driver never gets more rows. Counts from 1024 on
     are compared by classes of a hundredth."""
     counted = saved(counted, "counted")
@@ -199,5 +199,7 @@ def most_frequent(counted: DataFrame, most: int) -> list:
         if total > most:
             break
         least = c["low"]
-    rows = counted.where(n >= least).collect() if least is not None else []
-    return sorted(rows, key=lambda r: (-r["n"], r[0]))
+    if least is None:
+        return []
+    got = counted.where(n >= least).toArrow()  # columns, not a Python object for each row
+    return sorted(zip(got.column(0).to_pylist(), got.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))

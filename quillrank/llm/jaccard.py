@@ -131,7 +131,7 @@ def frequent(sets: DataFrame, most: int = 1 << 17, least: int = 64) -> np.ndarra
     shingle that a task sees in fewer than three documents adds nothing. The list only orders shingles; results
     don't depend on it."""
     counted = sets.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.array([r["token"] for r in common.most_frequent(counted, most)], np.int64).view(np.uint64)[::-1]
+    return np.array([token for token, _ in common.most_frequent(counted, most)], np.int64).view(np.uint64)[::-1]
 
 
 def entries(s: np.ndarray, percent: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

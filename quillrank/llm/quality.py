@@ -50,7 +50,7 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
     for t in texts:
         count = Counter(words_of(t))
         docs.append((np.array([number.setdefault(w, len(number)) for w in count]), np.array([*count.values()], np.float64)))
-    feats = [np.array(features(w, buckets)) for w in number]
+    feats = [np.array(features(w, buckets), np.int32) for w in number]
     size = np.array([len(f) for f in feats])
     y = np.array(labels)
     steps, done = epochs * -(-len(docs) // batch), 0
@@ -158,4 +158,6 @@ def scorer(weights: np.ndarray, remembered: int = 150_000):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> np.ndarray:
     """Trains on at most ``rows`` labelled documents. Without any labelled row every score is 0.5."""
     texts, y = sample(docs, labels, "quality", rows)
-    return train(texts, y) if texts else np.zeros(1 << 17)
+    model = train(texts, y) if texts else np.zeros(1 << 17)
+    common.release()
+    return model

@@ -103,8 +103,8 @@ def kinds(x: tuple, y: np.ndarray, words: int = 300, rounds: int = 20) -> np.nda
 
 def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """-> word weights (bucket, category), biases, chain weights (category, earlier category)."""
-    units = [set(t.split()) for t in texts]
-    rows = [np.array([f for u in us for f in features(u)], np.int64) for us in units]
+    known = Remembered(features, 100_000)
+    rows = [np.array([f for u in set(t.split()) for f in known[u]], np.int64) for t in texts]
     owner, flat = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
     pairs = np.unique(owner * BUCKETS + flat)
     often = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= min(5, len(texts))
@@ -132,7 +132,9 @@ def train(texts: list[str], labels: list[int], folds: int = 4) -> tuple[np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000) -> tuple:
     """Trains on at most ``rows`` labelled documents, half of each class, none with crc32(doc_id) mod 5 = 0. Without
     any labelled row nothing is toxic."""
-    return train(*sample(docs, labels, "toxic", rows, per_class=True))
+    model = train(*sample(docs, labels, "toxic", rows, per_class=True))
+    common.release()
+    return model
 
 
 def score(docs: DataFrame, model: tuple, cut: float = 0.6) -> DataFrame:
