@@ -183,6 +183,12 @@ def by_words(lower: bool = False) -> Callable[[str | None], Words]:
     return of_text
 
 
+def by_raw_words() -> Callable[[bytes], Words]:
+    """The same for words that are bytes already."""
+    known = Remembered(xxhash.xxh3_128_digest, WORDS)
+    return lambda data: Words(data, known)
+
+
 def by_bytes(gram: int) -> Callable[[], Callable[[str | None], Bytes]]:
     return lambda: lambda text: Bytes((text or "").encode("utf-8", "surrogatepass"), gram)
 

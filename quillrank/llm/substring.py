@@ -2,9 +2,9 @@
 
 Every window of k words is an edge from its first k - 1 words to its last k - 1. Edges that follow one another in a
 document and share a minimizer are kept as one row, a run (see ``spans``), and runs meet by minimizer, so that equal edges
-always meet. Runs that differ under one minimizer branch there; their single edges meet instead. What is left is a graph
-whose edges are runs or windows that occur more than once, each with the coordinates of its source, the first
-occurrence.
+always meet. Runs that differ under one minimizer branch there: they meet with their words, and where they agree without a
+branch their single edges become one. What is left is a graph of edges that occur more than once, each with the
+coordinates of its source, the first occurrence.
 
 Spark joins compact it: a node with one edge in and one out is no branch, so its two edges are steps of one path, and
 pointers along such steps are doubled by joining the edges with themselves until each points to the head of its path.
@@ -22,24 +22,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, spans
-from .spans import FOUND, SOURCE
+from .spans import CONTENT, FOUND, HOT, SOURCE
 
 
-def _windows(window: int):
-    """Single edges of candidates: (doc, body, first, count, …) -> spans.ROW."""
+def _second_map(window: int):
+    """Candidates: the words that a run covers, one row a run; of hot minimizers the single edges. (doc, body, first, count,
+    anchor, hot) -> spans.ROW and content."""
 
     def make():
-        text_of, words = spans.unpacker(), spans.by_words()
+        text_of, words_of = spans.unpacker(), spans.by_words()
         got = common.Collector(lambda *c: spans.set_aside(*c, True, 0))
+        held: list[tuple] = []
+
+        def out(force: bool):
+            rows = got.out(force)
+            columns = [x.tolist() for x in rows] if rows else [[] for _ in range(8)]
+            columns.append([None] * len(columns[0]))
+            for r in held:
+                for c, x in zip(columns, r, strict=True):
+                    c.append(x)
+            held.clear()
+            return columns if columns[0] else None
+
+        def step(docs, bodies, firsts, counts, anchors, kinds):
+            for doc, body, first, count, anchor, kind in zip(docs, bodies, firsts, counts, anchors, kinds, strict=True):
+                seq = words_of(text_of(body))
+                if hot := [i for i in range(len(first)) if kind[i] == HOT]:
+                    for a, b, pos in seq.windows(np.array([first[i] for i in hot], np.int64), np.array([count[i] for i in hot], np.int64), window):
+                        got.add(a, b, np.full(len(pos), doc, np.int64), pos, np.ones(len(pos), np.int32))
+                for f, c, a, k in zip(first, count, anchor, kind, strict=True):
+                    if k != HOT:
+                        held.append((a, a, 0, doc, f, c, False, CONTENT, b" ".join(seq.words[f : f + c + window - 1])))
+            return out(False)
+
+        step.rest = lambda: out(True)
+        return step
 
-        def step(docs, bodies, firsts, counts):
-            for doc, body, first, count in zip(docs, bodies, firsts, counts, strict=True):
-                for a, b, pos in words(text_of(body)).windows(*spans.runs_of(first, count), window):
-                    got.add(a, b, np.full(len(pos), doc, np.int64), pos, np.ones(len(pos), np.int32))
-            return got.out()
+    return make
 
-        step.rest = lambda: got.out(True)
-        return step
+
+def local_edges(doc, pos, m, content, words_of, window: int):
+    """Columns of spans.FLAG for the repeated edges among runs of whole minimizers, given with their words. Windows that all
+    occurrences have next to each other, and no other beside them, are one edge: nonbranching paths within a minimizer
+    are compacted here, before any join."""
+    seq = words_of(b" ".join(content))
+    counts = m.astype(np.int64)
+    begin = np.cumsum(counts + window - 1) - (counts + window - 1)
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    at, run = np.repeat(begin, counts) + step, np.repeat(np.arange(len(counts)), counts)
+    d, p = np.repeat(doc, counts), np.repeat(pos, counts) + step
+    h1, h2 = seq.grams(0, seq.n - window + 1, window)[at], seq.seconds(at, window)
+    order, starts, group = spans._grouped(h1, h2, d, p)
+    ident = np.empty(len(at), np.int64)
+    ident[order] = group
+    lead = order[starts][ident]  # the first occurrence of each window's string
+    again = (d != d[lead]) | (p != p[lead])
+    repeated = np.zeros(len(starts), bool)
+    repeated[ident[again]] = True
+    many = repeated[ident]
+    beside = np.zeros(len(at), bool)  # whether the next row is the next window of the run, and repeats too
+    beside[:-1] = (run[1:] == run[:-1]) & many[1:] & many[:-1]
+    after, before = np.full(len(at), -1), np.full(len(at), -1)
+    after[:-1][beside[:-1]] = ident[1:][beside[:-1]]
+    before[1:][beside[:-1]] = ident[:-1][beside[:-1]]
+
+    def alike(x: np.ndarray) -> np.ndarray:
+        low, high = (f.reduceat(x[order], starts) for f in (np.minimum, np.maximum))
+        return low == high
+
+    one_after, one_before = alike(after), alike(before)
+    goes_on = np.zeros(len(at), bool)
+    goes_on[:-1] = beside[:-1] & one_after[ident[:-1]] & one_before[ident[1:]]
+    first = np.flatnonzero(many & ~np.concatenate([[False], goes_on[:-1]]))
+    ends = np.flatnonzero(~goes_on)
+    size = ends[np.searchsorted(ends, first)] - first + 1
+    name = spans.both(spans.both(h1[first], h2[first]), size.astype(np.uint64))
+    kind = np.where(again[first], FOUND, SOURCE).astype(np.int8)
+    return d[first], p[first], size.astype(np.int32), kind, np.zeros(len(first), np.int64), common.signed(name)
+
+
+def _second_meet(window: int, most: int = 1 << 18):
+    """Rows sorted by route: single edges meet by their hash, runs by minimizer, in parts of about ``most`` bytes."""
+
+    def make():
+        words_of = spans.by_raw_words()
+
+        def flush(_, a, b, doc, pos, m, many, kind, content):
+            plain, whole = kind != CONTENT, np.flatnonzero(kind == CONTENT)
+            parts = [spans.met(*(x[plain] for x in (a, b, doc, pos, m, many, kind)), True)]
+            whole = whole[np.argsort(a[whole], kind="stable")]
+            ends, anchors = np.cumsum([len(content[i]) for i in whole]), a[whole]
+            at = 0
+            while at < len(whole):
+                end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)), at + 1)
+                end = int(np.searchsorted(anchors, anchors[end - 1], side="right"))  # whole minimizers
+                some = whole[at:end]
+                parts.append(local_edges(doc[some], pos[some], m[some], content[some].tolist(), words_of, window))
+                at = end
+            return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+        return common.by_key(flush, (*spans._TYPES, object), weigh=8)
 
     return make
 
@@ -48,9 +130,8 @@ def repeated_edges(rows: DataFrame, window: int, gram: int = 4, hot: int = 256)
     """rows (row, text) -> the graph's edges at all their occurrences: (doc, pos, m, kind, a, edge), kind SOURCE for the
     first one of each and FOUND for the others, m windows from pos on. A saved table."""
     flags = spans.met_runs(rows, spans.by_words, window, gram, True, hot)
-    wanted = spans.candidates(rows, flags).select("doc", "body", "first", "count")
-    single = common.map_batches(wanted, _windows(window), spans.ROW)
-    more = common.map_batches(common.routed(single, "route").select(spans.COLUMNS), spans.meet(True), spans.FLAG)
+    second = common.map_batches(spans.candidates(rows, flags), _second_map(window), f"{spans.ROW}, content binary", rows=200)
+    more = common.map_batches(common.routed(second, "route").select(*spans.COLUMNS, "content"), _second_meet(window), spans.FLAG)
     return common.saved(flags.unionByName(more).where(F.col("kind").isin(FOUND, SOURCE)), "edges")
 
 
