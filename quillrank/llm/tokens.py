@@ -1,10 +1,10 @@
 """Exact token ids of a public tokenizer's file, at the cost of a dictionary lookup a word.
 
-The tokenizers library gives the ids; this module only remembers them. A text is cut into units whose ids do
-not depend on their neighbours, a unit into the pieces that the file's own pre-tokenizer makes, and the ids of
-units and of pieces are kept in two bounded dictionaries of the worker. A text with a character outside a
-checked range, with a special token or of another kind of file goes through the library's own normalizer and
-pre-tokenizer instead.
+The tokenizers library gives the ids; this module only remembers them. A text is cut in one pass into the pieces
+that the file's own pre-tokenizer makes, whose ids do not depend on their neighbours and are kept in a bounded
+dictionary of the worker. (Pieces and not words between blanks: a word has many forms with signs beside it.) A text
+with a character outside a checked range, with a special token or of another kind of file goes through the library's
+own normalizer and pre-tokenizer instead, whose pieces have a dictionary of their own.
 """
 
 from __future__ import annotations
@@ -95,6 +95,12 @@ class Pieces:
             return f"\x01{text}".replace("\n", " \x00").split(" ")
         return None
 
+    def of_plain(self, text: str) -> list[str] | None:
+        """The pieces of a plain text as they stand in it, without byte_letters; None if the library has to cut it."""
+        if self.style == "other" or not plain(text):
+            return None
+        return _WORDS.findall(text.lower()) if self.style == "words" else _SPACED.findall(text)
+
     def of_unit(self, unit: str) -> list[str]:
         """The pieces of a unit, in the letters of byte_letters."""
         if self.style == "words":
@@ -118,23 +124,20 @@ class Encoder:
     """ids(text): what encode(text, add_special_tokens=False).ids of the library gives, as little-endian
     unsigned 32-bit integers in bytes."""
 
-    def __init__(self, file: str, units: int = 150_000, pieces: int = 100_000):
+    def __init__(self, file: str, plain: int = 150_000, pieces: int = 100_000):
         self.cut = Pieces(file)
         self.model = self.cut.tokenizer.model
         self.pieces = Remembered(self._piece, pieces)
-        self.by_unit = Remembered(self._unit, units)
+        self.plain = Remembered(lambda p: self._piece(as_letters(p)), plain)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.cut.of_unit(unit)])
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if (units := self.cut.units(text)) is not None:
-            return b"".join(map(self.by_unit.__getitem__, units))
+        if (found := self.cut.of_plain(text)) is not None:
+            return b"".join(map(self.plain.__getitem__, found))
         if self.cut.style == "other":
             return np.array(self.cut.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([np.array([p], "<u4").tobytes() if isinstance(p, int) else self.pieces[p] for p in self.cut.of_text(text)])
