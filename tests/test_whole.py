@@ -5,9 +5,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from quillrank.llm import bpe, packing, tokens, toxicity
-from quillrank.llm.queries import vocabulary
 from quillrank.operators import sampling
 from quillrank.plans import retrieval as plans
 
@@ -46,41 +43,3 @@ def test_each_gold_citation_has_its_negatives(spark):
     assert Counter(q for q, _ in got) == {q: min(2 * n, every - n) for q, n in own.items()}
     few = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "query_id long, citation long")
     assert sorted(map(tuple, sampling.cross_query_negatives(few.repartition(3)).collect())) == [(1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
-
-
-def test_a_feature_counts_once_in_a_text():
-    weights = np.zeros((toxicity.BUCKETS, 3))
-    weights[toxicity.features("loser")] = 0.7
-    weights[toxicity.features("vile")] = 0.2
-    used = np.flatnonzero(weights.any(axis=1))
-    p = toxicity.scorer(used, weights[used], np.full(3, -2.0), np.zeros((3, 3)), 4)
-    texts = ["loser", "Loser loser, (loser) loser-loser LOSER! loser.", "a loser is vile", "Vile, vile loser: a vile- loser!", "", "clean"]
-    present = [{f for u in t.split() for f in toxicity.features(u)} for t in texts]
-    assert np.allclose(p(texts), [1 / (1 + np.exp(2.0 - weights[sorted(fs)].sum(axis=0))) for fs in present])
-
-
-def test_near_copies_go_by_row(spark):
-    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
-    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d), (4, ""), (4, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = corpus_pipeline.one_of_each_group(spark, docs, "")
-    assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted([(1, a), (2, b), (None, c), (3, d), (4, ""), (4, None)], key=repr)
-
-
-def test_lexicon_counts_documents_that_are_not_plain(spark):
-    file = tokens.read_file(vocabulary("word_bpe_49k.json"))
-    docs = spark.createDataFrame([(1, "the \u201cquick\u201d fox"), (2, "the\tfox \u2014 the \u4e2d end"), (3, "the end")], "doc_id long, text string")
-    lexicon, merges = bpe.Lexicon(bpe.build_lexicon(docs, file)), bpe.Merges(file)
-    assert all(lexicon.ids(w) == merges.ids(w) for w in ("the", "fox", "quick", "end"))
-    alone = bpe.Lexicon(bpe.build_lexicon(docs.where("doc_id < 3"), file, 2))
-    assert alone.ids("the") == merges.ids("the") and alone.ids("fox") == merges.ids("fox")
-
-
-def test_full_pieces_keep_to_the_cost(spark):
-    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate((500, 99, 100, 40, 7, 1))], "doc_id long, text string")
-    file = vocabulary("byte_bpe_50k.json")
-    out = packing.pack_documents(docs, file, 2, capacity=100, max_cost=2600).toPandas()
-    cost = (out.length**2).groupby(out.sequence_id).sum()
-    assert cost.max() <= 2600 and out.length.groupby(out.sequence_id).sum().max() <= 100
-    assert out.length.sum() == packing.pack_documents(docs, file, 2, capacity=100).toPandas().length.sum()
