@@ -141,9 +141,9 @@ def submission_concat(spark, d):
     return ranking.submission(ranking.top_n(B.scores(spark, d), 19), B.queries_of(spark, d))
 
 
-@query(with_(HITS, EDGE, SCORES) + "SELECT query_id, citation, score FROM scores WHERE citation IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 UNION SELECT s_suppkey FROM supplier) AND score >= 1")
+@query(with_(HITS, EDGE, SCORES) + "SELECT query_id, citation, score FROM scores WHERE citation IN (SELECT p_partkey FROM part WHERE p_size <= 25 UNION SELECT s_suppkey FROM supplier) AND score >= 1")
 def known_ids_threshold(spark, d):
-    known = citations.known_only(B.scores(spark, d), table(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey"), table(spark, d, "supplier").select("s_suppkey"))
+    known = citations.known_only(B.scores(spark, d), table(spark, d, "part").where("p_size <= 25").select("p_partkey"), table(spark, d, "supplier").select("s_suppkey"))
     return ranking.threshold(known, 1.0).select("query_id", "citation", "score")
 
 
@@ -247,14 +247,14 @@ def features_occurrence30(spark, d):
     return features.occurrence(_occurrences(spark, d))
 
 
-SRC = "src AS (SELECT query_id, doc_id, 'rerank' AS source, score FROM hits UNION ALL SELECT query_id, doc_id, 'dense', (doc_id * 7919 % 1009) / 1009.0 FROM hits UNION ALL SELECT query_id, doc_id, 'sparse', (doc_id * 104729 % 2003) / 2003.0 FROM hits WHERE doc_id % 3 <> 0), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) - 1 AS rank FROM src)"
+SRC = "src AS (SELECT query_id, doc_id, 'rerank' AS source, score FROM hits UNION ALL SELECT query_id, doc_id, 'dense', (doc_id * 7919 % 1009) / 1009.0 FROM hits UNION ALL SELECT query_id, doc_id, 'sparse', (doc_id * 104729 % 2003) / 2003.0 FROM hits WHERE (doc_id * 104729 % 2003) / 2003.0 >= 0.33), sr AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) - 1 AS rank FROM src)"
 
 
 def _sources(spark, d):
     h = B.hits(spark, d)
     a = h.select("query_id", "doc_id", F.lit("rerank").alias("source"), "score")
     b = h.select("query_id", "doc_id", F.lit("dense").alias("source"), ((F.col("doc_id") * 7919 % 1009) / 1009.0).alias("score"))
-    c = h.where("doc_id % 3 != 0").select("query_id", "doc_id", F.lit("sparse").alias("source"), ((F.col("doc_id") * 104729 % 2003) / 2003.0).alias("score"))
+    c = h.select("query_id", "doc_id", F.lit("sparse").alias("source"), ((F.col("doc_id") * 104729 % 2003) / 2003.0).alias("score")).where("score >= 0.33")
     from pyspark.sql import Window
 
     return a.unionByName(b).unionByName(c).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "doc_id")) - 1)

@@ -11,7 +11,7 @@ from ..operators import citations, features, fusion, metrics, ranking, rerank, r
 from . import base as B
 from .base import EDGE, GOLD, HITS, LEGAL, RANKED, SCORES, query, table, with_
 from .retrieval import BM25, BOTH, CONTAINED, DENSE, SPARSE, _bm25_top, _dense_top, _docs, _lists, _queries, _sparse_top
-from .texts import FOUND, SENT, WORDS
+from .texts import FOUND, PARSED, SENT, STRICT, WORDS
 
 LABELLED = "lab AS (SELECT r.query_id, r.citation, score, rank, (g.citation IS NOT NULL)::INT AS label FROM ranked r LEFT JOIN gold g ON g.query_id = r.query_id AND g.citation = r.citation)"
 
@@ -78,11 +78,13 @@ def doc_label_any(spark, d):
     return citations.documents_with_gold(_cited(spark, d), B.gold(spark, d))
 
 
-GOLD_TEXT = "gt AS (SELECT DISTINCT doc_id % 200 AS query_id, unnest(found) AS citation FROM fd WHERE doc_id % 7 = 0)"
+GOLD_TEXT = "gt AS (SELECT DISTINCT doc_id % 200 AS query_id, unnest(found) AS citation FROM fd WHERE doc_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45))"
 
 
 def _gold_text(spark, d):
-    legal = B.legal(spark, d).where("doc_id % 7 = 0")
+    """Gold are the citations of orders of which something was returned in quantity."""
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_orderkey").alias("doc_id"))
+    legal = B.legal(spark, d).join(returned, "doc_id", "left_semi")
     return legal.select((F.col("doc_id") % 200).alias("query_id"), F.explode(C.extract(F.col("text"))).alias("citation")).distinct()
 
 
@@ -98,12 +100,11 @@ def f1_by_document(spark, d):
     return metrics.f1_by_document(features.labelled(rows, B.gold(spark, d)), 3)
 
 
-@query(with_(LEGAL, FOUND, "cs AS (SELECT doc_id % 200 AS query_id, unnest(found) AS citation, doc_id AS pos FROM fd WHERE doc_id % 3 = 0), l AS (SELECT query_id, citation, max(pos) AS score FROM cs GROUP BY 1, 2)") + "SELECT query_id, citation, score FROM l WHERE citation NOT LIKE 'SR%' AND citation NOT LIKE 'BGE%' AND regexp_matches(citation, 'Abs') AND false UNION ALL SELECT query_id, citation, score FROM l WHERE citation LIKE 'BGE%'")
-def dedup_survivors_cases(spark, d):
-    """Scores of what dedup leaves, of decisions, which it never changes."""
-    legal = B.legal(spark, d).where("doc_id % 3 = 0")
-    rows = legal.select((F.col("doc_id") % 200).alias("query_id"), F.explode(C.extract(F.col("text"))).alias("citation"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("score"))
-    return citations.survivors(rows).where(F.col("citation").startswith("BGE"))
+@query(with_(LEGAL, STRICT, "cs AS (SELECT doc_id % 200 AS query_id, unnest(found) AS citation, doc_id FROM fd)", PARSED, "w AS (SELECT *, row_number() OVER (PARTITION BY query_id, art, abs ORDER BY (citation LIKE 'SR %') DESC, gran DESC, norm) AS n FROM (SELECT DISTINCT query_id, citation, norm, art, abs, gran FROM pn WHERE law <> '')), t AS (SELECT *, max(gran) OVER (PARTITION BY query_id, art) AS top FROM w WHERE n = 1), kept AS (SELECT query_id, norm AS citation FROM t WHERE gran = top UNION SELECT query_id, norm FROM pn WHERE law = ''), l AS (SELECT query_id, citation, max(doc_id) AS score FROM cs GROUP BY 1, 2)") + "SELECT query_id, citation, score FROM l SEMI JOIN kept USING (query_id, citation)")
+def dedup_survivors(spark, d):
+    """Scores of the citations that dedup leaves as they are."""
+    c = B.legal(spark, d).select((F.col("doc_id") % 200).alias("query_id"), "doc_id", F.explode(C.extract(F.col("text"), "strict")).alias("citation"))
+    return citations.survivors(c.select("query_id", "citation", F.col("doc_id").alias("pos"), F.col("doc_id").alias("score")))
 
 
 @query(with_(DENSE, "p AS (SELECT query_id, doc_id // 4 AS parent_id, min(rank) AS r FROM dnr WHERE rank <= 40 GROUP BY 1, 2)") + "SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY r, parent_id) AS rank FROM p")
@@ -123,12 +124,10 @@ def sparse_parent_max(spark, d):
     return retrieval.parent_max(_sparse_top(spark, d, 40), parents)
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS anchor, round(list_inner_product(q, embedding::DOUBLE[]), 9) AS score FROM q, embeddings WHERE vec_id % 10 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor) AS rank FROM s) SELECT query_id, anchor, rank, round(score, 6) AS score FROM r WHERE rank <= 3")
+@query(with_(DENSE) + "SELECT query_id, doc_id AS anchor, rank, round(score, 6) AS score FROM dnr WHERE rank <= 3")
 def anchor_search(spark, d):
-    """The three nearest anchors: every tenth vector is a core sentence's."""
-    e = table(spark, d, "embeddings")
-    anchors = e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    return retrieval.dense_search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), anchors, 3).withColumnRenamed("doc_id", "anchor")
+    """The three nearest core sentences; every vector is one, but for the query's own."""
+    return _dense_top(spark, d, 3).withColumnRenamed("doc_id", "anchor")
 
 
 @query(with_(HITS, EDGE, "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM hits) WHERE r <= 20)") + "SELECT DISTINCT query_id, citation FROM t JOIN edge USING (doc_id)")
@@ -178,9 +177,11 @@ def balanced_weights(spark, d):
     return sampling.balanced_weights(_labelled(spark, d)).groupBy("label").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
 
 
-@query(with_(HITS, GOLD) + "SELECT query_id, doc_id FROM hits WHERE query_id IN (SELECT query_id FROM gold WHERE citation % 5 = 0)")
+@query(with_(HITS, EDGE, SCORES, RANKED, GOLD) + "SELECT query_id, doc_id FROM hits WHERE query_id IN (SELECT query_id FROM gold JOIN ranked USING (query_id, citation) WHERE rank <= 10)")
 def dev_records(spark, d):
-    return sampling.of_split(B.hits(spark, d), B.gold(spark, d).where("citation % 5 = 0")).select("query_id", "doc_id")
+    """Pairs of the dev set are gold citations among a query's ten best."""
+    pairs = B.gold(spark, d).join(_ranked(spark, d).where("rank <= 10"), ["query_id", "citation"])
+    return sampling.of_split(B.hits(spark, d), pairs).select("query_id", "doc_id")
 
 
 @query(with_(HITS, EDGE, SCORES, RANKED, GOLD, LABELLED) + "SELECT query_id, count(*) AS n FROM lab GROUP BY 1 HAVING sum(label) >= 2")
