@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, digest, idfile, jaccard, mtree, packing, quality, substring, suffix, toxicity
+from . import alignment, bpe, common, decontam, digest, idfile, jaccard, mtree, packing, periodic, quality, substring, suffix, toxicity, tokens
 
 
 def vocabulary(name: str) -> str:
@@ -59,7 +59,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op3_jaccard, op4_digest, op5_suffix, op6_mtree, op7_bpe, op8_quality, op9_toxicity, op10_packing)}
+def op11_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    return decontam.digested(decontam.contamination(docs.select("doc_id", "text"), items.select("item_id", "text")))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.find_runs(periodic.repeating(common.table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokens.read_file(vocabulary("byte_bpe_50k.json")), tokens.read_bytes(vocabulary("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op3_jaccard, op4_digest, op5_suffix, op6_mtree, op7_bpe, op8_quality, op9_toxicity, op10_packing, op11_decontam, op12_periodic, op13_alignment)}
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

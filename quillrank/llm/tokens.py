@@ -152,3 +152,8 @@ def encoder(file: str) -> Encoder:
 def read_file(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
+
+
+def read_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
