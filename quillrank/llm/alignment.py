@@ -5,17 +5,17 @@ a bipartite graph; its connected components, by union-find, are the smallest gro
 token of a component is linked with every B token of it. Links are counted over the corpus: for a pair of ids, in how
 many documents it is linked.
 
-Within a task, a text is cut before words that follow a single blank. Both tokenizers have a token end there, so what lies
-between is aligned by itself and remembered; a text is mostly a lookup a word. Pairs are counted by Spark. A link's count
-then comes back to its documents in two ways: a bounded number of the most frequent pairs is broadcast, and the others,
-each of which has a small share of all rows, are joined by pair.
+Within a task, a text is cut where both tokenizers are sure to have a token end: before words that follow a single blank
+or line end, and before a sign after a letter. What lies between, a unit, is aligned by itself and remembered; units that
+are new are aligned together, in one call of each tokenizer. Pairs are counted by Spark. A link's count then comes back to
+its documents in two ways: a bounded number of the most frequent pairs is broadcast, and the others, each of which has a
+small share of all rows, are joined by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,118 +27,205 @@ from . import common, tokens
 
 #: Pairs that are broadcast at most: some 2 megabytes.
 FREQUENT = 1 << 17
+#: Characters of texts aligned at once.
+CHARACTERS = 1_000_000
 #: A pair of ids is one number: the A id times 2**_SHIFT plus the B id.
-_SHIFT = 24
-#: Before a blank that follows something else and precedes something else, by the widest notion of white space.
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-
-
-def components(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Union-find over tokens that overlap, given by their ends on the same bytes -> (last A token + 1, last B token + 1) of each
-    component, in order."""
+_SHIFT = 20
+#: Bits of such a number; vocabularies are smaller than 2**20.
+_PAIR = 2 * _SHIFT
+#: No white space, by the widest notion of it.
+_SOLID = r"[^\s\x1c-\x1f\x85]"
+#: Signs before which a text may be cut, and the letters that have to stand before them.
+_SIGNS, _LETTERS = ",.;:!?)", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_REGULAR = re.compile(rf"[ \n](?:(?!\u2581){_SOLID})+")
+
+
+def components(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over tokens that overlap, given by their ends on the same bytes: number of the component of each A token and of
+    each B token, in order. All edges are joined at once, the greater root under the smaller one, and paths
+    are halved, until no edge joins two trees."""
     n = len(a_ends)
-    root = list(range(n + len(b_ends)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    i = j = 0
-    while i < n and j < len(b_ends):  # tokens i and j overlap
-        x, y = find(i), find(n + j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-        a, b = a_ends[i], b_ends[j]
-        i += a <= b
-        j += b <= a
-    out, i, j = [], 0, 0
-    while i < n:
-        mine = find(i)
-        while i < n and find(i) == mine:
-            i += 1
-        while j < len(b_ends) and find(n + j) == mine:
-            j += 1
-        out.append((i, j))
-    return out
-
-
-class Unit:
-    """A piece of text, aligned: tokens, groups and links counted, the groups as text, distinct pairs with how many links."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "links")
+    mark = np.zeros(int(a_ends[-1]) + 1 if n else 0, bool)
+    mark[a_ends] = mark[b_ends] = True
+    end = np.flatnonzero(mark)  # what lies before an end and after the last one is in one token of each
+    a, b = np.searchsorted(a_ends, end), n + np.searchsorted(b_ends, end)
+    root = np.arange(n + len(b_ends))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    number = np.cumsum(root[:n] == np.arange(n)) - 1  # a component's root is its first A token
+    return number[root[:n]], number[root[n:]]
+
+
+class Numbered(dict):
+    """Names and their numbers; a new name gets the next one and waits in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.n = 0
+
+    def __missing__(self, name: str) -> int:
+        self[name] = number = self.n
+        self.n += 1
+        self.new.append(name)
+        return number
 
 
 class Aligner:
-    """Aligns texts by two tokenizers' files. unit(text) is None if a tokenizer doesn't give the text's own bytes back.
-    most, longest: units remembered, and the characters of the longest of them."""
+    """Aligns texts by two tokenizers' files. Units are numbered; those of up to ``longest`` characters keep their numbers until
+    there are ``most`` or their pairs have grown to ``most_pairs``."""
 
-    def __init__(self, a_file: str, b_model: bytes, most: int = 150_000, longest: int = 48):
+    def __init__(self, a_file: str, b_model: bytes, most: int = 500_000, longest: int = 48, most_pairs: int = 4_000_000):
         import sentencepiece
 
-        self.a = tokens.Encoder(a_file, plain=100_000, pieces=20_000)
-        if self.a.cut.style != "spaced":
+        cut = tokens.Pieces(a_file)
+        if cut.style != "spaced":
             raise ValueError("A has to be a byte-level BPE file in which a blank belongs to the word after it")
-        self.a.cut.tokenizer.encode_special_tokens = True
+        self.a, self.most, self.longest, self.most_pairs = cut.tokenizer, most, longest, most_pairs
+        self.a.encode_special_tokens = True  # their strings in a text are plain text
         letters = {c: b for b, c in tokens.byte_letters().items()}
-        vocabulary = self.a.cut.tokenizer.get_vocab(with_added_tokens=True)
-        special = self.a.cut.special
-        self.a_bytes = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if t not in special and all(c in letters for c in t)}
+        vocabulary = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [bytes(map(letters.get, t)) if (t := vocabulary.get(i, "")) not in cut.special else b"" for i in range(max(vocabulary) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        self.b_bytes = []
-        for i in range(self.b.vocab_size()):
-            piece = self.b.id_to_piece(i)
-            if "\u2581" in piece.lstrip("\u2581"):
-                raise ValueError("B has a piece that goes on over a blank")
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode())
-        self.longest = longest
-        self.known = tokens.Remembered(self.aligned, most)
-
-    def a_ids(self, text: str) -> list[int]:
-        """Ids of a text whose special tokens' strings are plain text."""
-        if "<|" in text:
-            return self.a.cut.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.frombuffer(self.a.ids(text), "<u4").tolist()
-
-    def unit(self, text: str) -> Unit | None:
-        return self.known[text] if len(text) <= self.longest else self.aligned(text)
-
-    def aligned(self, text: str) -> Unit | None:
-        """text: begins with the blank that B's encoder adds by itself."""
-        a, b = self.a_ids(text), self.b.encode(text[1:])
-        a_bytes, b_bytes, data = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b], text.encode()
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        groups = components(np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist())
-        u = Unit()
-        u.n_a, u.n_b, u.n_groups, u.n_links = len(a), len(b), len(groups), 0
-        said, links = [], Counter()
-        i = j = 0
-        for i2, j2 in groups:
-            xs, ys = a[i:i2], b[j:j2]
-            said.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
-            u.n_links += len(xs) * len(ys)
-            others = Counter(ys).items()
-            for x, nx in Counter(xs).items():
-                for y, ny in others:
-                    links[x << _SHIFT | y] += nx * ny
-            i, j = i2, j2
-        u.groups = ";".join(said).encode()
-        u.pairs, u.links = np.fromiter(links.keys(), "<i8", len(links)).tobytes(), np.fromiter(links.values(), "<i8", len(links)).tobytes()
-        return u
-
-    def document(self, text: str | None) -> tuple[list[Unit], list[tuple[Unit, int]]]:
-        """Units of a text in order, and distinct ones with their number; none for a text without tokens."""
-        if not text:
-            return [], []
-        cut = _CUT.split(f" {text}")
-        names = [cut[0], *(f" {x}" for x in cut[1:])]
-        units = [self.unit(x) for x in names]
-        if None in units:
-            return [], []
-        by_id = {id(u): u for u in units}
-        return units, [(by_id[k], n) for k, n in Counter(map(id, units)).items()]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        if any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in pieces):
+            raise ValueError("B has a piece that goes on over a blank or a line end")
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        signs = "".join(c for c in _SIGNS if not any(re.search(f"[{_LETTERS}]{re.escape(c)}", p) for p in pieces))
+        sign = rf"|(?<=[{_LETTERS}])(?=[{re.escape(signs)}])" if signs else ""
+        self.split = re.compile(rf"(?<={_SOLID})(?=[ \n]{_SOLID}){sign}").split
+        # The same for texts whose only white space is single blanks and line ends between other characters.
+        self.find = re.compile(rf"[ \n]?(?:[^ \n{_LETTERS}]++|[{_LETTERS}]++(?![{re.escape(signs)}]))*+[{_LETTERS}]*+").findall if signs else self.split
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << _SHIFT:
+            raise ValueError("a vocabulary is too large")
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbered()
+        self.slots = np.zeros(0, np.int64)  # where a number's unit stands below; -1 for a unit without tokens
+        self.groups: list[bytes] = []
+        self.sums: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, number of pairs
+        self.pairs: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []
+        self.n_pairs = 0
+
+    def cut(self, text: str) -> list[str]:
+        text = f" {text}"
+        if text[1].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or not tokens.plain(text):
+            return self.split(text)
+        units = self.find(text)
+        if not units[-1]:
+            units.pop()
+        return units
+
+    def _add(self, names: int, a: list[int], b: list[int], sizes: list[int]) -> None:
+        """Adds as many new units, given the tokens of all of them on end and their lengths in bytes."""
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends, ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]), np.cumsum(sizes)
+        of_a, of_b = components(a_ends, b_ends)
+        many = len(of_a) and int(of_a[-1]) + 1
+        n_a, n_b = np.bincount(of_a, minlength=many), np.bincount(of_b, minlength=many)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        unit = np.searchsorted(ends, a_ends[first_a])  # of each component
+        in_unit = np.bincount(unit, minlength=names)
+        total = lambda x: np.bincount(unit, x, names).astype(np.int64)
+        # Every A token meets every B token of its component.
+        times = n_b[of_a]
+        pair = np.repeat(a << _SHIFT, times) | b[np.repeat(first_b[of_a] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+        whose = np.repeat(unit[of_a], times)
+        key = np.sort(whose << _PAIR | pair)
+        pair, whose = key & ((1 << _PAIR) - 1), key >> _PAIR
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+        self.pairs.append(pair[new])
+        self.links.append(np.diff(np.append(new, len(pair))))
+        self.n_pairs += len(new)
+        self.sums.append(np.column_stack([total(n_a), total(n_b), in_unit, total(n_a * n_b), np.bincount(whose[new], minlength=names)]))
+        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        said = [f"{x[i]}|{y[j]}" if p == q == 1 else f"{','.join(x[i : i + p])}|{','.join(y[j : j + q])}" for i, p, j, q in zip(first_a.tolist(), n_a.tolist(), first_b.tolist(), n_b.tolist(), strict=True)]
+        at = 0
+        for k in in_unit.tolist():
+            self.groups.append(";".join(said[at : at + k]).encode())
+            at += k
+
+    def _tokens(self, lead: str, text: str) -> tuple[list[int], list[int]] | None:
+        """The tokens of a text after what leads to it; None if a tokenizer doesn't give its bytes back."""
+        a, b = self.a.encode_batch_fast([lead + text], add_special_tokens=False)[0].ids, self.b.encode((lead + text)[1:])
+        skip = len(lead.encode())
+        for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
+            n = i = 0
+            while n < skip:
+                n += len(known[ids[i]])
+                i += 1
+            del ids[:i]
+            if n > skip or b"".join(map(known.__getitem__, ids)) != text.encode():
+                return None
+        return a, b
+
+    def _learn(self) -> None:
+        """Aligns the units that wait."""
+        names, self.numbers.new = self.numbers.new, []
+        slots = np.full(len(names), -1)
+        regular = [i for i, x in enumerate(names) if len(x) <= self.longest and _REGULAR.fullmatch(x)]
+        some = [names[i] for i in regular]
+        if some and (found := self._tokens(" a", "".join(some))):
+            slots[regular] = len(self.groups) + np.arange(len(some))
+            self._add(len(some), *found, [len(x.encode()) for x in some])
+        for i in np.flatnonzero(slots < 0).tolist():
+            # B's encoder sets a blank before its text; a sign has a letter before it, a line end too.
+            if found := self._tokens("" if names[i][0] == " " else " a", names[i]):
+                slots[i] = len(self.groups)
+                self._add(1, *found, [len(names[i].encode())])
+        self.slots = np.concatenate([self.slots, slots])
+        for x in names:
+            if len(x) > self.longest:  # not kept for later texts
+                del self.numbers[x]
+
+    def documents(self, texts: list[str | None]) -> tuple:
+        """(n_a, n_b, n_groups, n_links, groups, pairs, links) of each text, as columns: pairs are distinct and ascending."""
+        if self.numbers.n > self.most or self.n_pairs > self.most_pairs:
+            self._forget()
+        numbers = [list(map(self.numbers.__getitem__, self.cut(t))) if t else [] for t in texts]
+        if self.numbers.new:
+            self._learn()
+        size = np.array(list(map(len, numbers)), np.int64)
+        unit = self.slots[np.concatenate([np.array(x, np.int64) for x in numbers])]
+        doc = np.repeat(np.arange(len(texts)), size)
+        without = np.zeros(len(texts), bool)
+        without[doc[unit < 0]] = True  # a unit has no tokens, so its text has none
+        size[without] = 0
+        unit, doc = unit[~without[doc]], doc[~without[doc]]
+        groups, at, known = [], 0, unit.tolist()
+        for n in size.tolist():
+            groups.append(hashlib.sha256(b";".join(map(self.groups.__getitem__, known[at : at + n]))).hexdigest() if n else "")
+            at += n
+        for known in (self.sums, self.pairs, self.links):
+            known[:] = [np.concatenate(known)] if known else []
+        if not len(unit):
+            zero, none = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+            return zero, zero, zero, zero, groups, none, none
+        sums = self.sums[0]
+        # A unit's number of times in a document weighs its links.
+        key = np.sort(doc << 32 | unit)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, times = key[new], np.diff(np.append(new, len(key)))
+        doc, unit = key >> 32, key & 0xFFFFFFFF
+        columns = [np.bincount(doc, sums[unit, c] * times, len(texts)).astype(np.int64).tolist() for c in range(4)]
+        many = sums[unit, 4]
+        first = (np.cumsum(sums[:, 4]) - sums[:, 4])[unit]
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        key, link = np.repeat(doc, many) << _PAIR | self.pairs[0][at], self.links[0][at] * np.repeat(times, many)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pair, link = key[new] & ((1 << _PAIR) - 1), np.add.reduceat(link[order], new)
+        edge = np.searchsorted(key[new] >> _PAIR, np.arange(1, len(texts)))
+        return *columns, groups, np.split(pair, edge), np.split(link, edge)
 
 
 @lru_cache(1)
@@ -158,19 +245,15 @@ def aligned(docs: DataFrame, a_file: str, b_model: bytes) -> DataFrame:
         align = aligner(*both.value)
 
         def step(ids, texts):
-            out = ([], [], [], [], [], [], [])
-            for text in texts:
-                units, distinct = align.document(text)
-                pairs = np.frombuffer(b"".join([u.pairs for u, _ in distinct]), "<i8")
-                links = np.frombuffer(b"".join([u.links for u, _ in distinct]), "<i8")
-                links = links * np.repeat([n for _, n in distinct], [len(u.pairs) // 8 for u, _ in distinct])
-                pairs, at = np.unique(pairs, return_inverse=True)
-                links = np.bincount(at, links, len(pairs)).astype(np.int64) if len(pairs) else links
-                sums = [sum(n * getattr(u, c) for u, n in distinct) for c in ("n_a", "n_b", "n_groups", "n_links")]
-                groups = hashlib.sha256(b";".join([u.groups for u in units])).hexdigest() if units else ""
-                for column, x in zip(out, (*sums, groups, pairs, links), strict=True):
-                    column.append(x)
-            return ids, *out
+            parts, at = [], 0
+            while at < len(texts):  # about CHARACTERS at once, but for a longer text
+                end, n = at, 0
+                while end < len(texts) and (n == 0 or n + len(texts[end] or "") <= CHARACTERS):
+                    n += len(texts[end] or "")
+                    end += 1
+                parts.append(align.documents(texts[at:end]))
+                at = end
+            return ids, *([x for part in column for x in part] for column in zip(*parts, strict=True))
 
         return step
 

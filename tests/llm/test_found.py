@@ -244,8 +244,23 @@ def test_alignment(spark, most):
 
 
 def test_components():
-    assert alignment.components([1, 2, 5, 6], [2, 4, 6]) == [(2, 1), (4, 3)]
-    assert alignment.components([3], [1, 2, 3]) == [(1, 3)] and alignment.components([], []) == []
+    number = lambda a, b: [x.tolist() for x in alignment.components(np.array(a, np.int64), np.array(b, np.int64))]
+    assert number([1, 2, 5, 6], [2, 4, 6]) == [[0, 0, 1, 1], [0, 1, 1]]
+    assert number([3], [1, 2, 3]) == [[0], [0, 0, 0]] and number([], []) == [[], []]
+    odd, even = np.arange(1, 4001, 2), np.append(np.arange(2, 4000, 2), 3999)  # one long chain
+    assert {*number(odd, even)[0], *number(odd, even)[1]} == {0, 1} or number(odd, even)[0] == [0] * 2000
+
+
+def test_units_forgotten_and_long():
+    """The same rows whatever is remembered."""
+    pytest.importorskip("public_tokenizers")
+    files = tokens.read_file(queries.vocabulary("byte_bpe_50k.json")), tokens.read_bytes(queries.vocabulary("piece_bpe_32k.model"))
+    texts = [t for _, t in odd_texts()]
+    plain = lambda x: [[y.tolist() if isinstance(y, np.ndarray) else y for y in c] for c in x]
+    whole = plain(alignment.Aligner(*files).documents(texts))
+    small = alignment.Aligner(*files, most=20, longest=6)
+    for i, t in enumerate(texts):
+        assert plain(small.documents([t])) == [[c[i]] for c in whole]
 
 
 def test_found_in_empty_tables(spark):
