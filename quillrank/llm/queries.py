@@ -77,6 +77,10 @@ QUERIES = {f.__name__: f for f in (op1_substring, op2_idfile, op3_jaccard, op4_d
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_ALNUM = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: crc32 of a string of digits, bit by bit.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"
+
 #: SQL for what SQL can express on unique doc_ids; ids of tokenizers, digests, bytes within characters and models are beyond it.
 ORACLES: dict[str, str] = {
     "op1_substring": f"""WITH w AS MATERIALIZED (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS i, len(s) AS n FROM (SELECT doc_id, {_WORDS.format("text")} AS s FROM documents)),
@@ -99,4 +103,29 @@ ORACLES: dict[str, str] = {
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_decontam": f"""WITH d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS MATERIALIZED (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+ win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ grams AS MATERIALIZED (SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win FROM (SELECT d.*, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT size FROM win))),
+ met AS MATERIALIZED (SELECT doc_id, item_id, g.size, i FROM grams g JOIN win USING (size, win)),
+ hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS i FROM (SELECT DISTINCT doc_id, size, i FROM met)) GROUP BY doc_id),
+ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op12_periodic": f"""WITH h AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+ g AS MATERIALIZED (SELECT *, h // 10 AS g, len(w) AS n FROM h),
+ a AS MATERIALIZED (SELECT *, h % 10 = 0 AND n > 0 AS edit, g % greatest(n, 1) AS a FROM g),
+ p AS MATERIALIZED (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+ e AS MATERIALIZED (SELECT doc_id, i - 1 AS i, CASE WHEN edit AND i - 1 >= a THEN w[a + (i - 1 - a) % p + 1] ELSE w[i] END AS word FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM p)),
+ often AS MATERIALIZED (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, word) >= 4),
+ part AS MATERIALIZED (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part FROM often),
+ again AS MATERIALIZED (SELECT * FROM part QUALIFY count(*) OVER (PARTITION BY doc_id, part, word) >= 4),
+ pair AS MATERIALIZED (SELECT x.doc_id, y.i - x.i AS q, x.i FROM again x JOIN again y ON x.doc_id = y.doc_id AND x.part = y.part AND x.word = y.word AND x.i < y.i),
+ island AS MATERIALIZED (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k),
+ long AS MATERIALIZED (SELECT * FROM island WHERE length >= greatest(6, 4 * q)),
+ runs AS MATERIALIZED (SELECT doc_id, start, length, q AS period FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.start <= x.start AND y.start + y.length >= x.start + x.length)),
+ gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+ kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.i = e.i WHERE gone.i IS NULL GROUP BY e.doc_id),
+ said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id),
+ best AS (SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period OR (o.length * r.period = r.length * o.period AND (o.start < r.start OR (o.start = r.start AND o.period < r.period))))))
+ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(s.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+ FROM documents d LEFT JOIN said s USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
 }

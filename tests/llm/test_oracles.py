@@ -8,7 +8,7 @@ import pytest
 from quillrank.llm import queries
 
 D = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings")
+TABLES = ("documents", "embeddings", "benchmark")
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
