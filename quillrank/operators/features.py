@@ -80,18 +80,22 @@ def window_features(pairs: DataFrame, query: str = "q_v", window: str = "v") ->
     return pairs.select("*", (dot(query, window) / (F.sqrt(dot(query, query)) * F.sqrt(dot(window, window)) + 1e-6)).alias("dense_sim"), F.length("text").alias("len"), F.contains(low, F.lit("gemäss")).cast("int").alias("has_gemaess"), F.contains(low, F.lit("vgl")).cast("int").alias("has_vgl"))
 
 
-def vocabulary(docs: DataFrame, most: int = 500) -> DataFrame:
+def _letters3(text: Column) -> Column:
+    return T.tokens(text, T.LETTERS3)
+
+
+def vocabulary(docs: DataFrame, most: int = 500, tokens=_letters3) -> DataFrame:
     """(term, tc, df, weight): tc * ln(N/(df+1)) of terms of more than two letters in more than one document, the
-    ``most`` greatest."""
-    toks = docs.select("doc_id", F.explode(T.tokens(F.col("text"), T.LETTERS3)).alias("term"))
+    ``most`` greatest. tokens: text column -> array of terms."""
+    toks = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
     n = docs.agg(F.count("*").alias("n"))
     g = toks.groupBy("term", "doc_id").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("tc"), F.count("*").alias("df")).where("df > 1")
     return g.crossJoin(F.broadcast(n)).withColumn("weight", F.round(F.col("tc") * F.ln(F.col("n") / (F.col("df") + 1)), S.ROUND)).select("term", "tc", "df", "weight").orderBy(F.desc("weight"), "term").limit(most)
 
 
-def term_frequencies(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def term_frequencies(docs: DataFrame, vocab: DataFrame, tokens=_letters3) -> DataFrame:
     """(doc_id, term, tf): count over the document's length, for terms of the vocabulary."""
-    rows = docs.select("doc_id", T.tokens(F.col("text"), T.LETTERS3).alias("t")).withColumn("n", F.size("t")).select("doc_id", "n", F.explode("t").alias("term"))
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("n", F.size("t")).select("doc_id", "n", F.explode("t").alias("term"))
     return rows.join(vocab.select("term"), "term").groupBy("doc_id", "term", "n").agg(F.count("*").alias("c")).select("doc_id", "term", (F.col("c") / F.col("n")).alias("tf"))
 
 

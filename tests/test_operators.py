@@ -121,3 +121,26 @@ def test_streaming_index(spark, tmp_path):
     q = index.start(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {r["citation"]: r["df"] for r in index.idf(spark, str(tmp_path / "out")).collect()} == {"Art. 1 OR": 2, "Art. 2 OR": 1}
+
+
+def test_keywords_are_those_contained(spark):
+    """The automaton finds what a search for each keyword finds, overlapping and nested ones too."""
+    from quillrank.functions import patterns
+
+    groups = {"a": ["gilt", "ist", "ist nicht", "nicht"], "b": ["NICHT anwendbar", "gilt"], "none": ["zzz"]}
+    texts = ["Das ist nicht anwendbar.", "GILT gilt Gilt", "", None, "nichts", "ist  nicht"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", patterns.keyword_counts(F.col("t"), groups).alias("n")).collect()
+    want = [tuple(sum(w.lower() in (t or "").lower() for w in ws) for ws in groups.values()) for t in texts]
+    assert [tuple(r["n"]) for r in sorted(rows)] == want
+    assert patterns.Keywords({"a": []}).counts("x") == [0]
+
+
+def test_contexts_of_citations(spark):
+    from quillrank.operators import instances
+
+    said = ["Eins.", "Nach Art. 8 ZGB gilt das.", "Drei.", "Art. 8 ZGB und BGE 101 II 3.", "Fünf."]
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(said)], "doc_id int, idx int, sentence string")
+    got = {r["citation"]: r for r in instances.contexts(rows, 1).collect()}
+    one, two = got["Art. 8 ZGB"], got["BGE 101 II 3"]
+    assert (one["before"], one["after"], one["freq"], one["is_isolated"], one["is_art"]) == ("Eins.", "Drei.", 2, 1, 1)
+    assert (two["before"], two["after"], two["idx"], two["is_isolated"], two["n_citations"], two["density"]) == ("Drei.", "Fünf.", 3, 0, 2, 0.4)
