@@ -383,6 +383,18 @@ def learning_to_rank(spark, d):
     return metrics.ranking(ranking.top_n(scored.select("query_id", "citation", "score", "label"), 1 << 30), 20)
 
 
+@query()
+def lambda_rank(spark, d):
+    """Boosted on three folds of queries, stopped on the second, judged on the first, which no tree has seen."""
+    from ..operators import lambdarank
+
+    rows = sampling.group_folds(features.labelled(features.combos(_gen5(spark, d)), B.gold(spark, d))).withColumnRenamed("citation", "id")
+    names = ["freq", "pos", "rerank", "dense", "sparse", "sum_scores", "rel_pos"]
+    model = lambdarank.fit(rows.where("fold > 1"), rows.where("fold = 1"), names, rounds=12, patience=4, depth=3, rate=0.3)
+    scored = model.scored(rows.where("fold = 0")).select("query_id", F.col("id").alias("citation"), F.round("score", 6).alias("score"), "label")
+    return metrics.ranking(ranking.top_n(scored, 1 << 30), 20)
+
+
 @query()
 def balanced_classifier(spark, d):
     from ..operators import ml
