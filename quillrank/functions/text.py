@@ -298,7 +298,10 @@ def german_stem(word: str) -> str:
     """The stem of a lower-case German word by the published Snowball rules."""
     vowels = "aeiouyäöü"
     w = word.replace("ß", "ss")
-    w = "".join(c.upper() if c in "uy" and 0 < i < len(w) - 1 and w[i - 1] in vowels and w[i + 1] in vowels else c for i, c in enumerate(w))
+    marked = ""
+    for c, following in zip(w, w[1:] + " ", strict=True):  # u and y between vowels are none
+        marked += c.upper() if c in "uy" and marked[-1:] in tuple(vowels) and following in vowels else c
+    w = marked
 
     def region(start: int) -> int:
         i = start
@@ -343,14 +346,3 @@ def german_stem(word: str) -> str:
                 w = w[: -len(more)]
     return w.lower().replace("ä", "a").replace("ö", "o").replace("ü", "u")
 
-
-def stemmed(toks: Column) -> Column:
-    """German stems of an array of lower-case words, in Arrow batches; a batch stems each word once."""
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
-    def stems(lists: pd.Series) -> pd.Series:
-        known = {w: german_stem(w) for words in lists if words is not None for w in words}
-        return pd.Series([None if words is None else [known[w] for w in words] for words in lists])
-
-    return stems(toks)

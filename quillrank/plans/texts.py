@@ -247,10 +247,3 @@ def synonym_expand(spark, d):
 
     q = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), "text")
     return synonym_expansion(q, spark.createDataFrame(SYNONYMS, "term string, synonym string")).select("query_id.conv_id", "query_id.turn", "text")
-
-
-@query()
-def stemmed_tokens(spark, d):
-    """German tokens without stop words."""
-    t = T.without_stopwords(T.tokens(F.col("text")), T.german_stopwords())
-    return table(spark, d, "documents").where("lang = 'de'").select("doc_id", F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("distinct"))
