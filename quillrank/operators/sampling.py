@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +144,47 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(n.crossJoin(total).select("label", (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))), "label")
 
 
+def weighted_draws(rows: DataFrame, n: int, id: str = "id", weight: str = "weight", buckets: int = 1024, seed: int = 42) -> DataFrame:
+    """n draws with replacement, each row by its weight: (draw from 0, id). Weights are counted in 2**-20; none, null or
+    negative ones are never drawn. ids are unique.
+
+    All rows lie end to end on a line; a draw is a point on it, by hash. The few rows of more than a bucket's mean weight come
+    first and are looked up; the others lie in their buckets, in which one pass over rows and draws by place settles all.
+    """
+    digits = lambda k, n: F.conv(F.substring(k, 1, n), 16, 10).cast("long")
+    some = rows.select(F.col(id).alias("id"), F.round(F.col(weight) * (1 << 20)).cast("long").alias("w")).where("w > 0").withColumn("bucket", digits(order_key(seed, "id"), 4) % buckets)
+    total = some.agg(F.sum("w")).first()[0] or 0
+    spark = rows.sparkSession
+    if not total:
+        return some.select(F.lit(0).cast("long").alias("draw"), F.col("id").alias(id)).limit(0)
+    heavy = some.where(F.col("w") * buckets > total).orderBy("id").select("id", "w").collect()  # fewer than buckets
+    light = some.where(F.col("w") * buckets <= total)
+    sums = {r["bucket"]: r["w"] for r in light.groupBy("bucket").agg(F.sum("w").alias("w")).collect()}  # at most buckets
+    heavy_ends = np.cumsum([r["w"] for r in heavy], dtype=np.int64)
+    names = sorted(sums)
+    ends = (int(heavy_ends[-1]) if heavy else 0) + np.cumsum([sums[b] for b in names], dtype=np.int64)
+
+    @F.pandas_udf("struct<heavy: long, bucket: long, place: long>")
+    def where(points: pd.Series) -> pd.DataFrame:
+        p = points.to_numpy(np.int64)
+        i, j = np.searchsorted(heavy_ends, p, side="right"), np.searchsorted(ends, p, side="right")
+        is_heavy = i < len(heavy_ends)
+        low = np.concatenate([[heavy_ends[-1] if len(heavy_ends) else 0], ends])
+        return pd.DataFrame({"heavy": np.where(is_heavy, i, -1), "bucket": np.where(is_heavy, -1, np.array([*names, -1])[j]), "place": p - low[np.minimum(j, len(low) - 1)]})
+
+    point = F.floor(digits(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), F.col("draw").cast("string"))), 13) / float(1 << 52) * float(total)).cast("long")
+    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("at", where(point)).select("draw", "at.*")
+    kind = dict(some.dtypes)["id"]
+    told = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(heavy)], f"heavy long, id {kind}")
+    first = draws.where("heavy >= 0").join(F.broadcast(told), "heavy").select("draw", "id")
+    start = F.sum("w").over(Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    lines = light.select("bucket", F.coalesce(start, F.lit(0)).alias("place"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), "id")
+    points = draws.where("heavy < 0").select("bucket", "place", F.lit(1).alias("kind"), "draw", F.lit(None).cast(kind).alias("id"))
+    last = F.last("id", ignorenulls=True).over(Window.partitionBy("bucket").orderBy("place", "kind", "draw").rowsBetween(Window.unboundedPreceding, 0))
+    others = lines.unionByName(points).withColumn("id", last).where("draw is not null").select("draw", "id")
+    return first.unionByName(others).withColumnRenamed("id", id)
+
+
 def of_split(records: DataFrame, pairs: DataFrame, id: str = "query_id") -> DataFrame:
     """The records whose id some pair has."""
     return records.join(pairs.select(id).distinct(), id, "left_semi")

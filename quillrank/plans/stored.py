@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import csv_split, shared
-from .base import query
+from ..functions import text as T
+from ..sources import cache, csv_split, shared
+from .base import query, table
 from .retrieval import _docs
+from .texts import WORDS
 
 
 @query("SELECT doc_id, length(text) AS n, sha256(text) AS sha256 FROM documents")
@@ -16,3 +18,17 @@ def csv_split_scan(spark, d):
     _docs(spark, d).write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     got = csv_split.read_csv(spark, path, ["doc_id", "text"])
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, round(coalesce(len(list_distinct(w)) / nullif(len(w), 0), 0), 6) AS score FROM (SELECT doc_id, " + WORDS.format("text") + " AS w FROM documents)")
+def cached_scores(spark, d):
+    """English documents are scored first; all others are, when all are asked for."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    kept = cache.Cache(spark, shared.new_path(spark, "scores"), "share of different words, 1")
+
+    def score(rows):
+        w = T.words(F.col("text"))
+        return rows.select("key", F.coalesce(F.try_divide(F.size(F.array_distinct(w)), F.size(w)), F.lit(0.0)).alias("value"))
+
+    kept.fill(docs.where("lang = 'en'"), ["text"], score)
+    return kept.scored(docs, ["text"], score).select("doc_id", "score")
