@@ -85,7 +85,8 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int = 40_000_000, held_out: bool = True, per_class: bool = False) -> tuple[list[str], list[int]]:
     """A bounded training sample: of the labelled documents in order of a hash of doc_id (of each class, if per_class) the
-    first ``rows``, of ``chars`` characters together at most. Null labels, and documents whose labels differ, give
+    first ``rows``, of ``chars`` characters together at most. A text of more than a twentieth of the characters takes no part,
+    so that no text costs others their place and there are twenty at least, if so many are labelled. Null labels, and documents whose labels differ, give
     none; rows whose crc32(doc_id as text) mod 5 is 0 are left out with held_out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label is not null and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
@@ -99,7 +100,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int
     for c in classes:
         some = own.where(c).orderBy(key, "doc_id").limit(2 * rows // len(classes))
         chosen = some if chosen is None else chosen.unionByName(some)
-    got = texts.join(F.broadcast(chosen), "doc_id").where("text is not null")
+    got = texts.where(F.length("text") <= chars // len(classes) // 20).join(F.broadcast(chosen), "doc_id")
     got = got.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     parts = []
     for c in classes:

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from quillrank.llm import bpe, packing, tokens, toxicity
+from quillrank.llm import bpe, packing, quality, tokens, toxicity
 from quillrank.llm.queries import vocabulary
 
 
@@ -43,3 +43,16 @@ def test_full_pieces_keep_to_the_cost(spark):
     cost = (out.length**2).groupby(out.sequence_id).sum()
     assert cost.max() <= 2600 and out.length.groupby(out.sequence_id).sum().max() <= 100
     assert out.length.sum() == packing.pack_documents(docs, file, 2, capacity=100).toPandas().length.sum()
+
+
+def test_a_long_text_costs_itself_only(spark):
+    """Of fifty labelled texts the first by hash is longer than all characters of the sample."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(1, 200).where(F.crc32(F.col("id").cast("string")) % 5 != 0).orderBy(F.xxhash64(F.col("id"), F.lit(11))).limit(50)
+    order = [r["id"] for r in ids.collect()]
+    docs = spark.createDataFrame([(i, "long " * 2000 if i == order[0] else f"text {i}") for i in order], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in order], "doc_id long, quality int")
+    for per_class in (False, True):
+        texts, _ = quality.sample(docs, labels, "quality", 100, chars=8000, per_class=per_class)
+        assert sorted(texts) == sorted(f"text {i}" for i in order[1:])
