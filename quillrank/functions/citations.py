@@ -30,7 +30,7 @@ FAMILIES = ("art", "sr", "bge")
 def pattern(family: str, dialect: str = "loose") -> str:
     own = {"sr": SR, "bge": BGE} | ({"art": ART[dialect]} if dialect != "wide" else WIDE)
     body = rf"\b(?:{own[family]})\b" if dialect in BOUNDED else own[family]
-    return f"(?i){body}" if dialect in ANY_CASE else body
+    return f"(?iU){body}" if dialect in ANY_CASE else f"(?U){body}"  # U: no-break spaces are white space too
 
 
 def found(text: Column, family: str, dialect: str = "loose") -> Column:
@@ -73,21 +73,21 @@ def extract_spans(text: Column, dialect: str = "strict") -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
 
 
 #: Article first, number first, decisions by volume, decisions by docket; the groups of the first are article,
 #: paragraph, letter, number, law, those of the second law, article, paragraph, letter, number.
-ARTICLE_FIRST = r"(?i)Art\.?\s*(\d+[a-zA-Z]?)(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?\s*([A-Z]{2,}|\d{3}(?:\.\d+)?)"
-NUMBER_FIRST = r"(?i)SR\s*(\d{3}(?:\.\d+)?)(?:\s+Art\.?\s*(\d+[a-zA-Z]?))?(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?"
-DECISION = r"(?i)^BGE\s*\d+\s*[I]{1,3}\s*\d+(?:\s*E\.?\s*\d+(?:\.\d+)*)?"
-DOCKET = r"(?i)^\b\d+[A-Z]_?\d+/\d+\s+E\.?\s*\d+(?:\.\d+)*\b"
+ARTICLE_FIRST = r"(?iU)Art\.?\s*(\d+[a-zA-Z]?)(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?\s*([A-Z]{2,}|\d{3}(?:\.\d+)?)"
+NUMBER_FIRST = r"(?iU)SR\s*(\d{3}(?:\.\d+)?)(?:\s+Art\.?\s*(\d+[a-zA-Z]?))?(?:\s*Abs\.?\s*(\d+))?(?:\s*lit\.?\s*([a-z]))?(?:\s*Ziff\.?\s*(\d+))?"
+DECISION = r"(?iU)^BGE\s*\d+\s*[I]{1,3}\s*\d+(?:\s*E\.?\s*\d+(?:\.\d+)*)?"
+DOCKET = r"(?iU)^\b\d+[A-Z]_?\d+/\d+\s+E\.?\s*\d+(?:\.\d+)*\b"
 
 
 def parse(citation: Column) -> Column:
     """struct(kind, art, abs, lit, ziff, law, raw): kind "law", "bge" or "docket", tried in this order, an article before a
     number; null if it is none."""
-    c = F.regexp_replace(citation, r"^\s+|\s+$", "")
+    c = F.regexp_replace(citation, r"(?U)^\s+|\s+$", "")
     names = ("art", "abs", "lit", "ziff", "law")
 
     def law(rx: str, groups: tuple[int, ...]) -> Column:
@@ -115,7 +115,7 @@ def is_sr(law: Column) -> Column:
 
 
 def type_flags(citation: Column) -> dict[str, Column]:
-    return {"is_bge": citation.rlike(r"(?i)^BGE\s+\d"), "is_art": citation.rlike(r"(?i)^Art\.?\s*\d"), "is_sr": citation.rlike(r"(?i)^SR\s*\d")}
+    return {"is_bge": citation.rlike(r"(?iU)^BGE\s+\d"), "is_art": citation.rlike(r"(?iU)^Art\.?\s*\d"), "is_sr": citation.rlike(r"(?iU)^SR\s*\d")}
 
 
 def _longest_first(citations: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WORD2 = r"[\p{L}\p{N}_]{2,}"
 LETTERS3 = r"\p{L}{3,}"
-SENTENCE_END = r"(?<=[.!?])\s+"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
 def let(value: Column, body) -> Column:
@@ -65,7 +65,7 @@ ABBREVIATIONS = ("Abs", "Art", "E", "Nr", "Ziff", "bzw", "ca", "etc", "usw", "vg
 def abbreviation_sentences(text: Column) -> Column:
     """Split after . ! ? before a capital or a digit, but not after an abbreviation."""
     guarded = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<![\p{{L}}])({'|'.join(ABBREVIATIONS)})\.", "$1\x01")
-    parts = F.split(guarded, r"(?<=[.!?])\s+(?=[A-ZÄÖÜ0-9])")
+    parts = F.split(guarded, r"(?U)(?<=[.!?])\s+(?=[A-ZÄÖÜ0-9])")
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\x01"), F.lit(".")))), lambda s: s != "")
 
 

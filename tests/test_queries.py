@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillrank.plans import base, generations, graph, indexes, mining, more, retrieval, stored, texts  # noqa: F401
+from quillrank.plans import base, generations, graph, indexes, mining, more, recall, retrieval, stored, texts  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

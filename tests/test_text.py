@@ -54,3 +54,20 @@ def test_windows_and_lists(spark):
     assert one(spark, "1. eins\n2. zwei\nkein", T.numbered_list) == ["eins", "zwei"]
     assert one(spark, list("abcabd"), lambda c: T.token_window(c, F.array(F.lit("a"), F.lit("b"), F.lit("d")), 2), "array<string>") == "c a b d"
     assert one(spark, ["aa", "bb", "cc"], lambda c: T.packed(c, 5), "array<string>") == ["aa bb", "cc"]
+
+
+def test_no_break_spaces(spark):
+    """Court texts set them between an abbreviation and its number."""
+    from pyspark.sql import functions as F
+
+    from quillrank.functions import citations as C
+    from quillrank.functions import text as T
+
+    b = "\u00a0"
+    text = f"Gem\u00e4ss Art.{b}41{b}OR gilt das.{b}Siehe BGE{b}145{b}II\u202f32 E.{b}3 und SR{b}220 Art.{b}47."
+    row = spark.createDataFrame([(text,)], "t string").select(
+        C.extract(F.col("t")).alias("all"), C.extract(F.col("t"), "classifier").alias("bounded"), T.sentences(F.col("t")).alias("s"),
+        C.normal(C.parse(F.lit(f"Art.{b}41{b}Abs.{b}2{b}OR"))).alias("n"), C.collapse(F.lit(f"{b}a{b} b")).alias("c"), C.type_flags(F.lit(f"BGE{b}145"))["is_bge"].alias("bge"),
+    ).first()
+    assert row["all"] == sorted([f"Art.{b}41{b}OR", f"BGE{b}145{b}II\u202f32 E.{b}3", f"SR{b}220 Art.{b}47"]) and f"Art.{b}41{b}OR" in row["bounded"]
+    assert len(row["s"]) == 5 and row["n"] == "Art. 41 Abs. 2 OR" and row["c"] == "a b" and row["bge"]
