@@ -132,7 +132,13 @@ def pre_post_context(spark, d):
     return s.where(F.size("s") > 0).select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("no")).select("doc_id", "no", b.alias("before"), a.alias("after"))
 
 
-@query()
+_PIECES = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+|[^\\s]')"
+
+
+@query(
+    with_(LEGAL, FOUND, f"tk AS (SELECT doc_id, {_PIECES.format('text')} AS t, unnest(found) AS citation FROM fd)", f"tc AS (SELECT *, {_PIECES.format('citation')} AS c FROM tk)", "ta AS (SELECT *, list_min(list_filter(range(1, len(t) - len(c) + 2), lambda i: t[i:i + len(c) - 1] = c)) AS p FROM tc)")
+    + "SELECT DISTINCT doc_id, citation, size, array_to_string(t[greatest(p - size // 2, 1):p + len(c) - 1 + size // 2], ' ') AS \"window\" FROM ta CROSS JOIN (VALUES (8), (16)) v(size)"
+)
 def token_window(spark, d):
     toks = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\s]"), F.lit(0))
     c = _legal(spark, d).select("doc_id", toks(F.col("text")).alias("t"), F.explode(C.extract(F.col("text"))).alias("citation"))
