@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import cache, csv_split, shared
+from ..sources import cache, csv_split, shared, vectors
 from .base import query, table
 from .retrieval import _docs
 from .texts import WORDS
@@ -32,3 +32,14 @@ def cached_scores(spark, d):
 
     kept.fill(docs.where("lang = 'en'"), ["text"], score)
     return kept.scored(docs, ["text"], score).select("doc_id", "score")
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, vec_id % 97 AS parent_id, len(embedding) AS n, round(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding]), 6) AS square, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings")
+def vector_shards(spark, d):
+    """Embeddings as numbered matrices of 256 rows with parents and metadata beside them, read back."""
+    path = shared.new_path(spark, "shards")
+    rows = table(spark, d, "embeddings").withColumn("parent_id", F.col("vec_id") % 97)
+    vectors.write(rows, path, ["vec_id"], "embedding", "parent_id", ["vec_id", "label"], size=256)
+    got = vectors.read(spark, path, parents=True, meta="vec_id BIGINT, label INT")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return got.select("row", "vec_id", "label", "parent_id", F.size("v").alias("n"), square.alias("square"), F.element_at("v", 1).cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
