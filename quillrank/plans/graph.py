@@ -395,6 +395,23 @@ def lambda_rank(spark, d):
     return metrics.ranking(ranking.top_n(scored, 1 << 30), 20)
 
 
+@query()
+def lambda_rank_search(spark, d):
+    """Thirty trials on three folds of queries, compared on the second; the best one's model is judged on the first, which no
+    trial has seen."""
+    from ..operators import lambdarank, trials
+
+    rows = sampling.group_folds(features.labelled(features.combos(_gen5(spark, d)), B.gold(spark, d))).withColumnRenamed("citation", "id")
+    names = ["freq", "pos", "rerank", "dense", "sparse", "sum_scores", "rel_pos"]
+    model, records = trials.search(rows.where("fold > 1"), rows.where("fold = 1"), names, trials.drawn(30), rounds=2, final=8, patience=3)
+    unseen = rows.where("fold = 0")
+    held_out = lambdarank.ndcg(model.scored(unseen), lambdarank.ideal(unseen, 20), 20)
+    order = ["rung", "trial", "rate", "depth", "least", "l2", "top", "share", "ndcg", "kept"]
+    listed = spark.createDataFrame([tuple(r[k] for k in order) for r in records], "rung int, trial int, rate double, depth int, least int, l2 double, top int, share double, ndcg double, kept boolean")
+    last = max(r["rung"] for r in records)
+    return listed.withColumn("held_out", F.when(F.col("kept") & (F.col("rung") == last), F.lit(held_out)))
+
+
 @query()
 def balanced_classifier(spark, d):
     from ..operators import ml
