@@ -406,8 +406,8 @@ def lambda_rank_search(spark, d):
     model, records = trials.search(rows.where("fold > 1"), rows.where("fold = 1"), names, trials.drawn(30), rounds=2, final=8, patience=3)
     unseen = rows.where("fold = 0")
     held_out = lambdarank.ndcg(model.scored(unseen), lambdarank.ideal(unseen, 20), 20)
-    order = ["rung", "trial", "rate", "depth", "least", "l2", "top", "share", "ndcg", "kept"]
-    listed = spark.createDataFrame([tuple(r[k] for k in order) for r in records], "rung int, trial int, rate double, depth int, least int, l2 double, top int, share double, ndcg double, kept boolean")
+    order = ["rung", "parts", "trial", "rate", "depth", "least", "l2", "top", "share", "ndcg", "kept"]
+    listed = spark.createDataFrame([tuple(r[k] for k in order) for r in records], "rung int, parts int, trial int, rate double, depth int, least int, l2 double, top int, share double, ndcg double, kept boolean")
     last = max(r["rung"] for r in records)
     return listed.withColumn("held_out", F.when(F.col("kept") & (F.col("rung") == last), F.lit(held_out)))
 
