@@ -143,17 +143,44 @@ def nearest(candidates: Column, wanted: Column) -> Column:
     return F.array_min(F.transform(candidates, lambda i: F.struct(F.abs(i - wanted).alias("d"), i.alias("i"))))["i"]
 
 
+#: Stands between tokens that are searched as one string.
+_BETWEEN = "\x1f"
+
+
 def token_window(toks: Column, needle: Column, size: int) -> Column:
     """size // 2 tokens on either side of the first place where the tokens ``needle`` stand; null without one."""
     return let(F.struct(toks.alias("t"), needle.alias("n")), lambda x: _token_window(x["t"], x["n"], size))
 
 
 def _token_window(toks: Column, needle: Column, size: int) -> Column:
+    """Tokens are joined and the place is sought as a string, with a sign on both sides of each token; arrays in which that sign
+    or a null stands are compared slice by slice."""
+    odd = lambda a: F.contains(F.array_join(a, ""), F.lit(_BETWEEN)) | F.exists(a, lambda x: x.isNull())
+    text = F.concat(F.lit(_BETWEEN), F.array_join(toks, _BETWEEN), F.lit(_BETWEEN))
+    sought = F.concat(F.lit(_BETWEEN), F.array_join(needle, _BETWEEN), F.lit(_BETWEEN))
+    at = F.call_function("locate", sought, text)
+
+    def cut(x: Column) -> Column:
+        before = F.substring(x["text"], F.lit(1), x["at"])
+        after = F.substring(x["text"], x["at"] + F.length(x["sought"]) - 1, F.length(x["text"]))
+        # One sign more than tokens, on the side of the needle; where there are fewer, the outermost sign is no token's.
+        left = F.substring_index(before, _BETWEEN, -(size // 2 + 1))
+        right = F.substring_index(after, _BETWEEN, size // 2 + 1)
+        middle = F.substring(x["sought"], F.lit(2), F.length(x["sought"]) - 2)
+        left = F.when(left == before, F.substring(left, 2, 1 << 30)).otherwise(left)
+        right = F.when(right == after, F.substring(right, F.lit(1), F.length(right) - 1)).otherwise(right)
+        return F.when(x["at"] > 0, F.translate(F.concat(left, middle, right), _BETWEEN, " "))
+
+    fast = let(F.struct(text.alias("text"), sought.alias("sought"), at.alias("at")), cut)
+    return F.when((F.size(needle) > 0) & (F.size(toks) > 0), F.when(odd(toks) | odd(needle), _slice_window(toks, needle, size)).otherwise(fast))
+
+
+def _slice_window(toks: Column, needle: Column, size: int) -> Column:
     k = F.size(needle)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(toks) - k, F.lit(0))), lambda i: F.slice(toks, i + 1, k) == needle)
     at = F.get(starts, F.lit(0))
     first = F.greatest(at - size // 2, F.lit(0))
-    return F.when(k > 0, F.array_join(F.slice(toks, first + 1, at + k + size // 2 - first), " "))
+    return F.array_join(F.slice(toks, first + 1, at + k + size // 2 - first), " ")
 
 
 def leading_facts(items: Column, has_citation: Column) -> Column:

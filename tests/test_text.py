@@ -71,3 +71,31 @@ def test_no_break_spaces(spark):
     ).first()
     assert row["all"] == sorted([f"Art.{b}41{b}OR", f"BGE{b}145{b}II\u202f32 E.{b}3", f"SR{b}220 Art.{b}47"]) and f"Art.{b}41{b}OR" in row["bounded"]
     assert len(row["s"]) == 5 and row["n"] == "Art. 41 Abs. 2 OR" and row["c"] == "a b" and row["bge"]
+
+
+def test_token_window_of_long_texts(spark):
+    """The place is found in one pass over the tokens: in less than half of the time of comparing a slice at every place."""
+    import time
+
+    long = spark.range(300).select("id", F.concat(F.transform(F.sequence(F.lit(0), F.lit(30000)), lambda i: (i % 7).cast("string")), F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("z"), F.col("id")))).alias("t")).localCheckpoint()
+
+    def took(window):
+        began = time.time()
+        got = {r[0] for r in long.select(window(F.col("t"), F.array(F.lit("x"), F.lit("y")), 4).alias("w")).collect()}
+        assert got == {f"4 5 x y z{i}" for i in range(300)}
+        return time.time() - began
+
+    def slices(t, n, size):
+        at = lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.slice(x, i + 1, 2) == n), F.lit(0))
+        return T.let(t, lambda x: F.array_join(F.slice(x, at(x) - 1, 6), " "))
+
+    took(T.token_window)
+    assert took(T.token_window) < took(slices) / 2
+
+
+def test_token_window_of_odd_tokens(spark):
+    kind = "array<string>"
+    window = lambda needle: lambda c: T.token_window(c, F.array(*[F.lit(x) for x in needle]), 2)
+    assert one(spark, ["", "a", "", "b"], window(["a"]), kind) == " a "
+    assert one(spark, ["a\x1fb", "a", "b"], window(["b"]), kind) == "a b" and one(spark, ["aa", "a"], window(["a"]), kind) == "aa a"
+    assert one(spark, [], window([""]), kind) is None and one(spark, ["a"], window(["b"]), kind) is None and one(spark, ["x", None, "b", "c"], window(["b"]), kind) == "b c"
