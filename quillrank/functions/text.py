@@ -155,7 +155,7 @@ def token_window(toks: Column, needle: Column, size: int) -> Column:
 def _token_window(toks: Column, needle: Column, size: int) -> Column:
     """Tokens are joined and the place is sought as a string, with a sign on both sides of each token; arrays in which that sign
     or a null stands are compared slice by slice."""
-    odd = lambda a: F.contains(F.array_join(a, ""), F.lit(_BETWEEN)) | F.exists(a, lambda x: x.isNull())
+    odd = lambda a: F.contains(F.array_join(a, "", _BETWEEN), F.lit(_BETWEEN))
     text = F.concat(F.lit(_BETWEEN), F.array_join(toks, _BETWEEN), F.lit(_BETWEEN))
     sought = F.concat(F.lit(_BETWEEN), F.array_join(needle, _BETWEEN), F.lit(_BETWEEN))
     at = F.call_function("locate", sought, text)

@@ -77,17 +77,18 @@ def test_token_window_of_long_texts(spark):
     """The place is found in one pass over the tokens: in less than half of the time of comparing a slice at every place."""
     import time
 
-    long = spark.range(300).select("id", F.concat(F.transform(F.sequence(F.lit(0), F.lit(30000)), lambda i: (i % 7).cast("string")), F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("z"), F.col("id")))).alias("t")).localCheckpoint()
+    words = [chr(ord("a") + i) for i in range(20)]
+    needle = F.array(*[F.lit(x) for x in words])
+    long = spark.range(200).select(F.concat(F.transform(F.sequence(F.lit(0), F.lit(20000)), lambda i: (i % 7).cast("string")), needle, F.array(F.concat(F.lit("z"), F.col("id")))).alias("t")).localCheckpoint()
 
     def took(window):
         began = time.time()
-        got = {r[0] for r in long.select(window(F.col("t"), F.array(F.lit("x"), F.lit("y")), 4).alias("w")).collect()}
-        assert got == {f"4 5 x y z{i}" for i in range(300)}
+        assert {r[0] for r in long.select(window(F.col("t"), needle, 4).alias("w")).collect()} == {f"0 1 {' '.join(words)} z{i}" for i in range(200)}
         return time.time() - began
 
     def slices(t, n, size):
-        at = lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.slice(x, i + 1, 2) == n), F.lit(0))
-        return T.let(t, lambda x: F.array_join(F.slice(x, at(x) - 1, 6), " "))
+        at = lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(x) - 20), lambda i: F.slice(x, i + 1, 20) == n), F.lit(0))
+        return T.let(t, lambda x: T.let(at(x), lambda a: F.array_join(F.slice(x, a - 1, 24), " ")))
 
     took(T.token_window)
     assert took(T.token_window) < took(slices) / 2
