@@ -35,7 +35,7 @@ def context_recall(spark, d):
     half = F.floor(F.length("text") / 2).cast("int")
     whole = _queries(spark, d).withColumn("query", T.with_context(F.substr("text", F.lit(1), half), F.substr("text", half + 1)))
     context, _ = T.split_context(F.col("query"))
-    top = retrieval.top_k(retrieval.bm25(whole.select("query_id", context.alias("text")), _docs(spark, d)).withColumn("score", F.round("score", 6)), 100)
+    top = retrieval.bm25_top(whole.select("query_id", context.alias("text")), _docs(spark, d), 100)
     gold = retrieval.containing(_docs(spark, d), _queries(spark, d))
     n = gold.groupBy("query_id").agg(F.count("*").alias("n")).join(gold.join(top, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left").na.fill(0, ["found"])
     return n.withColumn("recall", F.col("found") / F.col("n"))
