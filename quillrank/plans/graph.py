@@ -367,7 +367,7 @@ def group_sizes(spark, d):
 def run_length_max(spark, d):
     from ..operators.fusion import with_rank
 
-    j = with_rank(B.hits(spark, d)).join(B.edge(spark, d), "doc_id").select("query_id", (F.col("citation") % 7).alias("id"), "score", ((F.col("rank") * 10 + F.col("pos")) * 100000 + F.col("citation")).alias("o"), F.col("citation").alias("v"))
+    j = with_rank(B.hits(spark, d)).join(B.edge(spark, d), "doc_id").select("query_id", (F.col("citation") % 7).alias("id"), "score", ((F.col("rank").cast("long") * 10 + F.col("pos")) * 100000 + F.col("citation")).alias("o"), F.col("citation").alias("v"))
     return citations.run_max(j, "o", "id", "score", "v")
 
 

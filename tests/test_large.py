@@ -1,9 +1,25 @@
 """What only shows on larger tables, on small ones made for it."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillrank.operators import retrieval
+from quillrank.plans import base, graph  # noqa: F401
+
+
+def test_run_lengths_beyond_rank_2147(spark, tmp_path):
+    n = 2500
+    pd.DataFrame({"o_orderkey": range(n), "o_custkey": 7, "o_totalprice": [float(n - i) for i in range(n)]}).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame({"l_orderkey": range(n), "l_partkey": [i // 3 for i in range(n)], "l_linenumber": np.ones(n, np.int32), "l_extendedprice": 1.0}).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = base.QUERIES["run_length_max"](spark, str(tmp_path)).toPandas()
+    want = con.sql(base.ORACLES["run_length_max"]).df()[list(got.columns)]
+    rows = lambda df: sorted(map(tuple, df.itertuples(index=False)))
+    assert rows(got) == rows(want)
 
 
 def test_best_keeps_few_rows_and_all_ties_by_id():
