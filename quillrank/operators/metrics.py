@@ -127,12 +127,35 @@ def recall_filter(predicted: DataFrame, gold: DataFrame, least: float = 0.5) ->
     return marked.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall")).where(F.col("recall") >= least)
 
 
+#: Characters of a citation's beginning that find it in texts; each has the greatest of these that it is as long as.
+KEY_LENGTHS = (8, 12, 16, 20)
+#: Different beginnings of four characters up to which a text is sought for them alone.
+FEW_BEGINNINGS = 200
+
+
 def containment(docs: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, docs, with_gold, containments): documents of a query, those whose text contains a gold citation of it, and
-    pairs of both. docs (query_id, doc_id, text), gold (query_id, citation). An equi-join on the query; only (document,
-    citation) pairs of one query meet."""
-    g = gold.select("query_id", "citation").distinct()
-    found = docs.join(g, "query_id").where(F.contains("text", "citation")).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    pairs of both. docs (query_id, doc_id, text), gold (query_id, citation). What follows in a text where a citation may begin
+    meets the query's citations that begin alike; only citations shorter than any key meet all of the query's texts."""
+    least = KEY_LENGTHS[0]
+    g = gold.select("query_id", "citation").where("citation is not null").distinct()
+    keyed = g.where(F.length("citation") >= least)
+    starts = [r[0] for r in keyed.select(F.substring("citation", 1, 4)).distinct().limit(FEW_BEGINNINGS + 1).collect()]
+    longest = keyed.agg(F.max(F.length("citation"))).first()[0] or least
+    quoted = lambda t: "".join(c if c.isalnum() or c == " " else rf"\x{{{ord(c):x}}}" for c in t)
+    some = f"(?:{'|'.join(map(quoted, starts))})" if len(starts) <= FEW_BEGINNINGS else ".{4}"
+    at = F.regexp_extract_all("text", F.lit(rf"(?s)(?=({some}.{{{least - 4},{longest - 4}}}))"), F.lit(1))
+    places = docs.select("query_id", "doc_id", F.explode(F.array_distinct(at)).alias("s"))
+    places = places.select("*", F.explode(F.array(*[F.lit(n) for n in KEY_LENGTHS])).alias("n")).where(F.length("s") >= F.col("n"))
+    size = F.lit(least)
+    for n in KEY_LENGTHS[1:]:
+        size = F.when(F.length("citation") >= n, n).otherwise(size)
+    begin = lambda c, n: F.substring(F.col(c), F.lit(1), n)
+    keys = keyed.withColumn("n", size).select("query_id", "citation", "n", begin("citation", F.col("n")).alias("key"))
+    pairs = places.withColumn("key", begin("s", F.col("n"))).join(keys, ["query_id", "n", "key"]).where(F.startswith("s", "citation"))
+    short = docs.join(g.where(F.length("citation") < least), "query_id").where(F.contains("text", "citation"))
+    pairs = pairs.select("query_id", "doc_id", "citation").distinct().unionByName(short.select("query_id", "doc_id", "citation"))
+    found = pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
     rows = docs.select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left")
     return rows.groupBy("query_id").agg(F.count("*").alias("docs"), F.count("n").alias("with_gold"), F.coalesce(F.sum("n"), F.lit(0)).alias("containments"))
 

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillrank.operators import retrieval
+from quillrank.operators import metrics, retrieval
 from quillrank.plans import base, graph  # noqa: F401
 
 
@@ -64,3 +64,18 @@ def test_dense_search_in_blocks_of_named_queries(spark):
     got = sorted((x["query_id"]["a"], x["rank"], x["doc_id"]) for x in retrieval.dense_search(asked, docs, 5, block=4).collect())
     m = np.array(v)
     assert got == sorted((i, k + 1, int(d)) for i in range(11) for k, d in enumerate(np.lexsort((np.arange(90), -(m @ m[i])))[:5]))
+
+
+def test_containment_meets_citations_by_their_beginnings(spark):
+    texts = ["Nach Art. 12 ZGB und BGE 120 II 150.", "smart. 5 OR gilt", "SR 220 SR 220 Art. 4", "BGE 120 II 15 E. 3 BGE 120 II 15", "", None, "Art. 12 ZGArt. 12 ZGB\nx"]
+    gold = ["Art. 12 ZGB", "art. 5 OR", "SR 220", "SR 220 Art. 4", "BGE 120 II 15", "BGE 120 II 15 E. 3", "(nur) dies?", "", "Art. 12 ZGB\nx"]
+    docs = spark.createDataFrame([(q, i, t) for q in (1, 2) for i, t in enumerate(texts)], "query_id int, doc_id int, text string")
+    g = spark.createDataFrame([(q, c) for q in (1, 2) for c in gold[q - 1 :]] * 2 + [(1, None)], "query_id int, citation string")
+    want = set()
+    for q in (1, 2):
+        n = [sum(c in t for c in gold[q - 1 :]) for t in texts if t is not None]
+        want.add((q, len(texts), sum(x > 0 for x in n), sum(n)))
+    assert set(map(tuple, metrics.containment(docs, g).collect())) == want
+    # No text meets a citation that doesn't begin in it.
+    plan = metrics.containment(docs, g.where("length(citation) >= 8"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" in plan
