@@ -1,5 +1,8 @@
 """Rows that become many more are made where they are read, and aren't shuffled."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillrank.operators import retrieval
 
 
@@ -17,3 +20,21 @@ def test_members_of_clusters(spark):
     twice = clusters.unionByName(spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "doc_id long, cluster long"))
     assert sorted(map(tuple, retrieval.members(chosen, twice).collect())) == sorted(want | {(7, 2), (8, 0), (8, 2)})
     assert retrieval.members(chosen.where("query_id = 0"), clusters).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rows = [(i, i % 2, [((i * 7 + j * 3) % 11) / 3.0 for j in range(4)]) for i in range(12)] + [(12, None, [1.0] * 4), (13, 1, None), (14, 0, [1.0, None, 0.0, 1.0])]
+    return spark.createDataFrame(rows, "id long, label long, v array<float>")
+
+
+def test_late_interaction_within_groups(spark, vectors):
+    q, d = vectors.where("id % 3 = 1").withColumnRenamed("id", "query_id"), vectors.withColumnRenamed("id", "doc_id")
+    got = retrieval.scored_within(q, d, "label", retrieval.late(2), block=2)
+    cut = F.array(F.slice("v", 1, 2), F.slice("v", 3, 2)).alias("vectors")
+    pairs = q.select("query_id", "label").join(d.where("doc_id < 13").select("doc_id", "label", cut), "label").where("query_id != doc_id").drop("label")
+    want = {(r[0], r[1]): r[2] for r in retrieval.max_sim(q.where("v is not null").select("query_id", cut), pairs).collect()}
+    rows = {(r["query_id"], r["doc_id"]): r["score"] for r in got.collect()}
+    assert {k: s for k, s in rows.items() if s is not None} == {k: s for k, s in want.items() if k[0] != 13}
+    assert {k for k, s in rows.items() if s is None} == {(a, b) for a in (1, 7) for b in (13,)} | {(4, 14), (10, 14)} | {(13, b) for b in range(1, 12, 2)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
