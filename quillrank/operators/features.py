@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from . import retrieval
 
 #: What stands for an absent rank.
 NO_RANK, NO_POSITION = 99999, 999
@@ -72,12 +73,27 @@ def tf_idf_overlap(pairs: DataFrame, a: str, b: str, most: int = 5000) -> DataFr
     return pairs.select("id").join(got, "id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
 
 
+def _trigger_words(text: str) -> list[Column]:
+    low = F.lower(text)
+    return [F.length(text).alias("len"), F.contains(low, F.lit("gemäss")).cast("int").alias("has_gemaess"), F.contains(low, F.lit("vgl")).cast("int").alias("has_vgl")]
+
+
 def window_features(pairs: DataFrame, query: str = "q_v", window: str = "v") -> DataFrame:
     """The fourth generation's own features of pairs with two vectors and the window's text: cosine, length, two trigger
     words. tf_idf_overlap and document scores come by joins."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    low = F.lower("text")
-    return pairs.select("*", (dot(query, window) / (F.sqrt(dot(query, query)) * F.sqrt(dot(window, window)) + 1e-6)).alias("dense_sim"), F.length("text").alias("len"), F.contains(low, F.lit("gemäss")).cast("int").alias("has_gemaess"), F.contains(low, F.lit("vgl")).cast("int").alias("has_vgl"))
+    return pairs.select("*", (dot(query, window) / (F.sqrt(dot(query, query)) * F.sqrt(dot(window, window)) + 1e-6)).alias("dense_sim"), *_trigger_words("text"))
+
+
+def window_texts(windows: DataFrame) -> DataFrame:
+    """(doc_id, len, has_gemaess, has_vgl) of windows (doc_id, text): what doesn't depend on the query."""
+    return windows.select("doc_id", *_trigger_words("text"))
+
+
+def window_pairs(queries: DataFrame, windows: DataFrame, by: str) -> DataFrame:
+    """The same features of all pairs of a query (query_id, by, v) and another window (doc_id, by, v and those of its text) of one
+    ``by``: a text is read once, whatever the number of queries."""
+    return retrieval.scored_within(queries, windows, by, retrieval.cosines).withColumnRenamed("score", "dense_sim")
 
 
 def _letters3(text: Column) -> Column:

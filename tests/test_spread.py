@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import retrieval
+from quillrank.operators import features, retrieval
 
 
 def shuffled_after_join(df):
@@ -38,3 +38,13 @@ def test_late_interaction_within_groups(spark, vectors):
     assert {k: s for k, s in rows.items() if s is not None} == {k: s for k, s in want.items() if k[0] != 13}
     assert {k for k, s in rows.items() if s is None} == {(a, b) for a in (1, 7) for b in (13,)} | {(4, 14), (10, 14)} | {(13, b) for b in range(1, 12, 2)}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_features_read_each_text_once(spark, vectors):
+    texts = spark.createDataFrame([(i, "Gemäss vgl. " * (i % 3)) for i in range(12)], "doc_id long, text string")
+    q, d = vectors.where("id % 5 = 0").withColumnRenamed("id", "query_id"), vectors.where("id < 12").withColumnRenamed("id", "doc_id")
+    got = features.window_pairs(q, d.join(features.window_texts(texts), "doc_id"), "label")
+    want = features.window_features(q.withColumnRenamed("v", "q_v").join(d, "label").where("query_id != doc_id").join(texts, "doc_id"))
+    cols = ["query_id", "doc_id", "dense_sim", "len", "has_gemaess", "has_vgl"]
+    rows = sorted(map(tuple, got.select(cols).collect()))
+    assert rows == sorted(map(tuple, want.select(cols).collect())) and len(rows) == 15
