@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources import shared
 
 
 def edges(docs: DataFrame, first: bool = False, dialect: str = "loose") -> DataFrame:
@@ -141,11 +142,20 @@ def anchor_match(similar: DataFrame, threshold: float = 0.8) -> DataFrame:
     return best.groupBy("query_id", "citation").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
 
 
+def parsed(rows: DataFrame, citation: str = "citation") -> DataFrame:
+    """(citation, p, norm, gran) of the different citations that can be parsed, once each. The parse is written: as a mere column
+    it would be made again, with all its expressions, for every part that is asked of it."""
+    each = rows.select(F.col(citation).alias("citation")).distinct()
+    told = shared.written(each.select("citation", C.parse(F.col("citation")).alias("p")), "parsed").where("p is not null")
+    return told.select("citation", "p", C.normal(F.col("p")).alias("norm"), C.granularity(F.col("p")).alias("gran"))
+
+
 def dedup(rows: DataFrame, citation: str = "citation", by: tuple[str, ...] = ("query_id",), compat: bool = False) -> DataFrame:
     """Distinct normal forms of each group. Laws of one key keep the form with a numeric SR law, then the finer one;
     then each article keeps its finest forms alone. The key is (law, article, ...); with compat the law isn't in
     it, as in the original system. What can't be parsed goes."""
-    p = rows.withColumn("p", C.parse(F.col(citation))).where("p is not null").select(*by, "p", C.normal(F.col("p")).alias("norm"), C.granularity(F.col("p")).alias("gran")).distinct()
+    cited = shared.written(rows.select(*by, F.col(citation).alias("citation")).distinct(), "cited")
+    p = cited.join(parsed(cited), "citation").select(*by, "p", "norm", "gran").distinct()
     cases = p.where("p.kind != 'law'").select(*by, F.col("norm").alias("citation"))
     law = F.lit("") if compat else F.col("p.law")
     laws = p.where("p.kind = 'law'").select(*by, "norm", "gran", law.alias("law"), F.coalesce("p.art", F.lit("")).alias("art"), F.coalesce("p.abs", F.lit("")).alias("abs"), F.coalesce("p.lit", F.lit("")).alias("lit"), F.coalesce("p.ziff", F.lit("")).alias("ziff"), C.is_sr(F.coalesce("p.law", F.lit(""))).cast("int").alias("sr"))
@@ -158,23 +168,25 @@ def dedup(rows: DataFrame, citation: str = "citation", by: tuple[str, ...] = ("q
 def survivors(rows: DataFrame, compat: bool = True) -> DataFrame:
     """(query_id, citation, score) of the citations that dedup leaves as they are: rows (query_id, citation, score, pos), of
     which the last score of a citation counts."""
-    last = rows.groupBy("query_id", "citation").agg(F.max_by("score", "pos").alias("score"))
-    return last.join(dedup(rows, compat=compat).distinct(), ["query_id", "citation"], "left_semi")
+    last = shared.written(rows.groupBy("query_id", "citation").agg(F.max_by("score", "pos").alias("score")), "last")
+    return last.join(dedup(last, compat=compat), ["query_id", "citation"], "left_semi")
 
 
 def dedup_scored(rows: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(…, citation, score, pos): of each (law, article) the finest form with its score, the first on a tie, in the place
     of its first appearance. pos: order of the input."""
-    p = rows.withColumn("p", C.parse(F.col("citation"))).where("p is not null").withColumn("norm", C.normal(F.col("p")))
+    # Of one citation only its first place can count.
+    first = shared.written(rows.groupBy(*by, "citation").agg(F.max_by("score", F.struct(-F.col("pos"))).alias("score"), F.min("pos").alias("pos")), "first")
+    p = first.join(parsed(first), "citation")
     key = F.when(F.col("p.kind") != "law", F.col("norm")).otherwise(F.concat_ws("|", "p.law", "p.art"))
-    best = p.groupBy(*by, key.alias("key")).agg(F.max_by(F.struct("norm", "score"), F.struct(C.granularity(F.col("p")), -F.col("pos"))).alias("b"), F.min("pos").alias("pos"))
+    best = p.groupBy(*by, key.alias("key")).agg(F.max_by(F.struct("norm", "score"), F.struct("gran", -F.col("pos"))).alias("b"), F.min("pos").alias("pos"))
     return best.select(*by, F.col("b.norm").alias("citation"), F.col("b.score").alias("score"), "pos")
 
 
 def without_shadowed(rows: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Drops a bare article where the group also has the same article and law with a paragraph."""
-    p = rows.withColumn("_p", C.parse(F.col("citation")))
-    keyed = p.withColumn("_art", F.lower("_p.art")).withColumn("_law", F.upper("_p.law"))
+    cited = shared.written(rows.select(*by, "citation").distinct(), "cited")
+    keyed = cited.join(parsed(cited).select("citation", F.col("p").alias("_p")), "citation").withColumn("_art", F.lower("_p.art")).withColumn("_law", F.upper("_p.law"))
     fine = keyed.where("_p.abs is not null and _art is not null").select(*by, "_art", "_law").distinct()
     bare = F.col("_p.kind").eqNullSafe("law") & F.col("_p.abs").isNull() & F.col("_art").isNotNull()
     shadowed = keyed.where(bare).join(fine, [*by, "_art", "_law"], "left_semi").select(*by, "citation").distinct()

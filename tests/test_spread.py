@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import features, retrieval
+from quillrank.operators import citations, features, retrieval
 
 
 def shuffled_after_join(df):
@@ -48,3 +48,16 @@ def test_window_features_read_each_text_once(spark, vectors):
     cols = ["query_id", "doc_id", "dense_sim", "len", "has_gemaess", "has_vgl"]
     rows = sorted(map(tuple, got.select(cols).collect()))
     assert rows == sorted(map(tuple, want.select(cols).collect())) and len(rows) == 15
+
+
+def test_citations_are_parsed_once(spark):
+    """No plan parses for itself: the grammar's expressions were in it for every part of a parse, some hundred times."""
+    rows = spark.createDataFrame([(1, "Art. 1 OR", 0.5, 3), (1, "Art. 1 Abs. 2 OR", 0.2, 9), (1, "Art. 1 Abs. 2 OR", 0.7, 4), (1, "Art. 1 Abs. 3 OR", 0.9, 7), (2, "Art. 1 OR", 0.1, 1), (2, "BGE 1 II 3", 0.3, 2), (2, None, 0.4, 5), (2, "nichts", 0.4, 6)], "query_id long, citation string, score double, pos long")
+    got = {"dedup": citations.dedup(rows), "survivors": citations.survivors(rows), "scored": citations.dedup_scored(rows), "shadow": citations.without_shadowed(rows.select("query_id", "citation"))}
+    for name, df in got.items():
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(r"lit\.?") == 0, name
+    found = {name: sorted(map(repr, (tuple(r) for r in df.collect()))) for name, df in got.items()}
+    assert found["dedup"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR"), (1, "Art. 1 Abs. 3 OR"), (2, "Art. 1 OR"), (2, "BGE 1 II 3")]))
+    assert found["survivors"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR", 0.2), (1, "Art. 1 Abs. 3 OR", 0.9), (2, "Art. 1 OR", 0.1), (2, "BGE 1 II 3", 0.3)]))
+    assert found["scored"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR", 0.7, 3), (2, "Art. 1 OR", 0.1, 1), (2, "BGE 1 II 3", 0.3, 2)]))
+    assert found["shadow"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR"), (1, "Art. 1 Abs. 2 OR"), (1, "Art. 1 Abs. 3 OR"), (2, "Art. 1 OR"), (2, "BGE 1 II 3"), (2, None), (2, "nichts")]))
