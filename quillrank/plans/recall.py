@@ -17,9 +17,8 @@ _CLUSTERS = """cl AS (SELECT vec_id AS doc_id, label AS cluster FROM embeddings)
 def cluster_expand_local(spark, d):
     """A query's hits vote for clusters of vectors; BM25 among all members of the chosen ones decides."""
     clusters = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
-    members = retrieval.cluster_expansion(_bm25_top(spark, d), clusters, votes=2)
-    pairs = members.join(_queries(spark, d).withColumnRenamed("text", "query"), "query_id").join(_docs(spark, d), "doc_id")
-    return retrieval.top_k(retrieval.bm25_local(pairs).withColumn("score", F.round("score", 5)), 20)
+    chosen = retrieval.chosen_clusters(_bm25_top(spark, d), clusters, votes=2)
+    return retrieval.bm25_members(_queries(spark, d), chosen, clusters, _docs(spark, d), 20)
 
 
 _HALF = "substr(text, 1, length(text) // 2)"

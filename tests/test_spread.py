@@ -61,3 +61,20 @@ def test_citations_are_parsed_once(spark):
     assert found["survivors"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR", 0.2), (1, "Art. 1 Abs. 3 OR", 0.9), (2, "Art. 1 OR", 0.1), (2, "BGE 1 II 3", 0.3)]))
     assert found["scored"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR", 0.7, 3), (2, "Art. 1 OR", 0.1, 1), (2, "BGE 1 II 3", 0.3, 2)]))
     assert found["shadow"] == sorted(map(repr, [(1, "Art. 1 Abs. 2 OR"), (1, "Art. 1 Abs. 2 OR"), (1, "Art. 1 Abs. 3 OR"), (2, "Art. 1 OR"), (2, "BGE 1 II 3"), (2, None), (2, "nichts")]))
+
+
+def test_bm25_of_cluster_members_shuffles_no_pair(spark, monkeypatch):
+    words = "der die und haftung vertrag frist klage antrag".split()
+    text = lambda i, n: " ".join(words[(i * 5 + j * j) % 8] for j in range(n))
+    docs = spark.createDataFrame([(i, text(i, i % 9)) for i in range(60)] + [(60, None)], "doc_id long, text string").repartition(3)
+    clusters = spark.createDataFrame([(i, i % 4) for i in range(3, 70)], "doc_id long, cluster long")
+    queries = spark.createDataFrame([(1, "die frist der klage"), (2, "vertrag und antrag"), (3, "nichts"), (4, None), (5, "frist")], "query_id long, text string")
+    chosen = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 3), (3, 2), (4, 2), (9, 0)], "query_id long, cluster long")
+    pairs = retrieval.members(chosen, clusters).join(queries.withColumnRenamed("text", "query"), "query_id").join(docs, "doc_id")
+    want = retrieval.top_k(retrieval.bm25_local(pairs).withColumn("score", F.round("score", 5)), 7)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    twice = clusters.unionByName(clusters.limit(1))
+    assert rows(retrieval.bm25_members(queries, chosen, twice, docs, 7)) == rows(want) and {r[0] for r in rows(want)} == {1, 2, 3, 4}
+    monkeypatch.setattr(retrieval, "bm25_local", None)
+    monkeypatch.setattr(retrieval, "members", None)
+    assert rows(retrieval.bm25_members(queries, chosen, clusters, docs, 7, block=2)) == rows(want)
