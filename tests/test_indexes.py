@@ -103,3 +103,16 @@ def test_synonyms_of_stems(spark):
     asked = spark.createDataFrame([(1, "Die Häuser, die Haus"), (2, ""), (3, None)], "query_id int, text string")
     synonyms = spark.createDataFrame([("haus", "gebäude"), ("haus", "die"), ("gebäude", "haus")], "term string, synonym string")
     assert {r["query_id"]: r["text"] for r in analysis.expanded(asked, synonyms, 2).collect()} == {1: "die die haus haus gebäude die die haus haus", 2: "", 3: ""}
+
+
+def test_no_block_meets_a_query_in_a_shuffle(spark, searched):
+    """Bounds and scores of blocks stay in the task that reads them: only each query's best rows go on."""
+    _, asked, index = searched
+    for one in index._asked(asked):
+        shape, kinds = index._told(asked)
+        floor, tried = index._floor(one, asked, 10, 4)
+        assert all(len(x) <= 4 for x in tried) and (floor[[len(x) > 1 for x in tried]] > 0).all()
+        rows = index.table("postings").mapInArrow(index._scored(one, 10, kinds, floor), shape)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert rows.count() <= 10 * len(one.ids) * rows.rdd.getNumPartitions()
