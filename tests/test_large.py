@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillrank.operators import metrics, retrieval
+from quillrank.operators import instances, metrics, retrieval
 from quillrank.plans import base, graph  # noqa: F401
 
 
@@ -79,3 +79,21 @@ def test_containment_meets_citations_by_their_beginnings(spark):
     # No text meets a citation that doesn't begin in it.
     plan = metrics.containment(docs, g.where("length(citation) >= 8"))._jdf.queryExecution().optimizedPlan().toString()
     assert "key" in plan
+
+
+def test_instances_go_on_without_texts(spark):
+    """Vectors named by an expression are those that stand for each sentence, and terms, texts and vectors aren't shuffled."""
+    words = "der die haftung vertrag gemäss frist klage antrag strafe Art. 41 OR".split()
+    r = np.random.default_rng(4)
+    rows = [(d, i, " ".join(r.choice(words[:-3], 5)) + (f" Art. {d % 3 + 1} OR" if i % 2 else "")) for d in range(30) for i in range(5)]
+    sentences = spark.createDataFrame(rows, "doc_id long, idx long, sentence string")
+    hits = spark.createDataFrame([(q, d, 0.5, None, 0.1 * q) for q in (1, 2) for d in range(q, 30)], "query_id long, doc_id long, dense double, sparse double, rerank double")
+    v = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(6)], "id long, v array<float>")
+    asked = spark.createDataFrame([(1, "Haftung und Frist", [1.0, 0.0, 0.0, 1.0]), (2, "1 2", [0.0, 2.0, 0.0, 1.0])], "query_id long, query string, q_v array<double>")
+    at = (F.col("doc_id") + F.col("idx")) % 7  # 6 has no vector
+    plain = instances.generation5(hits, sentences, asked, sentences.join(v, at == F.col("id")).select("doc_id", "idx", "v"))
+    named = instances.generation5(hits, sentences, asked, v, by=at)
+    rows = lambda df: sorted(map(tuple, df.select(*instances.KEY, *[F.round(c, 9) for c in df.columns[3:]]).collect()))
+    assert rows(plain) == rows(named) and len(rows(named)) == 57 and {x["emb_l2"] == 0 for x in named.collect()} == {True, False}
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert all(x not in plan for x in ("Generate", " sentence#", "before#"))
