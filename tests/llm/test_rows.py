@@ -1,5 +1,7 @@
 """Rows of the training-data operators that were once left out or counted twice."""
 
+import re
+
 import numpy as np
 
 import corpus_pipeline
@@ -56,3 +58,22 @@ def test_a_long_text_costs_itself_only(spark):
     for per_class in (False, True):
         texts, _ = quality.sample(docs, labels, "quality", 100, chars=8000, per_class=per_class)
         assert sorted(texts) == sorted(f"text {i}" for i in order[1:])
+
+
+def test_pieces_by_given_characters():
+    words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
+    spaced = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
+    chars = [chr(c) for c in tokens._SAFE]
+    texts = ["".join(chars), "it's we'll 'tis ''ve x'd\n\n a_b 12  3\n"] + [a + b + c for a in "a' 1_\n" for b in chars for c in "sl ."]
+    for t in texts:
+        assert tokens._SPACED.findall(t) == spaced.findall(t)
+        assert tokens._WORDS.findall(t.lower()) == words.findall(t.lower())
+
+
+def test_frequent_pieces_are_made_once():
+    e, made = tokens.Encoder(tokens.read_file(vocabulary("word_bpe_49k.json")), 10, 10), []
+    piece = e.plain.make
+    e.plain.make = lambda p: made.append(p) or piece(p)
+    for i in range(50):
+        assert e.ids(f"often w{'x' * i}") == np.array(e.cut.tokenizer.encode(f"often w{'x' * i}", add_special_tokens=False).ids, "<u4").tobytes()
+    assert made.count("often") == 1 and len(e.plain) + len(e.plain.before) <= 20
