@@ -97,3 +97,22 @@ def test_instances_go_on_without_texts(spark):
     assert rows(plain) == rows(named) and len(rows(named)) == 57 and {x["emb_l2"] == 0 for x in named.collect()} == {True, False}
     plan = named._jdf.queryExecution().optimizedPlan().toString()
     assert all(x not in plan for x in ("Generate", " sentence#", "before#"))
+
+
+def test_bm25_reads_documents_once_to_count_and_once_to_score(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, " ".join(f"w{i * j % 7}x" for j in range(i))) for i in range(20)] + [(20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1x w2x zz"), (2, "w0x"), (3, "")], "query_id long, text string")
+    got = retrieval.bm25_top(asked, docs, 50)
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in got.collect()}
+    assert read.value <= 3 * len(rows)  # and once to look for repeated ids
+    want = retrieval.bm25(asked, docs).collect()
+    assert got == {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in want}
+    assert retrieval.bm25_top(asked, docs.where("doc_id < 0"), 50).count() == 0
