@@ -203,10 +203,12 @@ def known_only(rows: DataFrame, *ids: DataFrame) -> DataFrame:
 
 
 def run_max(rows: DataFrame, order: str, id: str, score: str, value: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Consecutive rows of one id, in each group's order, become the one of greatest score."""
+    """Consecutive rows of one id, in each group's order, become the one of greatest score. Rows of one place in the order stand
+    by value, the greatest first, and runs that begin there are numbered together, as SQL's default frame has it."""
     w = Window.partitionBy(*by).orderBy(order)
-    marked = rows.withColumn("_new", (F.lag(id).over(w).isNull() | (F.lag(id).over(w) != F.col(id))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    return marked.groupBy(*by, "_run", id).agg(F.max_by(value, F.struct(F.col(score), -F.col(order))).alias(value), F.max(score).alias(score), F.min(order).alias(order)).drop("_run")
+    before = F.lag(id).over(Window.partitionBy(*by).orderBy(order, F.desc(value), id))
+    marked = rows.withColumn("_new", (before.isNull() | (before != F.col(id))).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    return marked.groupBy(*by, "_run", id).agg(F.max_by(value, F.struct(F.col(score), -F.col(order), F.col(value))).alias(value), F.max(score).alias(score), F.min(order).alias(order)).drop("_run")
 
 
 def gold_frequency(gold: DataFrame) -> DataFrame:

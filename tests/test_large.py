@@ -22,6 +22,18 @@ def test_run_lengths_beyond_rank_2147(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
+def test_run_lengths_of_tied_places(spark):
+    """Rows of one place, as part keys from 100000 on make them, give the same runs however they come."""
+    from quillrank.operators import citations
+
+    rows = [(1, 1, 0.5, 10, 3), (1, 1, 0.4, 20, 4), (1, 2, 0.4, 20, 9), (1, 2, 0.3, 30, 5), (1, 3, 0.2, 40, 7), (1, 3, 0.2, 40, 8)]
+    want = [(1, 2, 0.4, 20, 9), (1, 1, 0.4, 20, 4), (1, 1, 0.5, 10, 3), (1, 2, 0.3, 30, 5), (1, 3, 0.2, 40, 8)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "query_id int, id int, score double, o long, v long").coalesce(1)
+        got = citations.run_max(df, "o", "id", "score", "v").select("query_id", "id", "score", "o", "v")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_best_keeps_few_rows_and_all_ties_by_id():
     r = np.random.default_rng(1)
     ids, scores = r.permutation(4000), np.round(r.integers(0, 40, (6, 4000)) / 7, 3)
