@@ -418,6 +418,7 @@ def lambda_rank_search(spark, d):
 def balanced_classifier(spark, d):
     from ..operators import ml
 
-    rows = features.labelled(features.combos(_gen5(spark, d)), B.gold(spark, d))
     names = ["freq", "pos", "rerank", "dense", "sparse"]
+    # Fitting reads its rows several times; joined again each time, they would be shuffled again.
+    rows = shared.written(features.labelled(_gen5(spark, d), B.gold(spark, d)).select("label", *names), "rows")
     return metrics.auc(ml.predicted(ml.fit_logistic(rows, names), rows).select(F.round("prob", 6).alias("score"), "label"))

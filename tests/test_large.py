@@ -128,3 +128,15 @@ def test_bm25_reads_documents_once_to_count_and_once_to_score(spark):
     want = retrieval.bm25(asked, docs).collect()
     assert got == {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in want}
     assert retrieval.bm25_top(asked, docs.where("doc_id < 0"), 50).count() == 0
+
+
+def test_rows_to_fit_are_joined_once(spark, monkeypatch):
+    """What a learner reads again and again is a table, and no join."""
+    from quillrank.operators import ml
+
+    plans, fit, predicted = [], ml.fit_logistic, ml.predicted
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(ml, "fit_logistic", lambda rows, names: fit(seen(rows), names))
+    monkeypatch.setattr(ml, "predicted", lambda model, rows: seen(predicted(model, rows)))
+    assert base.QUERIES["balanced_classifier"](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(plans) == 2 and all("Exchange" not in p and "Join" not in p for p in plans)
