@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import shared
 from . import retrieval
 
 #: Terms up to which their stems are broadcast: some megabytes.
@@ -61,6 +67,29 @@ def bm25(queries: DataFrame, docs: DataFrame, lemmas: DataFrame | None = None, s
     return tf.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
 
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, lemmas: DataFrame | None = None, stopwords: list[str] | None = None, stem: bool = True, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best of bm25, by scores rounded to ``digits``. Roots are put for tokens where texts are
+    read, and each task scores its own documents; neither tokens nor pairs are shuffled. Repeated ids and very many terms go by
+    bm25."""
+    asked = shared.written(rooted(retrieval.query_terms(queries), lemmas, stopwords, stem).distinct(), "asked")
+    each = docs.select("doc_id", T.without_stopwords(T.tokens(F.col("text")), stopwords or []).alias("toks"))
+    terms = each.select(F.explode(F.array_distinct("toks")).alias("term"))
+    roots = shared.written(analysed(terms, lemmas, stopwords, stem).join(asked.select(F.col("term").alias("root")).distinct(), "root", "left_semi"), "roots")
+    if roots.count() > FEW_TERMS or not retrieval._plain(docs, asked):
+        return retrieval.top_k(bm25(queries, docs, lemmas, stopwords, stem).withColumn("score", F.round("score", digits)), k)
+    told = docs.sparkSession.sparkContext.broadcast([list(x) for x in zip(*roots.select("term", "root").collect(), strict=True)] or [[], []])
+
+    def rooted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, root = (pa.array(x, pa.string()) for x in told.value)
+        for batch in batches:
+            toks = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(toks).to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), root.take(pc.index_in(toks.flatten(), known)))], names=["doc_id", "toks"])
+
+    rows = shared.written(each.mapInArrow(rooted_tokens, f"doc_id {dict(docs.dtypes)['doc_id']}, toks array<string>"), "roots-of-documents")
+    return retrieval.bm25_top_of(asked, rows, k, digits)
+
+
 def expanded(queries: DataFrame, synonyms: DataFrame, repeat: int = 1) -> DataFrame:
     """(query_id, text): each token's stem ``repeat`` times and, after its first place, the synonyms (term, synonym) of that stem
     which the text has neither as an earlier stem nor as an earlier synonym, in the synonyms' order."""

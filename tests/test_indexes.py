@@ -116,3 +116,18 @@ def test_no_block_meets_a_query_in_a_shuffle(spark, searched):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
         assert rows.count() <= 10 * len(one.ids) * rows.rdd.getNumPartitions()
+
+
+def test_best_by_roots_are_those_of_all_pairs(spark):
+    """Roots are put where texts are read: only tasks' best rows are shuffled for the last step."""
+    docs = spark.createDataFrame([(1, "Die Verträge und die Klagen"), (2, "vertrag klage klage"), (3, None), (4, "der"), (5, "Häuser waren hier, Vertrages"), (6, "was is")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "Vertrag der Klage"), (2, "Haus war"), (3, "nichts"), (4, None)], "query_id long, text string")
+    lemmas = spark.createDataFrame([("waren", "war"), ("was", "be"), ("is", "be")], "term string, lemma string")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in df.collect())
+    want = lambda df: rows(retrieval.top_k(analysis.bm25(asked, df, lemmas, ["der", "die"]).withColumn("score", F.round("score", 6)), 2))
+    got = analysis.bm25_top(asked, docs, 2, lemmas, ["der", "die"])
+    assert rows(got) == want(docs) and len(want(docs)) == 3
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    again = docs.unionByName(docs.where("doc_id < 3"))
+    assert rows(analysis.bm25_top(asked, again, 2, lemmas, ["der", "die"])) == want(again)
+    assert analysis.bm25_top(asked.where("query_id > 2"), docs, 2).count() == 0
