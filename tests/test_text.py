@@ -100,3 +100,16 @@ def test_token_window_of_odd_tokens(spark):
     assert one(spark, ["", "a", "", "b"], window(["a"]), kind) == " a "
     assert one(spark, ["a\x1fb", "a", "b"], window(["b"]), kind) == "a b" and one(spark, ["aa", "a"], window(["a"]), kind) == "aa a"
     assert one(spark, [], window([""]), kind) is None and one(spark, ["a"], window(["b"]), kind) is None and one(spark, ["x", None, "b", "c"], window(["b"]), kind) == "b c"
+
+
+def test_tokens_are_joined_once_for_many_needles(spark):
+    """Windows of all sizes are cut from tokens that were joined before, and rows that are distinct aren't shuffled again."""
+    from quillrank.plans import base, texts  # noqa: F401
+
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a\x1f", "b", None, "c"],), ([],), (None,)], "t array<string>")
+    for needle in (["b"], ["b", "c"], ["x"], ["a\x1f"]):
+        n = F.array(*[F.lit(x) for x in needle])
+        got = df.select(T.searched(F.col("t")).alias("s"), "t").select(T.windows_in(F.col("s"), n, (2, 4)).alias("w"), F.array(T.token_window(F.col("t"), n, 2), T.token_window(F.col("t"), n, 4)).alias("x")).collect()
+        assert all(r["w"] == r["x"] for r in got)
+    plan = base.QUERIES["token_window"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
